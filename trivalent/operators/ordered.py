@@ -126,7 +126,9 @@ def neighbour_count(reference: DataFrame, queries: DataFrame, position: str, wid
     """
     splits = range_splits(reference, position) if splits is None else splits
     pos = F.col(position).cast("double")
-    asked = queries.where(F.col(position).isNotNull()).select(pos.alias("origin")).distinct()
+    # Unknown positions leave by a count, not by a filter that would be pushed
+    # into (and repeat) whatever computes the position.
+    asked = queries.groupBy(pos.alias("origin")).agg(F.count(position).alias("_known")).where("_known > 0")
     ends = F.explode(F.array(*[
         F.struct(F.lit(float(w)).alias("width"), F.lit(side).alias("side"),
                  (F.col("origin") + (w if side == "hi" else -w)).alias("edge"))

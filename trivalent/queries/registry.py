@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import inspect
 import textwrap
 
+from ..session import tune
+
 QUERIES: dict = {}
 ORACLE: dict = {}
 
@@ -12,7 +15,11 @@ ORACLE: dict = {}
 def query(function=None, *, sql: str | None = None):
     """Register a (spark, sf_dir) function under its own name."""
     def add(fn):
-        QUERIES[fn.__name__] = fn
+        @functools.wraps(fn)
+        def tuned(spark, sf):
+            return fn(tune(spark), sf)
+
+        QUERIES[fn.__name__] = tuned
         if sql:
             ORACLE[fn.__name__] = textwrap.dedent(inspect.cleandoc(sql))
         return fn

@@ -23,7 +23,19 @@ def build_session(app: str = "trivalent", master: str | None = None, **conf) ->
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return tune(builder.getOrCreate())
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Runtime settings the wide projections and skewed joins rely on.
+
+    Text classifiers easily generate a method over 8,000 bytes, which the JVM
+    never compiles; past that limit Spark should use its split projections.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
