@@ -35,10 +35,11 @@ def ablate(df: DataFrame, sets: dict[str, list[str]], factory: models.Factory, k
     """Out-of-fold AUC per feature set, on the same stored folds."""
     every = sorted({f for fs in sets.values() for f in fs})
     table = models.fold_table(df, ["id", "fold", "y", *every])
-    rows = []
-    for name, fs in sets.items():
-        oof = models.out_of_fold(table, fs, factory, name, k=k)
-        rows.append((name, len(fs), float(metrics.roc_auc(oof).first()["auc_roc"])))
+    def measure(name: str, fs: list[str]) -> tuple:
+        oof = models.out_of_fold(table, fs, factory, name, k=k, parallelism=2)
+        return name, len(fs), float(metrics.roc_auc(oof).first()["auc_roc"])
+
+    rows = models.at_once([lambda n=name, f=fs: measure(n, f) for name, fs in sets.items()])
     return df.sparkSession.createDataFrame(rows, "feature_set string, n_features int, auc_roc double")
 
 
@@ -103,7 +104,8 @@ def leakage_audit(df: DataFrame, coded_features: Sequence[str], identifiers: Seq
         "F_unseen_region": (region, coded_features),
         "G_copies_before_split": (copied, coded_features),
     }
-    rows = [_fit_and_score(materialise(frame, "audit"), fs, factory, name) for name, (frame, fs) in runs.items()]
+    rows = models.at_once([
+        lambda n=name, d=frame, f=fs: _fit_and_score(materialise(d, "audit"), f, factory, n) for name, (frame, fs) in runs.items()])
     return df.sparkSession.createDataFrame(
         rows, "protocol string, test_accuracy double, test_auc double, train_accuracy double, train_auc double,"
               " test_prevalence double, majority_accuracy double")
@@ -158,12 +160,7 @@ def self_train(df: DataFrame, features: Sequence[str], factory: models.Factory,
     pool = materialise(start.where(F.col(label).isNull()), "selftrain")
     prevalence = float(train.agg(F.avg(F.col(label).cast("double"))).first()[0])
 
-    def learn(rows: DataFrame) -> PipelineModel:
-        known, n = models.with_class_weight(rows.withColumn("y", F.col(label).cast("double")))
-        known = known.withColumn("weight", F.col("weight") * F.col("trust"))
-        chosen = models.usable(known, features)
-        return models.Pipeline(stages=[*models.preparation(chosen), factory(n, len(chosen))]).fit(known)
-
+    learn = lambda rows: models.fit(rows, features, factory, label, trust="trust")
     model, history = learn(train), []
     for i in range(rounds):
         scored = models.score(model, pool, columns)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
@@ -13,7 +16,7 @@ from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregates, metrics, ordered, stats
@@ -28,6 +31,13 @@ def usable(df: DataFrame, features: Sequence[str]) -> list[str]:
     return [f for f in features if counts[f]]
 
 
+def at_once(tasks: Sequence[Callable], parallelism: int = 4) -> list:
+    """Run driver-side fits side by side, so Spark always has jobs of several to schedule."""
+    with ThreadPool(min(parallelism, max(len(tasks), 1))) as pool:
+        inherit = inheritable_thread_target(SparkSession.active())
+        return pool.map(lambda task: task(), [inherit(t) for t in tasks])
+
+
 def preparation(features: Sequence[str], scale: bool = True) -> list:
     """Median imputation and scaling as pipeline stages, so each fold fits its own."""
     filled = [f"{f}__filled" for f in features]
@@ -77,13 +87,20 @@ def model_zoo() -> dict[str, Factory]:
             "gradient_boosting": boosting(), "mlp": perceptron()}
 
 
-def fit(train: DataFrame, features: Sequence[str], factory: Factory, label: str = "y", weighted: bool = True) -> PipelineModel:
+def fit(train: DataFrame, features: Sequence[str], factory: Factory, label: str = "y", trust: str | None = None) -> PipelineModel:
+    """Fit preparation and model together on the labelled rows, classes balanced by weight.
+
+    One aggregate supplies class counts and feature counts. ``trust`` names an
+    extra row weight.
+    """
     known = train.where(F.col(label).isNotNull()).withColumn("y", F.col(label).cast("double"))
-    if weighted:
-        known, n = with_class_weight(known, "y")
-    else:
-        n = known.count()
-    chosen = usable(known, features)
+    counts = known.agg(F.count_if(F.col("y") == 1).alias("y|1"), F.count_if(F.col("y") == 0).alias("y|0"),
+                       *[F.count(f).alias(f) for f in features]).first()
+    chosen = [f for f in features if counts[f]]
+    n = counts["y|1"] + counts["y|0"]
+    weight = F.when(F.col("y") == 1, n / (2 * (counts["y|1"] or 1))).otherwise(n / (2 * (counts["y|0"] or 1)))
+    known = known.withColumn("weight", weight * F.col(trust) if trust else weight)
+    known = known.select("y", "weight", *chosen)
     return Pipeline(stages=[*preparation(chosen), factory(n, len(chosen))]).fit(known)
 
 
@@ -93,21 +110,25 @@ def score(model: PipelineModel, df: DataFrame, keep: Sequence[str], out: str = "
 
 
 def out_of_fold(df: DataFrame, features: Sequence[str], factory: Factory, name: str, fold: str = "fold", key: str = "id",
-                label: str = "y", k: int = 5) -> DataFrame:
+                label: str = "y", k: int = 5, parallelism: int = 4) -> DataFrame:
     """Every labelled row scored by a model that never saw its fold: (id, fold, y, model, p)."""
-    parts = []
-    for i in range(k):
+    def held_scores(i: int) -> DataFrame:
         model = fit(df.where(F.col(fold) != i), features, factory, label)
-        held = df.where((F.col(fold) == i) & F.col(label).isNotNull())
-        parts.append(score(model, held, [key, fold, label]))
+        return score(model, df.where((F.col(fold) == i) & F.col(label).isNotNull()), [key, fold, label])
+
+    parts = at_once([lambda i=i: held_scores(i) for i in range(k)], parallelism)
+    return materialise(stacked(parts).withColumn("model", F.lit(name)), "oof")
+
+
+def stacked(parts: Sequence[DataFrame]) -> DataFrame:
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
-    return materialise(whole.withColumn("model", F.lit(name)), "oof")
+    return whole
 
 
 def fold_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Features and folds stored once, split by fold, so training and scoring read only their part."""
+    """Features and folds computed once and stored, so every fit and scoring pass only reads."""
     return materialise(df.select(*columns), "folds")
 
 
@@ -115,10 +136,8 @@ def cross_validate(df: DataFrame, features: Sequence[str], zoo: dict[str, Factor
                    fold: str = "fold") -> tuple[DataFrame, DataFrame]:
     """Out-of-fold scores of every model and their ranked fold summary."""
     table = fold_table(df, [key, fold, "y", *features])
-    parts = [out_of_fold(table, features, factory, name, fold, key, k=k) for name, factory in zoo.items()]
-    oof = parts[0]
-    for part in parts[1:]:
-        oof = oof.unionByName(part)
+    oof = stacked(at_once([
+        lambda n=name, f=factory: out_of_fold(table, features, f, n, fold, key, k=k) for name, factory in zoo.items()], 2))
     by_fold = metrics.roc_auc(oof, by=["model", fold])
     return oof, aggregates.fold_summary(by_fold).orderBy(F.desc("mean"), "model")
 
