@@ -193,7 +193,7 @@ def counts_at(df, cuts: Sequence[float], label="y", score="p", by=()) -> DataFra
     cuts = sorted(float(c) for c in cuts)
     known = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
     cells = (
-        ordered.with_bucket(known, score, cuts, "_below").groupBy(*by, F.col("_below").cast("int").alias("_below"))
+        ordered.with_bucket(known, score, cuts, "_below").groupBy(*by, "_below")
         .agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
     )
     # A cell counts towards every cut at or under it, and once more for the totals.

@@ -32,12 +32,13 @@ def range_splits(df: DataFrame, value: str, buckets: int | None = None) -> list[
 def with_bucket(df: DataFrame, value: str, splits: Sequence[float], out: str = "_bucket") -> DataFrame:
     """Bucket number by binary search over the literal split points."""
     if not splits:
-        return df.withColumn(out, F.lit(0.0))
+        return df.withColumn(out, F.lit(0))
     edges = [-INFINITY, *splits, INFINITY]
     # The cast keeps integer positions and doubles on the same path.
     staged = df.withColumn("_edge_value", F.col(value).cast("double"))
     return Bucketizer(splits=edges, inputCol="_edge_value", outputCol=out,
-                      handleInvalid="keep").transform(staged).drop("_edge_value")
+                      handleInvalid="keep").transform(staged).drop("_edge_value").withColumn(
+        out, F.col(out).cast("int"))
 
 
 def histogram(df: DataFrame, value: str, measures: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["evaluation", "scalars", "cohorts", "learning"]
+MODULES = ["evaluation", "scalars", "cohorts", "learning", "matrices"]
 
 
 def load_all() -> tuple[dict, dict]:

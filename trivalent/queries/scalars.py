@@ -190,7 +190,7 @@ d AS (SELECT *, [CAST(o AS DOUBLE) FOR o IN offs IF o NOT LIKE '%?'] AS known,
 
 @query(sql="WITH " + CDNA_SQL.replace("{src}", CATALOGUE.sql) + r"""
 SELECT id, p1 AS cdna_pos, p2 AS cdna_pos_end, abs(p2 - p1) + 1 AS span_nt,
-  list_reduce(known, lambda m, x: CASE WHEN abs(x) < abs(m) THEN x ELSE m END) AS intron_offset,
+  CASE WHEN len(known) > 0 THEN list_reduce(known, lambda m, x: CASE WHEN abs(x) < abs(m) THEN x ELSE m END) END AS intron_offset,
   CAST(coalesce(len(offs) > 0, false) AS INT) AS is_intronic, CAST(coalesce(p1 < 0, false) AS INT) AS is_utr5,
   CAST(coalesce(p1 > 7053, false) AS INT) AS is_utr3, CAST(coalesce(p1 < -100, false) AS INT) AS is_promoter,
   CAST(coalesce(body LIKE '%?%' OR (len(offs) > 0 AND len(known) = 0), false) AS INT) AS unknown_breakpoint,
