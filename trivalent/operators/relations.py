@@ -69,6 +69,37 @@ def straddling_groups(df: DataFrame, group: str, side: str) -> DataFrame:
         F.col("_lo") != F.col("_hi")).select(group)
 
 
+def label_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Dense 0-based code of every distinct value per column, in value order: (column, value, code).
+
+    All columns sort in one distributed sort. Ids that rise along the sort are
+    stored first, then made dense with one offset per sorted partition, so even
+    a near-unique column never passes through the driver or one task.
+    """
+    from ..session import materialise
+
+    long = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns]).unpivot([], list(columns), "column", "value")
+    values = long.where(F.col("value").isNotNull()).distinct().sort("column", "value")
+    stored = materialise(values.withColumn("_rising", F.monotonically_increasing_id()), "codes")
+    staged = stored.withColumns({"_part": F.shiftright("_rising", 33), "_row": F.col("_rising").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = staged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    dense = staged.join(F.broadcast(offsets), "_part").withColumn("_dense", F.col("_offset") + F.col("_row"))
+    first = dense.groupBy("column").agg(F.min("_dense").alias("_first"))
+    return dense.join(F.broadcast(first), "column").select(
+        "column", "value", (F.col("_dense") - F.col("_first")).cast("double").alias("code"))
+
+
+def with_codes(df: DataFrame, codes: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Replace text columns by their codes; a small column's codes are broadcast, a large one's shuffled."""
+    for c in columns:
+        dim = codes.where(F.col("column") == c).select(F.col("value").alias("_value"), F.col("code").alias("_code"))
+        df = df.join(small_side(dim), F.col(f"`{c}`").cast("string") == F.col("_value"), "left").drop(c, "_value")
+        df = df.withColumnRenamed("_code", c)
+    return df
+
+
 def ranking_join(a: DataFrame, b: DataFrame, key: str, rank: str = "rank") -> DataFrame:
     return a.select(key, F.col(rank).alias("rank_a")).join(b.select(key, F.col(rank).alias("rank_b")), key)
 

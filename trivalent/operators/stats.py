@@ -10,7 +10,7 @@ import pandas as pd
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import metrics, ordered
@@ -102,11 +102,11 @@ def correlation_matrix(wide: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def rank_agreement(joined: DataFrame, a: str = "rank_a", b: str = "rank_b") -> DataFrame:
-    """Spearman of two joined rankings; NULL below three shared entries."""
-    midrank = lambda c: F.rank().over(Window.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2
-    ranked = joined.select(midrank(a).alias("ra"), midrank(b).alias("rb"))  # one row per ranked item
-    return ranked.agg(F.count(F.lit(1)).alias("n"),
-                      F.when(F.count(F.lit(1)) >= 3, F.corr("ra", "rb")).alias("spearman"))
+    """Spearman of two joined rankings (ties share a midrank); NULL below three shared entries."""
+    ra = ordered.value_ranks(joined, a).select(a, F.col("midrank").alias("ra"))
+    rb = ordered.value_ranks(joined, b).select(b, F.col("midrank").alias("rb"))
+    n = F.count(F.lit(1))
+    return joined.join(ra, a).join(rb, b).agg(n.alias("n"), F.when(n >= 3, F.corr("ra", "rb")).alias("spearman"))
 
 
 def set_agreement(a: DataFrame, b: DataFrame, key: str = "feature") -> DataFrame:

@@ -5,17 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..operators import metrics, relations, splits, stats
-from ..session import materialise, small_side
+from ..session import materialise
 from . import models
 
-TEXT = "__code"
-
 
 # --- ablation ---------------------------------------------------------------------
 
@@ -59,14 +56,11 @@ def top_k_sweep(df: DataFrame, features: Sequence[str], ks: Sequence[int], ranke
 
 def encode_everything(df: DataFrame, outcome: str, key: str = "id", patterns=fv.UNTRUSTED_PATTERNS) -> tuple[DataFrame, list[str]]:
     """The careless preprocessing the audit measures: every remaining text column label-encoded."""
-    kept = [c for c in df.columns if c != key and not any(p in c.lower() for p in patterns)]
-    filled = df.select(key, outcome, *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("Unknown")).alias(f"f{i}")
-                                       for i, c in enumerate(kept)])
-    names = [f"f{i}" for i in range(len(kept))]
-    indexer = StringIndexer(inputCols=names, outputCols=[f"{n}{TEXT}" for n in names],
-                            stringOrderType="alphabetAsc", handleInvalid="keep")
-    coded = indexer.fit(filled).transform(filled)
-    return coded.select(key, outcome, *[F.col(f"{n}{TEXT}").alias(c) for n, c in zip(names, kept)]), kept
+    kept = [c for c in df.columns if c not in (key, outcome) and not any(p in c.lower() for p in patterns)]
+    filled = df.select(key, outcome, *[
+        F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("Unknown")).alias(c) for c in kept])
+    codes = materialise(relations.label_codes(filled, kept), "codes")
+    return relations.with_codes(filled, codes, kept), kept
 
 
 def _fit_and_score(df: DataFrame, features: Sequence[str], factory: models.Factory, name: str) -> tuple:

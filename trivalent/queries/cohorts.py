@@ -220,32 +220,32 @@ def straddling_groups(spark, sf):
 
 
 RANKINGS_SQL = """
-a AS (SELECT l_suppkey, row_number() OVER (ORDER BY sum(l_quantity) DESC, l_suppkey) - 1 AS rank_a FROM lineitem GROUP BY 1),
-b AS (SELECT l_suppkey, row_number() OVER (ORDER BY count(*) DESC, l_suppkey) - 1 AS rank_b FROM lineitem GROUP BY 1)"""
+t AS (SELECT l_suppkey, sum(l_quantity) AS q, count(*) AS n FROM lineitem GROUP BY 1),
+a AS (SELECT l_suppkey, rank() OVER (ORDER BY q) + (count(*) OVER (PARTITION BY q) - 1) / 2 AS rank_a FROM t),
+b AS (SELECT l_suppkey, rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2 AS rank_b FROM t)"""
 
 
-def rankings(spark, sf):
-    from pyspark.sql import Window
-
-    totals = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_suppkey").agg(
+def supplier_totals(spark, sf):
+    return spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_suppkey").agg(
         F.sum("l_quantity").alias("q"), F.count(F.lit(1)).alias("n"))
-    place = lambda c: F.row_number().over(Window.orderBy(F.desc(c), "l_suppkey")) - 1  # one row per supplier
-    return totals.select("l_suppkey", place("q").alias("rank")), totals.select("l_suppkey", place("n").alias("rank"))
 
 
 @query(sql=f"WITH {RANKINGS_SQL} SELECT count(*) AS n, round(corr(rank_a, rank_b), 6) AS spearman FROM a JOIN b USING (l_suppkey)")
 def ranking_agreement(spark, sf):
-    a, b = rankings(spark, sf)
-    return rounded(stats.rank_agreement(relations.ranking_join(a, b, "l_suppkey")))
+    totals = supplier_totals(spark, sf)
+    joined = relations.ranking_join(totals.withColumnRenamed("q", "rank"), totals.withColumnRenamed("n", "rank"), "l_suppkey")
+    return rounded(stats.rank_agreement(joined))
 
 
-@query(sql=f"""
-WITH {RANKINGS_SQL}, x AS (SELECT l_suppkey FROM a WHERE rank_a < 20), y AS (SELECT l_suppkey FROM b WHERE rank_b < 25),
-s AS (SELECT count(*) AS k FROM x JOIN y USING (l_suppkey))
-SELECT k AS shared, round(k / (20 + 25 - k), 6) AS jaccard, round(k / 20, 6) AS overlap FROM s""")
+@query(sql="""
+WITH t AS (SELECT l_suppkey, sum(l_quantity) AS q, count(*) AS n FROM lineitem GROUP BY 1),
+x AS (SELECT l_suppkey FROM t ORDER BY q DESC, l_suppkey LIMIT 20), y AS (SELECT l_suppkey FROM t ORDER BY n DESC, l_suppkey LIMIT 25),
+s AS (SELECT count(*) AS k, (SELECT count(*) FROM x) AS a, (SELECT count(*) FROM y) AS b FROM x JOIN y USING (l_suppkey))
+SELECT k AS shared, round(k / (a + b - k), 6) AS jaccard, round(k / least(a, b), 6) AS overlap FROM s""")
 def top_set_agreement(spark, sf):
-    a, b = rankings(spark, sf)
-    return rounded(stats.set_agreement(a.where("rank < 20"), b.where("rank < 25"), "l_suppkey"))
+    totals = supplier_totals(spark, sf)
+    best = lambda c, k: relations.top_k(totals, c, k, "l_suppkey").select("l_suppkey")
+    return rounded(stats.set_agreement(best("q", 20), best("n", 25), "l_suppkey"))
 
 
 MODEL_SQL = """

@@ -182,13 +182,6 @@ def top_feature_sweep(spark, sf):
     return rounded(experiments.top_k_sweep(matrix(spark, sf), COLUMNS, [1, 2, 4], TREES, FAST, k=2))
 
 
-def coded_catalogue(spark, sf):
-    df = CATALOGUE.frame(spark, sf)
-    coded, kept = experiments.encode_everything(df, "History of Inhibitor")
-    coded = coded.withColumns({"y": text.catalogue_label(F.col("`History of Inhibitor`")), "pos": F.col("id")})
-    return coded, kept
-
-
 @query(sql="""
 WITH t AS (SELECT o_orderkey AS id, coalesce(o_orderpriority, 'Unknown') AS a FROM orders),
 c AS (SELECT a, row_number() OVER (ORDER BY a) - 1 AS code FROM (SELECT DISTINCT a FROM t))
@@ -201,12 +194,14 @@ def label_encoded_columns(spark, sf):
 
 @query
 def leakage_audit(spark, sf):
-    coded, kept = coded_catalogue(spark, sf)
-    biology = [c for c in kept if c not in fv.IDENTIFIER_LIKE]
-    chosen = ["HGVS cDNA", "HGVS Protein", *[c for c in biology if c in ("Exon", "Domain", "Subtype", "Mechanism")]]
-    small = coded.select("id", "y", "pos", *[F.col(f"`{c}`").alias(c.replace(" ", "_")) for c in chosen])
-    names = [c.replace(" ", "_") for c in chosen]
-    audit = experiments.leakage_audit(small, names, names[:2], TREES)
+    identifiers, biology = ["HGVS cDNA", "HGVS Protein"], ["Exon", "Domain", "Subtype", "Mechanism"]
+    outcome = "History of Inhibitor"
+    df = CATALOGUE.frame(spark, sf).select("id", f"`{outcome}`", *[f"`{c}`" for c in identifiers + biology])
+    coded, kept = experiments.encode_everything(df, outcome)
+    small = coded.withColumns({"y": text.catalogue_label(f"`{outcome}`"), "pos": F.col("id")}).drop(outcome)
+    small = small.withColumnsRenamed({c: c.replace(" ", "_") for c in kept})
+    names = [c.replace(" ", "_") for c in kept]
+    audit = experiments.leakage_audit(small, names, [c.replace(" ", "_") for c in identifiers], TREES)
     return rounded(audit)
 
 
