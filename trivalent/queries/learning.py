@@ -280,12 +280,11 @@ def catalogue_matrix_shape(spark, sf):
 
 
 def matrix_profile(built, keep):
-    """Mean, filled share and range of every feature: one row per feature."""
+    """Mean and filled cells of every feature: one row per feature."""
     names = [c for c in built.columns if c not in keep]
-    row = built.agg(*[e for c in names for e in (
-        F.avg(c).alias(f"{c}|mean"), F.count(c).alias(f"{c}|n"), F.min(c).alias(f"{c}|lo"), F.max(c).alias(f"{c}|hi"))])
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}|mean`").alias("mean"), F.col(f"`{c}|n`").alias("n"),
-                               F.col(f"`{c}|lo`").alias("lo"), F.col(f"`{c}|hi`").alias("hi")) for c in names])
+    row = built.agg(*[F.avg(c).alias(f"{c}|mean") for c in names], *[F.count(c).alias(f"{c}|n") for c in names])
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}|mean`").alias("mean"), F.col(f"`{c}|n`").alias("n"))
+                      for c in names])
     return row.select(F.explode(cells).alias("c")).select("c.*")
 
 
