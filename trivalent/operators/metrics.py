@@ -87,9 +87,10 @@ def average_precision(df, label="y", score="p", by=(), splits=None) -> DataFrame
 
 def roc_points(df, label="y", score="p", by=(), splits=None, corners: bool = False) -> DataFrame:
     """One ROC point per distinct score; ``corners`` drops points inside straight runs."""
+    splits = ordered.range_splits(df, score) if splits is None else splits
     curve = score_curve(df, label, score, by, splits)
     if corners:
-        curve = _corner_points(curve, score, by, splits or ordered.range_splits(df, score))
+        curve = _corner_points(curve, score, by, splits)
     return curve.select(*by, F.col(score).alias("threshold"), fpr().alias("fpr"), tpr().alias("tpr"))
 
 
@@ -126,8 +127,14 @@ def youden_threshold(df, label="y", score="p", by=(), splits=None) -> DataFrame:
         youden_threshold_agg(score).alias("threshold"))
 
 
-def sensitivity_threshold(df, target: float = 0.90, label="y", score="p", by=(), splits=None) -> DataFrame:
-    return score_curve(df, label, score, by, splits).groupBy(*by).agg(
+def sensitivity_threshold(df, target: float = 0.90, label="y", score="p", by=(), splits=None,
+                          corners: bool = False) -> DataFrame:
+    """Highest threshold reaching ``target``, over all scores or over the curve's corner points only."""
+    splits = ordered.range_splits(df, score) if splits is None else splits
+    curve = score_curve(df, label, score, by, splits)
+    if corners:
+        curve = _corner_points(curve, score, by, splits)
+    return curve.groupBy(*by).agg(
         sensitivity_threshold_agg(score, target).alias("threshold"))
 
 

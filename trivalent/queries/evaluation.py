@@ -77,6 +77,15 @@ def sensitivity_target_threshold(spark, sf):
     return rounded(metrics.sensitivity_threshold(SCORES.frame(spark, sf), 0.9, by=["stratum"]))
 
 
+@query(sql=f"""
+WITH {curve_sql(by='stratum')}, d AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY p DESC) AS r,
+  lead(pos) OVER (PARTITION BY stratum ORDER BY p DESC) AS next_pos, lead(neg) OVER (PARTITION BY stratum ORDER BY p DESC) AS next_neg FROM c)
+SELECT stratum, round(max(p), 6) AS threshold FROM d WHERE tp / np >= 0.8::DOUBLE
+  AND (r = 1 OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg) GROUP BY stratum""")
+def sensitivity_target_at_corners(spark, sf):
+    return rounded(metrics.sensitivity_threshold(SCORES.frame(spark, sf), 0.8, by=["stratum"], corners=True))
+
+
 ACCURACY_SQL = f"""
 h AS (SELECT p, CAST(sum(y) AS BIGINT) AS pos, CAST(sum(1 - y) AS BIGINT) AS neg FROM {SCORES.sql} t
       WHERE y IS NOT NULL GROUP BY p),
@@ -249,7 +258,7 @@ def midranks(spark, sf):
 
 @query(sql=f"""
 WITH s AS (SELECT * FROM {SCORES.sql} t)
-SELECT stratum, unnest([0.05, 0.25, 0.5, 0.95]) AS prob,
+SELECT stratum, unnest([0.05::DOUBLE, 0.25, 0.5, 0.95]) AS prob,
   round(unnest(quantile_cont(q, [0.05, 0.25, 0.5, 0.95])), 6) AS "value" FROM s GROUP BY stratum""")
 def exact_quantiles(spark, sf):
     return rounded(ordered.quantiles(SCORES.frame(spark, sf), "q", [0.05, 0.25, 0.5, 0.95], ["stratum"]))

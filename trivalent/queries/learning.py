@@ -13,9 +13,10 @@ from ..plans import experiments, features, models, scoring
 from ..session import materialise
 from ..sources import tables
 from ..streaming import scoring as streaming
-from .bindings import CATALOGUE, MEMBERS, SCORES
+from .bindings import CATALOGUE, MEMBERS, SCORES, VARIANTS
 from .cohorts import CATALOGUE_LABEL, FUSED_SQL, fused, loaded_fused, records, scratch
 from .registry import query
+from .scalars import EFFECT_SQL, clean
 from .shared import AUC_SQL, curve_sql, rounded
 
 COLUMNS = ["alpha", "beta", "gamma", "pos"]
@@ -336,6 +337,33 @@ def scored_catalogue_table(spark, sf):
     return scoring.score_features(again, enc.align(built, names, ["id"], 0.0), rules, "youden", ["id"])
 
 
+def caller_records(spark, sf):
+    """The variant table reshaped to the fields a caller supplies."""
+    return VARIANTS.frame(spark, sf).selectExpr(
+        "mut_id AS record", "mut_effect AS effect", "d_id AS domain", "e_i_numb AS exon", "aa_numb AS aa_position", "aa_first",
+        "aa_last", "mut_type", "location", "ntchange", "n_bp", "CASE WHEN mut_id % 3 = 0 THEN 'svere' END AS severity",
+        "locnumb AS fviii_activity", "CAST(NULL AS STRING) AS fviii_antigen", "CASE WHEN mut_id % 2 = 0 THEN 'ii' END AS crm_type",
+        "CASE WHEN mut_id % 4 = 0 THEN '' ELSE 'africa' END AS region")
+
+
+@query(sql=f"""
+SELECT mut_id AS record, {EFFECT_SQL.format('e')} AS effect, coalesce(mut_type, 'Point') AS mut_type, coalesce(location, 'Exon') AS location,
+  coalesce(n_bp, '1') AS n_bp, TRY_CAST(aa_numb AS DOUBLE) + 19 AS aa_numb, CASE WHEN mut_id % 3 = 0 THEN 'Severe' ELSE 'Unknown' END AS severity,
+  CASE WHEN mut_id % 2 = 0 THEN 'II' ELSE 'Unknown' END AS crm_type, CASE WHEN mut_id % 4 = 0 THEN 'Unknown' ELSE 'africa' END AS region,
+  TRY_CAST(locnumb AS DOUBLE) AS fviii_activity FROM (SELECT *, lower({clean('mut_effect')}) AS e FROM {VARIANTS.sql} t)""")
+def caller_record_inputs(spark, sf):
+    shaped = scoring.registry_from_inputs(caller_records(spark, sf))
+    return shaped.select("record", "effect", "mut_type", "location", "n_bp", "aa_numb", "severity", "crm_type", "region", "fviii_activity")
+
+
+@query
+def caller_record_scores(spark, sf):
+    names = ["is_null_variant", "severity_ordinal", "fviii_activity", "relative_pos", "grantham"]
+    model = models.fit(materialise(features.registry_features(records(spark, sf), ["y"]).select("y", *names), "matrix"), names, FAST)
+    matrix = features.registry_features(scoring.registry_from_inputs(caller_records(spark, sf)), ["record"])
+    return scoring.score_features(model, enc.align(matrix, names, ["record"]), {"youden": 0.5}, "youden", ["record"])
+
+
 @query(sql="""
 WITH s AS (SELECT event_id, value / 500 AS p FROM events WHERE event_id % 50 <> 0)
 SELECT event_id, round(p, 4) AS risk, CASE WHEN p < 0.1::DOUBLE THEN 'Low' WHEN p < 0.25::DOUBLE THEN 'Moderate' WHEN p < 0.4::DOUBLE THEN 'High' ELSE 'Very high' END AS band,
