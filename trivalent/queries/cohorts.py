@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
@@ -14,7 +15,7 @@ from ..session import materialise, shared_folder
 from ..sources import tables
 from .bindings import CATALOGUE, MEMBERS, RECORDS, SCORES, VARIANTS
 from .registry import query
-from .scalars import (ACTIVITY, AA_SQL, CATALOGUE_EFFECT_SQL, EFFECT_SQL, NULLS, PROTEIN_SQL, READING, REGION_SQL,
+from .scalars import (ACTIVITY, AA_SQL, CATALOGUE_EFFECT_SQL, EFFECT_SQL, PROTEIN_SQL, READING, REGION_SQL,
                       REGISTRY_LABEL, REGISTRY_SEVERITY, clean, key)
 from .shared import AUC_SQL, curve_sql, rounded
 
@@ -150,9 +151,7 @@ SELECT model, round(auc_roc, 6) AS auc_roc, CAST(row_number() OVER (ORDER BY auc
 def ranked_model_report(spark, sf):
     long = MEMBERS.frame(spark, sf).unpivot(["id", "y"], ["alpha", "beta", "gamma"], "model", "p")
     board = relations.leaderboard(metrics.roc_auc(long, by=["model"]), "auc_roc")
-    from pyspark.sql import Window
-
-    return rounded(board.withColumn("place", F.row_number().over(Window.orderBy(F.desc("auc_roc"), "model"))))
+    return rounded(board.withColumn("place", F.row_number().over(Window.orderBy(F.desc("auc_roc"), "model"))))  # three rows
 
 
 # --- joins ----------------------------------------------------------------------

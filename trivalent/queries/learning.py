@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import encode as enc
 from ..functions import fixed_values as fv
 from ..functions import text
-from ..operators import aggregates, metrics, neighbours, ordered, quality, relations, splits
+from ..operators import metrics, neighbours, quality, splits
 from ..plans import experiments, features, models, scoring
 from ..session import materialise
 from ..sources import tables
 from ..streaming import scoring as streaming
 from .bindings import CATALOGUE, MEMBERS, SCORES, VARIANTS
-from .cohorts import CATALOGUE_LABEL, FUSED_SQL, fused, loaded_fused, records, scratch
+from .cohorts import FUSED_SQL, fused, loaded_fused, records, scratch
 from .registry import query
 from .scalars import EFFECT_SQL, clean
 from .shared import AUC_SQL, curve_sql, rounded
@@ -45,8 +46,6 @@ def imputed_and_scaled(spark, sf):
     df = matrix(spark, sf)
     fitted = models.Pipeline(stages=models.preparation(COLUMNS)).fit(df.where("fold <> 0"))
     out = fitted.transform(df.where("fold = 0"))
-    from pyspark.ml.functions import vector_to_array
-
     values = vector_to_array("features")
     return rounded(out.select("id", *[values[i].alias(c) for i, c in enumerate(COLUMNS)]), 4)
 

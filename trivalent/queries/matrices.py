@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions import text
 from ..plans import features
-from ..session import materialise
 from .bindings import CATALOGUE, RECORDS, VARIANTS
 from .cohorts import records
 from .registry import query
