@@ -244,7 +244,17 @@ class CatalogueFeatures:
 
     @classmethod
     def fit(cls, df: DataFrame) -> "CatalogueFeatures":
-        parsed = materialise(parsed_catalogue(df), "parsed")
+        return cls.fit_parsed(materialise(parsed_catalogue(df), "parsed"))
+
+    @classmethod
+    def fit_transform(cls, df: DataFrame, keep=()) -> tuple["CatalogueFeatures", DataFrame]:
+        """Fit and transform the same rows with the text parsed once."""
+        parsed = materialise(parsed_catalogue(df, keep), "parsed")
+        fitted = cls.fit_parsed(parsed)
+        return fitted, fitted.transform_parsed(parsed, keep)
+
+    @classmethod
+    def fit_parsed(cls, parsed: DataFrame) -> "CatalogueFeatures":
         positions = parsed.select(F.col("cd.cdna_pos").alias("pos")).where("pos is not null")
         return cls(
             exons=materialise(exon_map(parsed), "exons"),
@@ -260,8 +270,15 @@ class CatalogueFeatures:
         return cls(**{name: spark.read.parquet(f"{path}/{name}") for name in ("exons", "hotspots", "loads")})
 
     def transform(self, df: DataFrame, keep=()) -> DataFrame:
-        """135 columns in 7 blocks. Rows never depend on the other rows of the frame."""
-        staged = parsed_catalogue(df, keep).withColumns({
+        """135 columns in 7 blocks. Rows never depend on the other rows of the frame.
+
+        Parsed rows are stored: the density lookup and the final projection both
+        read them, and neither repeats the text work.
+        """
+        return self.transform_parsed(materialise(parsed_catalogue(df, keep), "parsed"), keep)
+
+    def transform_parsed(self, parsed: DataFrame, keep=()) -> DataFrame:
+        staged = parsed.withColumns({
             "mature": F.col("pr.mature_pos"), "ptc": F.col("pr.ptc_mature_pos"), "pos": F.col("cd.cdna_pos"),
             "stops": (F.col("pr.is_frameshift") + F.col("pr.is_nonsense")) > 0,
             "by_pos": intervals.span_name("pr.mature_pos")})

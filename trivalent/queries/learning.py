@@ -275,7 +275,7 @@ WITH h AS (SELECT id, "Variant Type" AS vt, lower(trim("Exon")) AS ex FROM {CATA
 SELECT count(*) AS n_rows, 135 AS n_features FROM h""")
 def catalogue_matrix_shape(spark, sf):
     df = CATALOGUE.frame(spark, sf)
-    built = features.CatalogueFeatures.fit(df).transform(df, ["id"])
+    _, built = features.CatalogueFeatures.fit_transform(df, ["id"])
     return built.agg(F.count("vtype_missense").alias("n_rows"), F.lit(len(built.columns) - 1).alias("n_features"))
 
 
@@ -291,7 +291,7 @@ def matrix_profile(built, keep):
 @query
 def catalogue_matrix(spark, sf):
     df = CATALOGUE.frame(spark, sf)
-    return rounded(matrix_profile(features.CatalogueFeatures.fit(df).transform(df, ["id"]), ["id"]))
+    return rounded(matrix_profile(features.CatalogueFeatures.fit_transform(df, ["id"])[1], ["id"]))
 
 
 @query
@@ -325,8 +325,8 @@ def covariate_block(spark, sf):
 @query
 def scored_catalogue_table(spark, sf):
     df = CATALOGUE.frame(spark, sf)
-    fitted = features.CatalogueFeatures.fit(df)
-    built = materialise(fitted.transform(df.withColumn("y", text.catalogue_label("`History of Inhibitor`")), ["id", "y"]), "matrix")
+    labelled = df.withColumn("y", text.catalogue_label("`History of Inhibitor`"))
+    built = materialise(features.CatalogueFeatures.fit_transform(labelled, ["id", "y"])[1], "matrix")
     names = ["is_null_mutation", "severity_ordinal", "mature_pos_norm", "grantham", "exon_norm"]
     model = models.fit(built, names, FAST)
     path = scratch(spark, "artefact")

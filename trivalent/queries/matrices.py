@@ -99,7 +99,7 @@ def five(df):
 def catalogue_matrix_rows(spark, sf):
     """42 of the 135 columns, at least two from every block, row by row."""
     df = CATALOGUE.frame(spark, sf)
-    built = features.CatalogueFeatures.fit(df).transform(df, ["id"])
+    _, built = features.CatalogueFeatures.fit_transform(df, ["id"])
     return five(built.select("id", *CATALOGUE_COLUMNS))
 
 
