@@ -125,18 +125,20 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     return map_texts(id_and_text(df, id_col, text_col), "ids array<int>, decoded string", per_batch)
 
 
-def encode_digests(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As :func:`encode`, but n_tokens, ids_sha256 and decoded_sha256 in place of ids and text."""
+def encode_digests(
+    df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
+) -> DataFrame:
+    """As :func:`encode`, but n_tokens, ids_sha256 and decoded_sha256 in place of the text, and ids only if asked for."""
     codec = Codec(vocabulary)
 
     def per_batch(texts: list[str]) -> dict[str, list]:
         coded = codec.code(texts)
+        ids = [[int(x) for x in c[0].split(",")] if c[0] else [] for c in coded] if with_ids else []
         return {
             "n_tokens": [c[1] for c in coded],
             "ids_sha256": [hashlib.sha256(c[0].encode()).hexdigest() for c in coded],
             "decoded_sha256": [hashlib.sha256(c[2].encode()).hexdigest() for c in coded],
-        }
+        } | ({"ids": pa.array(ids, pa.list_(pa.int32()))} if with_ids else {})
 
-    return map_texts(
-        id_and_text(df, id_col, text_col), "n_tokens long, ids_sha256 string, decoded_sha256 string", per_batch
-    )
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return map_texts(id_and_text(df, id_col, text_col), schema, per_batch)

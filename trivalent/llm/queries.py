@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, html_text, licenses, line_quality, pii, rules, simhash, token_counts
+from . import bpe, decontamination, html_text, licenses, line_dedup, line_quality, pii, rules, simhash, token_counts
 from .common import read
 
 
@@ -37,6 +38,20 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
 
 
+def op7_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.benchmark_hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("n_lines", F.size(F.split("text", "\n", -1)))
+    found = line_dedup.remove_repeated_passages(docs)
+    removed = F.aggregate("removed_ranges", F.lit(0), lambda n, r: n + r["stop"] - r["start"] + 1)
+    return found.select(
+        "doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
+        F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(read(spark, sf_dir, "pages"))
 
@@ -49,7 +64,53 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_pii, op2_token_counts, op3_line_quality, op4_rule_votes, op5_bpe_round_trip, op6_simhash_near_dedup,
-        op9_html_text, op10_license_scan,
+        op7_benchmark_hits, op8_repeated_passages, op9_html_text, op10_license_scan,
     )
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op8_repeated_passages": r"""
+        with docs as (
+            select doc_id, text, string_split(text, chr(10)) as s from documents where doc_id is not null and text is not null),
+        lines as (
+            select doc_id, text, unnest(range(len(s))) as pos, unnest(s) as line, unnest(list_append(s[2:], null)) as next_line
+            from (select distinct doc_id, text, s from docs)),
+        rolled as (
+            select *, next_line is null or md5(md5(line) || md5(next_line)) like '0%' as cut,
+                len(regexp_extract_all(line, '[^ \t-\r]+')) as words from lines),
+        often as (select line, count(*) as n from rolled group by line having count(*) > 1),
+        pairs as (select line, next_line, count(*) as n from rolled where not cut group by all having count(*) > 1),
+        glued as (
+            select p.line, p.next_line from pairs p join often a on p.line = a.line and p.n = a.n
+            join often b on p.next_line = b.line and p.n = b.n),
+        marked as (
+            select r.*, g.line is not null as glue from rolled r join often using (line)
+            left join glued g on r.line = g.line and r.next_line = g.next_line),
+        fresh as (
+            select *, coalesce(pos - lag(pos) over w > 1 or not lag(glue) over w, true)::int as is_fresh from marked
+            window w as (partition by doc_id, text order by pos)),
+        numbered as (select *, sum(is_fresh) over (partition by doc_id, text order by pos) as chunk from fresh),
+        chunks as (
+            select doc_id, text, chunk, min(pos) as start, max(pos) as stop, sum(words) as words, string_agg(line, chr(10) order by pos) as passage
+            from numbered group by doc_id, text, chunk),
+        firsts as (
+            select passage, min(doc_id) as first_id from chunks group by passage having min(doc_id) < max(doc_id)),
+        again as (select c.* from chunks c join firsts using (passage) where c.doc_id <> first_id),
+        again_fresh as (
+            select *, coalesce(start - lag(stop) over (partition by doc_id, text order by start) > 1, true)::int as is_fresh from again),
+        again_runs as (select *, sum(is_fresh) over (partition by doc_id, text order by start) as run from again_fresh),
+        removed as (
+            select doc_id, text, min(start) as start, max(stop) as stop from again_runs group by doc_id, text, run having sum(words) >= 50),
+        kept as (
+            select l.doc_id, l.text, string_agg(l.line, chr(10) order by l.pos) as kept from lines l
+            where not exists (select 1 from removed r where r.doc_id = l.doc_id and r.text = l.text and l.pos between r.start and r.stop)
+            group by l.doc_id, l.text),
+        changed as (select doc_id, text, sum(stop - start + 1) as n_removed from removed group by doc_id, text),
+        result as (
+            select d.doc_id, len(string_split(d.text, chr(10))) as n_lines, coalesce(c.n_removed, 0) as n_removed,
+                case when c.doc_id is null then d.text else coalesce(k.kept, '') end as kept
+            from documents d left join changed c on d.doc_id = c.doc_id and d.text = c.text
+            left join kept k on d.doc_id = k.doc_id and d.text = k.text)
+        select doc_id, n_lines::bigint as n_lines, n_removed::bigint as n_removed, length(kept)::bigint as n_chars, sha256(kept) as kept_sha256
+        from result
+    """,
+}
