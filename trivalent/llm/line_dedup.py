@@ -123,10 +123,10 @@ def remove_repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: st
     """
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
     docs = docs.where("doc_id is not null and text is not null")
-    gone = materialise(passages_to_remove(docs, min_words), "gone").select(
-        F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("ranges").alias("removed_ranges"))
-    rows = df.drop("removed_ranges").join(
-        gone, (F.col("__id") == df[id_col].cast("long")) & (F.col("__row") == F.xxhash64(df[text_col].cast("string"))), "left")
-    kept = F.array_join(without(F.split(text_col, "\n", -1), F.col("removed_ranges")), "\n")
-    rows = rows.withColumn(text_col, F.when(F.col("removed_ranges").isNull(), F.col(text_col)).otherwise(kept))
-    return rows.select(*[c for c in df.columns if c != "removed_ranges"], "removed_ranges")
+    gone = materialise(passages_to_remove(docs, min_words), "gone")
+    text = df[text_col].cast("string")
+    rows = df.join(gone, (gone["doc_id"] == df[id_col].cast("long")) & (gone["row"] == F.xxhash64(text)), "left")
+    ranges = gone["ranges"]
+    kept = F.when(ranges.isNull(), text).otherwise(F.array_join(without(F.split(text, "\n", -1), ranges), "\n"))
+    own = [kept.alias(c) if c == text_col else df[c] for c in df.columns if c != "removed_ranges"]
+    return rows.select(*own, ranges.alias("removed_ranges"))
