@@ -234,7 +234,7 @@ def test_shared_passages_go_and_the_rest_stays(spark):
     own = {i: [line(f"d{i}_") for _ in range(12)] for i in range(1, 13)}
     docs = {i: [greeting, *lines] for i, lines in own.items()}
     for i in (2, 3, 5, 8):
-        at = rnd.randrange(1, 12)
+        at = rnd.randrange(2, 12)
         docs[i][at:at] = passage
     for i in (3, 4, 9):
         docs[i].append(single)
