@@ -164,3 +164,40 @@ def test_bootstrap_brackets_and_repeats(spark):
     a = stats.bootstrap_interval(df, n_boot=80).first()
     b = stats.bootstrap_interval(df.repartition(5), n_boot=80).first()
     assert a["lo"] < a["point"] < a["hi"] and a["n_boot"] == 80 and tuple(a) == tuple(b)
+
+
+def test_chi_square_tail_at_small_and_large_tables():
+    import math
+
+    from trivalent.operators.stats import chi_square_p
+
+    assert chi_square_p(0.0, 3) == 1.0
+    assert math.isclose(chi_square_p(3.841458820694124, 1), 0.05, rel_tol=1e-9)
+    assert math.isclose(chi_square_p(4.0, 2), math.exp(-2), rel_tol=1e-12)
+    assert math.isclose(chi_square_p(67.50480654954, 50), 0.05, rel_tol=1e-6)
+    assert abs(chi_square_p(2000, 2000) - 0.4958) < 1e-3 and abs(chi_square_p(1600, 1601) - 0.503) < 1e-2
+    assert 0.49 < chi_square_p(20000, 20000) < 0.5 and chi_square_p(30000, 2000) == 0.0
+
+
+def test_one_class_keys_give_nulls(spark):
+    from trivalent.operators import stats
+
+    rows = [(1, "a", 1, 0.2, 0.3), (2, "a", 1, 0.4, 0.1), (3, "b", 1, 0.5, 0.2), (4, "b", 0, 0.1, 0.6), (5, "b", 0, 0.7, 0.4)]
+    df = spark.createDataFrame(rows, "id long, s string, y int, p double, q double")
+    one = df.where("s = 'a'")
+    found = {r.s: r for r in stats.mann_whitney(df, "p", by=["s"]).collect()}
+    assert found["a"].z is None and found["a"].p_value is None and found["b"].z is not None
+    assert stats.chi_square(one, "id").first().p_value is None
+    test = stats.paired_auc_test(one).first()
+    assert test.z is None and test.p_value is None
+    lone = stats.paired_auc_test(df.where("s = 'b'")).first()
+    assert lone.auc_a is not None and lone.z is None
+
+
+def test_chi_square_of_a_wide_category(spark):
+    from trivalent.operators import stats
+
+    df = spark.range(6000).selectExpr("id % 2000 AS k", "CAST(id % 3 = 0 AS INT) AS y")
+    assert 0.0 <= stats.chi_square(df, "k").first().p_value <= 1.0
+    even = spark.range(8000).selectExpr("id % 2000 AS k", "CAST(id >= 4000 AS INT) AS y")
+    assert stats.chi_square(even, "k").first().p_value > 0.99

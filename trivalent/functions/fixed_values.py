@@ -129,29 +129,29 @@ OTHER_RESIDUE_CODES = {"Ter": "*", "Sec": "U", "Xaa": "X"}
 GRANTHAM_WEIGHTS = (1.833, 0.1018, 0.000399)
 GRANTHAM_SCALE = 50.723
 
-# BLOSUM62, lower triangle; the upper half is its mirror image.
-BLOSUM62_LOWER = """
-A  4
-R -1  5
-N -2  0  6
-D -2 -2  1  6
-C  0 -3 -3 -3  9
-Q -1  1  0  0 -3  5
-E -1  0  0  2 -4  2  5
-G  0 -2  0 -1 -3 -2 -2  6
-H -2  0  1 -1 -3  0  0 -2  8
-I -1 -3 -3 -3 -1 -3 -3 -4 -3  4
-L -1 -2 -3 -4 -1 -2 -3 -4 -3  2  4
-K -1  2  0 -1 -3  1  1 -2 -1 -3 -2  5
-M -1 -1 -2 -3 -1  0 -2 -3 -2  1  2 -1  5
-F -2 -3 -3 -3 -2 -3 -3 -3 -1  0  0 -3  0  6
-P -1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4  7
-S  1 -1  1  0 -1  0  0  0 -1 -2 -2  0 -1 -2 -1  4
-T  0 -1  0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1  1  5
-W -3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1  1 -4 -3 -2 11
-Y -2 -2 -2 -3 -2 -1 -2 -3  2 -1 -1 -2 -1  3 -3 -2 -2  2  7
-V  0 -3 -3 -3 -1 -2 -2 -3 -3  3  1 -2  1 -1 -2 -2  0 -3 -1  4
-"""
+# BLOSUM62 (fixed values): each residue's score with the residues of the rows above, in order, and with itself.
+BLOSUM62 = {
+    "A": [4],
+    "R": [-1, 5],
+    "N": [-2, 0, 6],
+    "D": [-2, -2, 1, 6],
+    "C": [0, -3, -3, -3, 9],
+    "Q": [-1, 1, 0, 0, -3, 5],
+    "E": [-1, 0, 0, 2, -4, 2, 5],
+    "G": [0, -2, 0, -1, -3, -2, -2, 6],
+    "H": [-2, 0, 1, -1, -3, 0, 0, -2, 8],
+    "I": [-1, -3, -3, -3, -1, -3, -3, -4, -3, 4],
+    "L": [-1, -2, -3, -4, -1, -2, -3, -4, -3, 2, 4],
+    "K": [-1, 2, 0, -1, -3, 1, 1, -2, -1, -3, -2, 5],
+    "M": [-1, -1, -2, -3, -1, 0, -2, -3, -2, 1, 2, -1, 5],
+    "F": [-2, -3, -3, -3, -2, -3, -3, -3, -1, 0, 0, -3, 0, 6],
+    "P": [-1, -2, -2, -1, -3, -1, -1, -2, -2, -3, -3, -1, -2, -4, 7],
+    "S": [1, -1, 1, 0, -1, 0, 0, 0, -1, -2, -2, 0, -1, -2, -1, 4],
+    "T": [0, -1, 0, -1, -1, -1, -1, -2, -2, -1, -1, -1, -1, -2, -1, 1, 5],
+    "W": [-3, -3, -4, -4, -2, -2, -3, -2, -2, -3, -2, -3, -1, 1, -4, -3, -2, 11],
+    "Y": [-2, -2, -2, -3, -2, -1, -2, -3, 2, -1, -1, -2, -1, 3, -3, -2, -2, 2, 7],
+    "V": [0, -3, -3, -3, -1, -2, -2, -3, -3, 3, 1, -2, 1, -1, -2, -2, 0, -3, -1, 4],
+}
 
 # Risk bands, half-open.
 RISK_BANDS = [(0.00, 0.10, "Low"), (0.10, 0.25, "Moderate"), (0.25, 0.40, "High"),

@@ -84,24 +84,17 @@ def value_counts(df: DataFrame, column: str, blank: str = "(blank)") -> DataFram
     return df.groupBy(key.alias("value")).agg(F.count(F.lit(1)).alias("records"))
 
 
-def cardinality_audit(df: DataFrame, features: Sequence[str], cut: float = 0.5, margin: float = 0.15) -> DataFrame:
+def cardinality_audit(df: DataFrame, features: Sequence[str], cut: float = 0.5) -> DataFrame:
     """Distinct values per row and feature, and whether it looks like an identifier.
 
-    One pass sketches every feature; only features near or over the cut are counted exactly.
+    Features become (feature, value) pairs that combine map-side, so all exact
+    counts come from one scan and one shuffle of distinct pairs. The share is over all rows.
     """
-    sketch = df.agg(F.count(F.lit(1)).alias("_n"), *[
-        F.approx_count_distinct(f, 0.03).alias(f) for f in features])
-    row = sketch.first()
-    n = row["_n"]
-    near = [f for f in features if n and row[f] / n >= cut - margin]
-    spark = df.sparkSession
-    rough = [(f, row[f], False) for f in features if f not in near]
-    out = spark.createDataFrame(rough, "feature string, n_distinct long, exact boolean")
-    for f in near:
-        exact = df.select(f).where(F.col(f).isNotNull()).distinct().agg(F.count(F.lit(1)).alias("n_distinct"))
-        out = out.unionByName(exact.select(F.lit(f).alias("feature"), "n_distinct", F.lit(True).alias("exact")))
-    share = F.col("n_distinct") / F.lit(float(max(n, 1)))
-    return out.withColumns({"share": share, "identifier_like": share >= cut})
+    text = df.select(*[F.col(f).cast("string").alias(f) for f in features])
+    pairs = text.unpivot([], list(features), "feature", "value").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_n"))
+    share = F.try_divide(F.count("value"), F.sum("_n"))
+    out = pairs.groupBy("feature").agg(F.count("value").alias("n_distinct"), share.alias("share"))
+    return out.withColumn("identifier_like", F.col("share") >= cut)
 
 
 def pattern_share(df: DataFrame, column: str, pattern: str = fv.UUID4_PATTERN) -> DataFrame:

@@ -115,7 +115,7 @@ def share_at_or_below(reference: DataFrame, queries: DataFrame, value: str, by:
         queries.select(*by, value, F.lit(0).alias("_ref")))
     hist = histogram(both, value, {"n": F.sum("_ref"), "_asked": F.min("_ref")}, by)
     counted = running_totals(hist, value, ["n"], splits, by).where(F.col("_asked") == 0)
-    return counted.select(*by, value, ((F.col("n_before") + F.col("n")) / F.col("n_all")).alias(out))
+    return counted.select(*by, value, F.try_divide(F.col("n_before") + F.col("n"), F.col("n_all")).alias(out))
 
 
 def neighbour_count(reference: DataFrame, queries: DataFrame, position: str, widths: Sequence[float],
@@ -155,6 +155,7 @@ def step_gain(df: DataFrame, value: str, order: str, by: Sequence[str] = (), out
 def share_of_total(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "share") -> DataFrame:
     """Share of a key's total; the totals are combined map-side and joined back."""
     totals = df.groupBy(_key(by).alias("_key")).agg(F.sum(value).alias("_total"))
+    totals = totals if by else F.broadcast(totals)  # without a key it is one row
     return (
         df.withColumn("_key", _key(by)).join(totals, "_key")
         .withColumn(out, F.col(value) / F.nullif(F.col("_total"), F.lit(0))).drop("_key", "_total")

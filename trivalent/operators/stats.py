@@ -21,22 +21,36 @@ def two_sided_p(z: float) -> float:
 
 
 def chi_square_p(statistic: float, dof: int) -> float:
-    """Upper tail of chi-square by the finite series for whole degrees of freedom."""
+    """Upper tail of chi-square: the regularised incomplete gamma function Q(dof/2, statistic/2).
+
+    Below its mean the lower tail's series is summed, above it the continued
+    fraction (Lentz); the common factor is taken in logs, so large tables keep their p.
+    """
     if statistic <= 0:
         return 1.0
-    half = statistic / 2
-    if dof % 2 == 0:
-        term = total = math.exp(-half)
-        for i in range(1, dof // 2):
-            term *= half / i
+    shape, x = dof / 2, statistic / 2
+    scale = math.exp(shape * math.log(x) - x - math.lgamma(shape))
+    if x < shape + 1:
+        term = total = 1 / shape
+        step = shape
+        while term > total * 1e-16:
+            step += 1
+            term *= x / step
             total += term
-        return min(1.0, total)
-    total = math.erfc(math.sqrt(half))
-    term = math.exp(-half) * math.sqrt(half) / math.gamma(1.5)
-    for i in range(1, (dof + 1) // 2):
-        total += term
-        term *= half / (i + 0.5)
-    return min(1.0, total)
+        return min(1.0, max(0.0, 1 - scale * total))
+    tiny = 1e-300
+    b = x + 1 - shape
+    c, d = 1 / tiny, 1 / b
+    value = d
+    for i in range(1, 100_000):
+        a = -i * (i - shape)
+        b += 2
+        d = 1 / (a * d + b or tiny)
+        c = b + a / c or tiny
+        value *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return min(1.0, scale * value)
 
 
 def cross_tab(df: DataFrame, category: str, label: str = "y") -> DataFrame:
@@ -57,7 +71,7 @@ def chi_square(df: DataFrame, category: str, label: str = "y") -> DataFrame:
         expected = F.col("n") * F.col(side) / F.col("_t")
         gap = F.abs(F.col(observed) - expected)
         gap = gap - F.when(F.col("_k") == 2, F.least(F.lit(0.5), gap)).otherwise(0.0)
-        return F.pow(gap, 2) / expected
+        return F.try_divide(F.pow(gap, 2), expected)  # unknown where a class is empty
 
     row = joined.agg(
         F.max("_t").alias("n"), F.greatest(F.max("_k") - 1, F.lit(1)).cast("int").alias("dof"),
@@ -115,8 +129,8 @@ def set_agreement(a: DataFrame, b: DataFrame, key: str = "feature") -> DataFrame
         b.select(key).distinct().withColumn("_b", F.lit(1)), key, "full")
     shared = F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull())
     return both.agg(
-        shared.alias("shared"), (shared / F.count(F.lit(1))).alias("jaccard"),
-        (shared / F.least(F.count("_a"), F.count("_b"))).alias("overlap"))
+        shared.alias("shared"), F.try_divide(shared, F.count(F.lit(1))).alias("jaccard"),
+        F.try_divide(shared, F.least(F.count("_a"), F.count("_b"))).alias("overlap"))
 
 
 def mann_whitney(df: DataFrame, value: str, label: str = "y", by: Sequence[str] = (), splits=None) -> DataFrame:
@@ -128,9 +142,9 @@ def mann_whitney(df: DataFrame, value: str, label: str = "y", by: Sequence[str]
         F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)).alias("u"),
         F.sum(F.pow(size, 3) - size).alias("ties"))
     n = F.col("n1") + F.col("n2")
-    variance = F.col("n1") * F.col("n2") / 12 * ((n + 1) - F.col("ties") / (n * (n - 1)))
+    variance = F.col("n1") * F.col("n2") / 12 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1)))
     gap = F.greatest(F.abs(F.col("u") - F.col("n1") * F.col("n2") / 2) - 0.5, F.lit(0.0))
-    return with_p(table.withColumn("z", gap / F.sqrt(variance)).drop("ties"))
+    return with_p(table.withColumn("z", F.try_divide(gap, F.sqrt(variance))).drop("ties"))
 
 
 def with_value(df: DataFrame, function: Callable[..., float], columns: Sequence[str], out: str) -> DataFrame:
@@ -198,16 +212,17 @@ def paired_auc_test(df: DataFrame, a: str = "p", b: str = "q", label: str = "y",
 
     def gap_variance(u: str, v: str) -> Column:
         n = F.col(f"n_{u}")
-        mean = (F.col(f"s_{u}") - F.col(f"s_{v}")) / n
+        mean = F.try_divide(F.col(f"s_{u}") - F.col(f"s_{v}"), n)
         square = F.col(f"q_{u}") + F.col(f"q_{v}") - 2 * F.col(f"q_{u}{v}")
-        return (square - n * mean * mean) / (n - 1) / n
+        return F.try_divide(F.try_divide(square - n * mean * mean, n - 1), n)
 
     variance = gap_variance("xa", "xb") + gap_variance("ya", "yb")
     out = sums.select(
-        (F.col("s_xa") / F.col("n_xa")).alias("auc_a"), (F.col("s_xb") / F.col("n_xa")).alias("auc_b"),
+        metrics.ratio(F.col("s_xa"), F.col("n_xa")).alias("auc_a"), metrics.ratio(F.col("s_xb"), F.col("n_xa")).alias("auc_b"),
         variance.alias("variance")).select(
         "auc_a", "auc_b", (F.col("auc_a") - F.col("auc_b")).alias("delta"),
-        F.when(F.col("variance") > 0, (F.col("auc_a") - F.col("auc_b")) / F.sqrt("variance")).otherwise(0.0).alias("z"))
+        F.when(F.col("variance") > 0, F.try_divide(F.col("auc_a") - F.col("auc_b"), F.sqrt("variance")))
+        .when(F.col("variance").isNotNull(), 0.0).alias("z"))
     return with_p(out) if keep_p else out
 
 

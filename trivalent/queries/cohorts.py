@@ -17,7 +17,7 @@ from .bindings import CATALOGUE, MEMBERS, RECORDS, SCORES, VARIANTS
 from .registry import query
 from .scalars import (ACTIVITY, AA_SQL, CATALOGUE_EFFECT_SQL, EFFECT_SQL, PROTEIN_SQL, READING, REGION_SQL,
                       REGISTRY_LABEL, REGISTRY_SEVERITY, clean, key)
-from .shared import AUC_SQL, curve_sql, rounded
+from .shared import AUC_SQL, chi_square_p_sql, curve_sql, normal_p_sql, rounded
 
 
 def scratch(spark, name: str) -> str:
@@ -300,11 +300,12 @@ def value_counts_with_blanks(spark, sf):
 
 @query(sql=f"""
 WITH m AS (SELECT * FROM {MEMBERS.sql} t), n AS (SELECT count(*) AS n FROM m),
-d AS (SELECT 'id' AS feature, count(DISTINCT id) AS k FROM m UNION ALL SELECT 'alpha', count(DISTINCT alpha) FROM m)
+d AS (SELECT 'id' AS feature, count(DISTINCT id) AS k FROM m UNION ALL SELECT 'alpha', count(DISTINCT alpha) FROM m
+  UNION ALL SELECT 'beta', count(DISTINCT beta) FROM m UNION ALL SELECT 'grp', count(DISTINCT grp) FROM m)
 SELECT feature, k AS n_distinct, round(k / n, 6) AS share, k / n >= 0.5 AS identifier_like FROM d, n""")
 def near_unique_features(spark, sf):
     audit = aggregates.cardinality_audit(MEMBERS.frame(spark, sf), ["id", "alpha", "beta", "grp"])
-    return rounded(audit.where("exact").select("feature", "n_distinct", "share", "identifier_like"))
+    return rounded(audit.select("feature", "n_distinct", "share", "identifier_like"))
 
 
 @query(sql=f"""
@@ -411,18 +412,18 @@ s AS (SELECT *, sum(a) OVER () AS ta, sum(b) OVER () AS tb, sum(n) OVER () AS tn
 e AS (SELECT *, n * ta / tn AS ea, n * tb / tn AS eb FROM s),
 g AS (SELECT *, abs(a - ea) - CASE WHEN m = 2 THEN least(0.5::DOUBLE, abs(a - ea)) ELSE 0 END AS ga,
   abs(b - eb) - CASE WHEN m = 2 THEN least(0.5::DOUBLE, abs(b - eb)) ELSE 0 END AS gb FROM e)
-SELECT '{0}' AS category, CAST(max(tn) AS BIGINT) AS n, CAST(max(m) - 1 AS INT) AS dof,
-  round(sum(ga * ga / ea + gb * gb / eb), 5) AS statistic FROM g"""
+SELECT '{0}' AS category, n, CAST(dof AS INT) AS dof, round(x, 5) AS statistic, round(""" + chi_square_p_sql("x", "dof::DOUBLE") + """, 5) AS p_value FROM (
+  SELECT CAST(max(tn) AS BIGINT) AS n, max(m) - 1 AS dof, sum(ga * ga / ea + gb * gb / eb) AS x FROM g)"""
 
 
 @query(sql=CHI_SQL.format("study", SCORES.sql))
 def chi_square_many(spark, sf):
-    return rounded(stats.chi_square(SCORES.frame(spark, sf), "study").drop("p_value"), 5)
+    return rounded(stats.chi_square(SCORES.frame(spark, sf), "study"), 5)
 
 
 @query(sql=CHI_SQL.format("stratum", SCORES.sql))
 def chi_square_two_by_two(spark, sf):
-    return rounded(stats.chi_square(SCORES.frame(spark, sf), "stratum").drop("p_value"), 5)
+    return rounded(stats.chi_square(SCORES.frame(spark, sf), "stratum"), 5)
 
 
 @query(sql=f"""
@@ -456,13 +457,18 @@ def model_correlation_matrix(spark, sf):
 
 @query(sql=f"""
 WITH {curve_sql(by='stratum')}, u AS (SELECT stratum, max(np) AS n1, max(nn) AS n2, sum(pos * (nn - fp + neg / 2)) AS u,
-  sum(pow(pos + neg, 3) - (pos + neg)) AS ties FROM c GROUP BY stratum)
-SELECT stratum, n1, n2, u, round((abs(u - n1 * n2 / 2) - 0.5) / sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))), 5) AS z FROM u""")
+  sum(pow(pos + neg, 3) - (pos + neg)) AS ties FROM c GROUP BY stratum),
+w AS (SELECT stratum, n1, n2, u, (abs(u - n1 * n2 / 2) - 0.5) / sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS z FROM u)
+SELECT stratum, n1, n2, u, round(z, 5) AS z FROM w""")
 def mann_whitney(spark, sf):
     return rounded(stats.mann_whitney(SCORES.frame(spark, sf), "p", by=["stratum"]).drop("p_value"), 5)
 
 
-@query
+@query(sql=f"""
+WITH {curve_sql(by='stratum')}, u AS (SELECT stratum, max(np) AS n1, max(nn) AS n2, sum(pos * (nn - fp + neg / 2)) AS u,
+  sum(pow(pos + neg, 3) - (pos + neg)) AS ties FROM c GROUP BY stratum),
+w AS (SELECT stratum, n1, n2, u, (abs(u - n1 * n2 / 2) - 0.5) / sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS z FROM u)
+SELECT stratum, n1, n2, u, round(z, 5) AS z, round({normal_p_sql('z')}, 5) AS p_value FROM w""")
 def mann_whitney_with_p(spark, sf):
     return rounded(stats.mann_whitney(SCORES.frame(spark, sf), "p", by=["stratum"]), 5)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics, ordered, stats, strata
 from .bindings import MEMBERS, SCORES
 from .registry import query
-from .shared import AP_SQL, AUC_SQL, curve_sql, rounded
+from .shared import AP_SQL, AUC_SQL, curve_sql, normal_p_sql, rounded
 
 CUTS = [round(0.01 * i, 2) for i in range(1, 61)]
 GRID = [round(0.005 * i, 3) for i in range(200)]
@@ -319,9 +319,15 @@ def paired_auc_test(spark, sf):
     return rounded(out.withColumn("z", F.round("z", 4)))
 
 
-@query
+@query(sql=f"""
+WITH s AS (SELECT y, p, q FROM {SCORES.sql} t WHERE y IS NOT NULL), {placement_sql('p', 'a')}, {placement_sql('q', 'b')},
+r AS (SELECT y, a.beats AS xa, a.beaten AS ya, b.beats AS xb, b.beaten AS yb FROM s JOIN a ON a.s = p JOIN b ON b.s = q),
+v AS (SELECT avg(xa) FILTER (y = 1) AS auc_a, avg(xb) FILTER (y = 1) AS auc_b,
+  var_samp(xa - xb) FILTER (y = 1) / count(*) FILTER (y = 1) + var_samp(ya - yb) FILTER (y = 0) / count(*) FILTER (y = 0) AS v FROM r)
+SELECT round(auc_a, 6) AS auc_a, round(auc_b, 6) AS auc_b, round(auc_a - auc_b, 6) AS delta,
+  round((auc_a - auc_b) / sqrt(v), 4) AS z, round({normal_p_sql('(auc_a - auc_b) / sqrt(v)')}, 6) AS p_value FROM v""")
 def paired_auc_test_with_p(spark, sf):
-    return rounded(stats.paired_auc_test(SCORES.frame(spark, sf)))
+    return rounded(stats.paired_auc_test(SCORES.frame(spark, sf)).withColumn("z", F.round("z", 4)))
 
 
 @query

@@ -89,10 +89,14 @@ CATALOGUE_COLUMNS = [
 ]
 
 
+FIVE_DIGITS = ("log_span_nt", "mature_pos", "exon_length", "nearest_epitope_dist", "domain_variant_load", "ptc_pos", "fraction_protein_lost", "grantham")
+
+
 def five(df):
-    return rounded(rounded(df, 6).withColumns({c: F.round(c, 5) for c in (
-        "log_span_nt", "mature_pos", "exon_length", "nearest_epitope_dist", "domain_variant_load", "ptc_pos",
-        "fraction_protein_lost", "grantham") if c in df.columns}))
+    """Each column is rounded once: these to five digits, the others to six."""
+    five_ = [c for c in FIVE_DIGITS if c in df.columns]
+    rest = rounded(df.select(*[c for c in df.columns if c not in five_], *[F.col(c).cast("string").alias(c) for c in five_]))
+    return rest.withColumns({c: F.round(F.col(c).cast("double"), 5) + F.lit(0.0) for c in five_}).select(*df.columns)
 
 
 @query(sql=CATALOGUE_ROWS)

@@ -27,3 +27,16 @@ def curve_sql(source: str = SCORES.sql, score: str = "p", by: str = "", label: s
 
 AUC_SQL = "sum(pos * (nn - fp + neg / 2)) / (max(np) * max(nn))"
 AP_SQL = "sum(pos * tp / (tp + fp)) / max(np)"
+
+
+def normal_p_sql(z: str) -> str:
+    """Two-sided normal p: 1 less the error function's series of positive terms."""
+    x = f"greatest(least(abs({z}) / sqrt(2::DOUBLE), 6), 1e-12)"
+    term = f"exp(2 * k * ln(2::DOUBLE) + lgamma(k + 1) + (2 * k + 1) * ln({x}) - lgamma(2 * k + 2))"
+    return f"(1 - 2 / sqrt(pi()) * exp(-pow({x}, 2)) * list_sum(list_transform(range(0, 140), lambda k: {term})))"
+
+
+def chi_square_p_sql(statistic: str, dof: str) -> str:
+    """Upper tail of chi-square: 1 less the series of the lower incomplete gamma function."""
+    term = f"exp(({dof} / 2 + k) * ln({statistic} / 2) - {statistic} / 2 - lgamma({dof} / 2 + k + 1))"
+    return f"(1 - list_sum(list_transform(range(0, 2000), lambda k: {term})))"

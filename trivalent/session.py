@@ -39,14 +39,14 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a fresh one only in local mode."""
+    """The folder named by ``spark.checkpoint.dir``; a fresh one only in local mode, where none is set."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    folder = folder or sc.getCheckpointDir()
     if not folder:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         folder = tempfile.mkdtemp(prefix="trivalent-")
-        spark.conf.set("spark.checkpoint.dir", folder)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")
