@@ -158,19 +158,20 @@ def train(
     df: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
     sample_docs: int = 4000, sample_lines: int = 2000,
 ) -> Model:
-    """A model from at most ``sample_docs`` labelled documents of at most ``sample_lines`` lines, the first by a hash of the id.
+    """A model from at most ``sample_docs`` labelled documents, the first by a hash of the id.
 
-    Held-out rows and rows without an id, label or text are never used. What reaches
-    the driver is bounded by the two parameters: line features, no texts. Of an id
-    with several labels one row each is used. Without labelled rows of both classes,
+    Held-out rows and rows without an id, label or text are never used, nor are
+    sampled documents of more than ``sample_lines`` lines. The sample's ids are chosen
+    from the labels alone, so only they are sent to the documents and only their line
+    features to the driver; both are bounded by the parameters. Of an id with
+    several labels or texts each is a row. Without labelled rows of both classes,
     every document scores alike.
     """
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
-    chosen = usable.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("long").alias("label"))
+    chosen = usable.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("long").alias("label")).distinct()
+    chosen = chosen.orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id", "label").limit(sample_docs)
     n_lines = F.size(F.split(F.col("text"), "\n", -1))
-    texts = id_and_text(df, id_col, text_col).where(n_lines <= sample_lines)
-    first = F.xxhash64("doc_id", F.lit("sample"))
-    sample = texts.join(chosen, "doc_id").orderBy(first, "doc_id", "label", F.xxhash64("text")).limit(sample_docs)
+    sample = id_and_text(df, id_col, text_col).join(F.broadcast(chosen), "doc_id").where(n_lines <= sample_lines)
     bounded_batches(df.sparkSession)
 
     def shrink(batches):
@@ -181,8 +182,8 @@ def train(
                 names=["doc_id", "label", "features"],
             )
 
-    rows = sample.mapInArrow(shrink, "doc_id long, label long, features binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["label"], r["features"]))
+    rows = sample.mapInArrow(shrink, "doc_id long, label long, features binary")
+    rows = rows.orderBy("doc_id", "label", "features").limit(sample_docs).collect()
     both = [np.frombuffer(r["features"], dtype=np.float32).reshape(-1, FEATURES + 1).astype(np.float64) for r in rows]
     return fit([m[:, :FEATURES] for m in both], [m[:, FEATURES] for m in both], np.array([r["label"] for r in rows], dtype=float))
 
