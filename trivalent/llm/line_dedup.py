@@ -10,6 +10,11 @@ from trivalent.session import materialise
 WORD = r"[^ \t-\r]+"
 
 
+def large(df: DataFrame) -> DataFrame:
+    """A side that grows with the corpus: joined by sorting both sides, never broadcast, so plans are alike at every size."""
+    return df.hint("merge")
+
+
 def hashed_lines(docs: DataFrame) -> DataFrame:
     """One row a line: doc_id, row (a hash of the text), pos, h and next_h (hashes of the line and the next), words and cut.
 
@@ -41,10 +46,10 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     often = lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     pairs = lines.where("not cut").groupBy("h", "next_h").agg(F.count("*").alias("n")).where("n > 1")
     glued = (
-        pairs.join(often, ["h", "n"]).join(often.select(F.col("h").alias("next_h"), "n"), ["next_h", "n"])
+        pairs.join(large(often), ["h", "n"]).join(large(often.select(F.col("h").alias("next_h"), "n")), ["next_h", "n"])
         .select("h", "next_h", F.lit(True).alias("glued"))
     )
-    marked = lines.join(often.select("h"), "h").join(glued, ["h", "next_h"], "left")
+    marked = lines.join(large(often.select("h")), "h").join(large(glued), ["h", "next_h"], "left")
     in_doc = Window.partitionBy("doc_id", "row").orderBy("pos")
     gap = F.col("pos") - F.lag("pos").over(in_doc)
     fresh = F.coalesce((gap > 1) | ((gap == 1) & F.lag("glued").over(in_doc).isNull()), F.lit(True))
@@ -72,7 +77,7 @@ def chunk_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows of ``wanted`` (doc_id, row, start, stop, ...) with the text of their lines."""
     fields = [c for c in wanted.columns if c not in ("doc_id", "row")]
     of_doc = wanted.groupBy("doc_id", "row").agg(F.collect_set(F.struct(*fields)).alias("wanted"))
-    found = docs.withColumn("row", F.xxhash64("text")).join(of_doc, ["doc_id", "row"])
+    found = docs.withColumn("row", F.xxhash64("text")).join(large(of_doc), ["doc_id", "row"])
     found = found.select("doc_id", "row", F.split("text", "\n", -1).alias("lines"), F.explode("wanted").alias("one"))
     text = F.array_join(F.slice("lines", F.col("one.start") + 1, F.col("one.stop") - F.col("one.start") + 1), "\n")
     return found.select("doc_id", "row", "one.*", text.alias("passage")).distinct()
@@ -84,14 +89,14 @@ def passages_to_remove(docs: DataFrame, min_words: int) -> DataFrame:
     first = chunks.groupBy("key").agg(
         F.min(F.struct("doc_id", "row", "start", "stop")).alias("first"), F.max("doc_id").alias("last_id"))
     first = first.where("first.doc_id < last_id").select("key", "first")
-    again = chunks.join(first, "key").where("doc_id <> first.doc_id")
+    again = chunks.join(large(first), "key").where("doc_id <> first.doc_id")
     again = materialise(in_runs(again, min_words).drop("run"), "again")
     # Byte comparison: equal hashes only propose; the lines' text must equal that of the first place.
     originals = again.select("first.*", "key", F.lit(0).alias("words"), F.lit(True).alias("original")).distinct()
     copies = again.select("doc_id", "row", "start", "stop", "key", "words", F.lit(False).alias("original"))
     texts = materialise(chunk_texts(docs, originals.unionByName(copies.select(*originals.columns))), "passages")
     original = texts.where("original").select("key", F.col("passage").alias("first_passage")).distinct()
-    same = texts.where("not original").join(original, "key").where("passage = first_passage")
+    same = texts.where("not original").join(large(original), "key").where("passage = first_passage")
     kept = in_runs(same.select("doc_id", "row", "start", "stop", "words"), min_words)
     runs = kept.groupBy("doc_id", "row", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
     return runs.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("ranges"))
@@ -125,7 +130,7 @@ def remove_repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: st
     docs = docs.where("doc_id is not null and text is not null")
     gone = materialise(passages_to_remove(docs, min_words), "gone")
     text = df[text_col].cast("string")
-    rows = df.join(gone, (gone["doc_id"] == df[id_col].cast("long")) & (gone["row"] == F.xxhash64(text)), "left")
+    rows = df.join(large(gone), (gone["doc_id"] == df[id_col].cast("long")) & (gone["row"] == F.xxhash64(text)), "left")
     ranges = gone["ranges"]
     kept = F.when(ranges.isNull(), text).otherwise(F.array_join(without(F.split(text, "\n", -1), ranges), "\n"))
     own = [kept.alias(c) if c == text_col else df[c] for c in df.columns if c != "removed_ranges"]
