@@ -24,6 +24,20 @@ def test_out_of_fold_scores_every_labelled_row_once(spark, table):
     assert metrics.roc_auc(oof).first()[0] > 0.7
 
 
+def test_out_of_fold_uses_the_folds_there_are(spark, table):
+    three = table.withColumn("fold", F.col("fold") % 3)
+    assert models.out_of_fold(three, ["a"], FAST, "l2").select("id").distinct().count() == table.where("y IS NOT NULL").count()
+    with pytest.raises(ValueError):
+        models.out_of_fold(table.where("fold = 1"), ["a"], FAST, "l2")
+
+
+def test_repeats_average_a_rows_scores(spark, table):
+    oof, summary = models.cross_validate(table, ["a"], {"l2": FAST}, repeats=2)
+    rows = oof.collect()
+    assert len(rows) == table.where("y IS NOT NULL").count() and {r["repeats"] for r in rows} == {2}
+    assert summary.first()["folds"] == 10
+
+
 def test_row_scores_do_not_depend_on_the_batch(spark, table):
     model = models.fit(table.where("fold <> 0"), ["a", "b"], FAST)
     batch = {r["id"]: r["p"] for r in models.score(model, table.where("fold = 0"), ["id"]).collect()}

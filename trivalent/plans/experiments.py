@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..operators import metrics, relations, splits, stats
-from ..session import materialise
+from ..session import materialise, small_side
 from . import models
 
 
@@ -28,12 +28,12 @@ def block_sets(blocks: dict[str, list[str]]) -> dict[str, list[str]]:
     return {name: fs for name, fs in sets.items() if fs}
 
 
-def ablate(df: DataFrame, sets: dict[str, list[str]], factory: models.Factory, k: int = 5) -> DataFrame:
+def ablate(df: DataFrame, sets: dict[str, list[str]], factory: models.Factory) -> DataFrame:
     """Out-of-fold AUC per feature set, on the same stored folds."""
     every = sorted({f for fs in sets.values() for f in fs})
     table = models.fold_table(df, ["id", "fold", "y", *every])
     def measure(name: str, fs: list[str]) -> tuple:
-        oof = models.out_of_fold(table, fs, factory, name, k=k, parallelism=2)
+        oof = models.out_of_fold(table, fs, factory, name, parallelism=2)
         return name, len(fs), float(metrics.roc_auc(oof).first()["auc_roc"])
 
     rows = models.at_once([lambda n=name, f=fs: measure(n, f) for name, fs in sets.items()])
@@ -46,10 +46,10 @@ def forest_ranking(model: PipelineModel, features: Sequence[str]) -> list[str]:
 
 
 def top_k_sweep(df: DataFrame, features: Sequence[str], ks: Sequence[int], ranker: models.Factory,
-                factory: models.Factory, k: int = 5) -> DataFrame:
+                factory: models.Factory) -> DataFrame:
     chosen = models.usable(df, features)
     order = forest_ranking(models.fit(df, chosen, ranker), chosen)
-    return ablate(df, {f"top:{n}": order[:n] for n in ks}, factory, k)
+    return ablate(df, {f"top:{n}": order[:n] for n in ks}, factory)
 
 
 # --- leakage audit -----------------------------------------------------------------
@@ -135,7 +135,7 @@ def missingness_probe(df: DataFrame, features: Sequence[str], factory: models.Fa
     stacked = relations.stack_states(labelled, unlabelled).select(key, F.col("recorded").alias("y"), *[
         F.coalesce(F.col(f), F.lit(0.0)).alias(f) for f in features])
     folded = models.fold_table(splits.stratified_folds(stacked, key, "y", k), [key, "fold", "y", *features])
-    oof = models.out_of_fold(folded, features, factory, "probe", key=key, k=k)
+    oof = models.out_of_fold(folded, features, factory, "probe", key=key)
     return metrics.summary(oof, threshold=0.5).select(
         F.col("tp") + F.col("fn"), F.col("tn") + F.col("fp"), "auc_roc").toDF("n_labelled", "n_unlabelled", "reporting_auc").withColumn(
         "missing_at_random", F.col("reporting_auc") < cut)
@@ -146,26 +146,30 @@ def self_train(df: DataFrame, features: Sequence[str], factory: models.Factory,
                pseudo_weight: float = 0.5) -> tuple[PipelineModel, DataFrame]:
     """Adopt the surest unlabelled rows in capped rounds at reduced weight.
 
-    Each round's training rows and pool are written out, so lineage never grows.
+    The labelled rows and the pool are stored once; a round stores only what it adopts.
     """
     columns = [key, label, "trust", *features]
-    start = df.withColumn("trust", F.lit(1.0)).select(*columns)
-    train = materialise(start.where(F.col(label).isNotNull()), "selftrain")
-    pool = materialise(start.where(F.col(label).isNull()), "selftrain")
-    prevalence = float(train.agg(F.avg(F.col(label).cast("double"))).first()[0])
+    start = materialise(df.withColumn("trust", F.lit(1.0)).select(*columns), "selftrain")
+    labelled, pool = start.where(F.col(label).isNotNull()), start.where(F.col(label).isNull())
+    counts = start.agg(F.avg(F.col(label).cast("double")).alias("prevalence"), F.count_if(F.col(label).isNull()).alias("left")).first()
+    prevalence, left = float(counts["prevalence"]), counts["left"]
 
     learn = lambda rows: models.fit(rows, features, factory, label, trust="trust")
+    train, rest = labelled, pool
     model, history = learn(train), []
+    taken = None
     for i in range(rounds):
-        scored = models.score(model, pool, columns)
+        scored = models.score(model, rest, columns)
         adopted = materialise(relations.adopt_confident(scored, prevalence, "p", key, hi, lo, per_round), "selftrain")
         counts = adopted.agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")).first()
         if counts["pos"] + counts["neg"] == 0:
             break
-        grown, rest = relations.append_adopted(train, adopted, pool, key, pseudo_weight, "trust")
-        train, pool = materialise(grown, "selftrain"), materialise(rest, "selftrain")
+        grown, _ = relations.append_adopted(labelled.limit(0), adopted, pool, key, pseudo_weight, "trust")
+        taken = grown if taken is None else taken.unionByName(grown)
+        train, rest = labelled.unionByName(taken), pool.join(small_side(taken.select(key)), key, "left_anti")
         model = learn(train)
-        history.append((i + 1, counts["pos"], counts["neg"], pool.count()))
+        left -= counts["pos"] + counts["neg"]
+        history.append((i + 1, counts["pos"], counts["neg"], left))
     return model, df.sparkSession.createDataFrame(
         history, "round int, adopted_positive long, adopted_negative long, pool_remaining long")
 
@@ -180,25 +184,27 @@ def transfer(source: DataFrame, target: DataFrame, features: Sequence[str], keys
     """
     model = models.fit(source, features, factory)
     scored = materialise(models.score(model, target, ["y", *keys]), "transfer")
-    source_keys = materialise(source.select(*keys).distinct(), "transfer")
-    asked = scored if resolvable is None else scored.where(resolvable)
-    shared = relations.overlap(asked, source_keys, keys).withColumn("rows", F.lit("shared"))
-    novel = relations.overlap(asked, source_keys, keys, shared=False).withColumn("rows", F.lit("novel"))
-    parts = scored.withColumn("rows", F.lit("all")).unionByName(shared).unionByName(novel).select("rows", "y", "p")
-    labelled = parts.withColumn("labels", F.explode(F.array(F.lit("recorded"), F.lit("unknown_negative"))))
-    labelled = labelled.withColumn("y", F.when(
+    asked = F.lit(True) if resolvable is None else F.coalesce(resolvable, F.lit(False))
+    same = [F.col(f"_{k}").eqNullSafe(F.col(k)) for k in keys]
+    known = materialise(source.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct().withColumn("_known", F.lit(True)), "transfer")
+    marked = scored.withColumn("_asked", asked).join(known, same, "left")
+    part = F.when(F.col("_asked") & F.col("_known"), F.lit("shared")).when(F.col("_asked"), F.lit("novel"))
+    marked = materialise(marked.select(part.alias("part"), "y", "p"), "transfer")
+    each = marked.withColumn("rows", F.explode(F.array_compact(F.array(F.lit("all"), F.col("part"))))).withColumn(
+        "labels", F.explode(F.array(F.lit("recorded"), F.lit("unknown_negative"))))
+    again = each.withColumn("y", F.when(
         F.col("labels") == "unknown_negative", F.coalesce("y", F.lit(0))).otherwise(F.col("y")))
-    return metrics.summary(labelled, by=["rows", "labels"], threshold=0.5).select(
+    return metrics.summary(again, by=["rows", "labels"], threshold=0.5).select(
         "rows", "labels", "n", "prevalence", "auc_roc", "auc_pr", "brier", "ece")
 
 
-def covariate_value(df: DataFrame, arms: dict[str, list[str]], factory: models.Factory, k: int = 5) -> tuple[DataFrame, DataFrame]:
+def covariate_value(df: DataFrame, arms: dict[str, list[str]], factory: models.Factory) -> tuple[DataFrame, DataFrame]:
     """Arms on identical folds, and the paired test of the last arm against the first."""
     zoo = {}
     every = sorted({f for fs in arms.values() for f in fs})
     table = models.fold_table(df, ["id", "fold", "y", *every])
     for name, fs in arms.items():
-        zoo[name] = models.out_of_fold(table, fs, factory, name, k=k)
+        zoo[name] = models.out_of_fold(table, fs, factory, name)
     rows = [(name, len(arms[name]), float(metrics.roc_auc(oof).first()["auc_roc"])) for name, oof in zoo.items()]
     first, last = list(zoo)[0], list(zoo)[-1]
     pair = zoo[last].select("id", "y", "p").join(zoo[first].select("id", F.col("p").alias("q")), "id")
@@ -236,9 +242,12 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
 
 
 def training_medians(df: DataFrame, features: Sequence[str]) -> dict[str, float]:
-    """Median per feature from one sketch pass (the same summary the imputer fits)."""
-    values = df.approxQuantile(list(features), [0.5], 0.001)
-    return {f: v[0] for f, v in zip(features, values) if v}
+    """Exact median per feature: values combine to counts first, so a frequent value is one row."""
+    long = df.select(*[F.col(f).cast("double").alias(f) for f in features]).unpivot([], list(features), "feature", "value")
+    counts = long.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.groupBy("feature").agg(F.percentile("value", 0.5, F.col("n")).alias("median")).collect()
+    by = {r["feature"]: r["median"] for r in found}
+    return {f: by[f] for f in features if f in by}
 
 
 def reset_attribution(model: PipelineModel, df: DataFrame, medians: dict[str, float], key: str = "id", top: int = 8) -> DataFrame:

@@ -15,11 +15,11 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, metrics, ordered, stats
+from ..operators import aggregates, metrics, ordered, splits, stats
 from ..session import materialise
 
 Factory = Callable[[int, int], object]  # (training rows, features) -> estimator
@@ -109,14 +109,25 @@ def score(model: PipelineModel, df: DataFrame, keep: Sequence[str], out: str = "
     return model.transform(df).select(*keep, vector_to_array("probability")[1].alias(out))
 
 
+def fold_values(df: DataFrame, fold: str = "fold") -> list:
+    """The folds that ``df`` has, in order: a handful of values."""
+    return sorted(r[fold] for r in df.select(fold).where(F.col(fold).isNotNull()).distinct().collect())
+
+
 def out_of_fold(df: DataFrame, features: Sequence[str], factory: Factory, name: str, fold: str = "fold", key: str = "id",
-                label: str = "y", k: int = 5, parallelism: int = 4) -> DataFrame:
-    """Every labelled row scored by a model that never saw its fold: (id, fold, y, model, p)."""
-    def held_scores(i: int) -> DataFrame:
+                label: str = "y", parallelism: int = 4) -> DataFrame:
+    """Every labelled row scored by a model that never saw its fold: (id, fold, y, model, p).
+
+    The folds are those of the column, however many there are; a single one is an error.
+    """
+    def held_scores(i) -> DataFrame:
         model = fit(df.where(F.col(fold) != i), features, factory, label)
         return score(model, df.where((F.col(fold) == i) & F.col(label).isNotNull()), [key, fold, label])
 
-    parts = at_once([lambda i=i: held_scores(i) for i in range(k)], parallelism)
+    folds = fold_values(df, fold)
+    if len(folds) < 2:
+        raise ValueError(f"column {fold} has {len(folds)} fold(s); two or more are needed")
+    parts = at_once([lambda i=i: held_scores(i) for i in folds], parallelism)
     return materialise(stacked(parts).withColumn("model", F.lit(name)), "oof")
 
 
@@ -127,38 +138,65 @@ def stacked(parts: Sequence[DataFrame]) -> DataFrame:
     return whole
 
 
-def fold_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Features and folds computed once and stored, so every fit and scoring pass only reads."""
-    return materialise(df.select(*columns), "folds")
-
-
-def cross_validate(df: DataFrame, features: Sequence[str], zoo: dict[str, Factory], k: int = 5, key: str = "id",
-                   fold: str = "fold") -> tuple[DataFrame, DataFrame]:
-    """Out-of-fold scores of every model and their ranked fold summary."""
-    table = fold_table(df, [key, fold, "y", *features])
-    oof = stacked(at_once([
-        lambda n=name, f=factory: out_of_fold(table, features, f, n, fold, key, k=k) for name, factory in zoo.items()], 2))
-    by_fold = metrics.roc_auc(oof, by=["model", fold])
-    return oof, aggregates.fold_summary(by_fold).orderBy(F.desc("mean"), "model")
+def fold_table(df: DataFrame, columns: Sequence[str], fold: str = "fold") -> DataFrame:
+    """Features and folds computed once and stored by fold, so a fit or scoring pass reads only its folds."""
+    return materialise(df.select(*columns), "folds", [fold])
 
 
-def nested_search(df: DataFrame, features: Sequence[str], space: dict[str, Sequence], candidates: int = 4, k: int = 5,
-                  inner: int = 4, seed: int = 42, parallelism: int = 4) -> DataFrame:
-    """Tune on inner folds, score the untouched outer fold: one row per outer fold.
+def cross_validate(df: DataFrame, features: Sequence[str], zoo: dict[str, Factory], key: str = "id", fold: str = "fold",
+                   repeats: int = 1, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Out-of-fold scores of every model and their ranked fold summary.
 
-    ``space`` lists values of LogisticRegression parameters; ``candidates`` of
-    their combinations are drawn. Inner folds come from column ``inner_fold``.
+    With ``repeats`` above 1 the rows are dealt anew for each repeat, in as many
+    stratified folds as the column has; a row's scores are averaged over repeats, and
+    the summary is over all folds of all repeats.
+    """
+    tables = [fold_table(df, [key, fold, "y", *features], fold)]
+    k = len(fold_values(tables[0], fold)) if repeats > 1 else 0
+    for r in range(1, repeats):
+        again = splits.stratified_folds(tables[0].drop(fold), key, "y", k, seed=seed + r).withColumnRenamed("fold", fold)
+        tables.append(fold_table(again, [key, fold, "y", *features], fold))
+    runs = [(r, t, name, factory) for r, t in enumerate(tables) for name, factory in zoo.items()]
+    oof = stacked(at_once([
+        lambda r=r, t=t, n=n, f=f: out_of_fold(t, features, f, n, fold, key).withColumn("repeat", F.lit(r)) for r, t, n, f in runs], 2))
+    by_fold = metrics.roc_auc(oof, by=["model", "repeat", fold])
+    summary = aggregates.fold_summary(by_fold).orderBy(F.desc("mean"), "model")
+    return (aggregates.average_repeats(oof, ["model", key]) if repeats > 1 else oof.drop("repeat")), summary
+
+
+def families() -> dict[str, tuple[object, dict[str, Callable[[random.Random], object]]]]:
+    """Learners of the nested search, each with the ranges its parameters are drawn from."""
+    log_uniform = lambda lo, hi: lambda rng: lo * (hi / lo) ** rng.random()
+    common = {"labelCol": "y", "weightCol": "weight"}
+    return {
+        "logistic": (LogisticRegression(standardization=False, **common), {
+            "regParam": log_uniform(1e-4, 1.0), "elasticNetParam": lambda rng: rng.random()}),
+        "forest": (RandomForestClassifier(seed=42, **common), {
+            "numTrees": lambda rng: rng.randrange(50, 401), "maxDepth": lambda rng: rng.randrange(3, 13),
+            "minInstancesPerNode": lambda rng: rng.randrange(1, 11)}),
+        "boosting": (GBTClassifier(seed=42, subsamplingRate=0.8, **common), {
+            "maxIter": lambda rng: rng.randrange(50, 301), "stepSize": log_uniform(0.01, 0.3),
+            "maxDepth": lambda rng: rng.randrange(2, 6)}),
+    }
+
+
+def nested_search(df: DataFrame, features: Sequence[str], family: str = "logistic", candidates: int = 20, inner: int = 4,
+                  seed: int = 42, parallelism: int = 4, ranges: dict | None = None) -> DataFrame:
+    """Tune on inner folds, score the untouched outer fold: one row per outer fold of ``df``.
+
+    ``candidates`` settings are drawn from the family's ranges (or from ``ranges``).
+    Inner folds come from column ``inner_fold``.
     """
     rng = random.Random(seed)
+    learner, own = families()[family]
+    space = ranges or own
     rows = []
-    for i in range(k):
+    for i in fold_values(df):
         train, _ = with_class_weight(df.where((F.col("fold") != i) & F.col("y").isNotNull()).withColumn(
             "y", F.col("y").cast("double")))
         train = train.withColumn("inner_fold", F.col("inner_fold").cast("int"))
-        learner = LogisticRegression(labelCol="y", weightCol="weight", standardization=False, maxIter=30)
-        names = sorted(space)
-        grid = [dict(zip(names, [rng.choice(list(space[n])) for n in names])) for _ in range(candidates)]
-        maps = [ParamGridBuilder().baseOn({getattr(learner, n): v for n, v in g.items()}).build()[0] for g in grid]
+        grid = [{n: draw(rng) for n, draw in sorted(space.items())} for _ in range(candidates)]
+        maps = [{getattr(learner, n): v for n, v in g.items()} for g in grid]
         search = CrossValidator(
             estimator=Pipeline(stages=[*preparation(features), learner]), estimatorParamMaps=maps,
             evaluator=BinaryClassificationEvaluator(labelCol="y"), numFolds=inner, foldCol="inner_fold",
@@ -166,8 +204,8 @@ def nested_search(df: DataFrame, features: Sequence[str], space: dict[str, Seque
         best = max(range(len(grid)), key=lambda j: search.avgMetrics[j])
         held = df.where((F.col("fold") == i) & F.col("y").isNotNull())
         outer = metrics.roc_auc(score(search.bestModel, held, ["y"])).first()["auc_roc"]
-        rows.append((i, float(outer), float(search.avgMetrics[best]), str(grid[best])))
-    return df.sparkSession.createDataFrame(rows, "fold int, outer_auc double, inner_auc double, chosen string")
+        rows.append((i, family, float(outer), float(search.avgMetrics[best]), str(grid[best])))
+    return df.sparkSession.createDataFrame(rows, "fold int, family string, outer_auc double, inner_auc double, chosen string")
 
 
 class Calibrator:
@@ -177,11 +215,16 @@ class Calibrator:
         self.model, self.lo, self.hi = model, lo, hi
 
     @classmethod
-    def fit(cls, df: DataFrame, score: str = "p", label: str = "y", digits: int = 4, bounded: bool = True,
-            n_bins: int = 10) -> "Calibrator":
-        """Scores combine to at most 10^digits + 1 weighted cells before the isotonic fit."""
+    def fit(cls, df: DataFrame, score: str = "p", label: str = "y", bounded: bool = True, n_bins: int = 10,
+            digits: int | None = None) -> "Calibrator":
+        """Equal scores combine to one weighted cell before the isotonic fit.
+
+        With ``digits`` the scores are rounded first, which bounds the number of cells
+        (the fit gathers its last one on one machine) at the price of that rounding.
+        """
         known = df.where(F.col(label).isNotNull())
-        cells = metrics.score_histogram(known.withColumn(score, F.round(F.col(score), digits)), label, score)
+        known = known if digits is None else known.withColumn(score, F.round(F.col(score), digits))
+        cells = metrics.score_histogram(known, label, score)
         n = F.col("pos") + F.col("neg")
         cells = cells.select(F.col(score).alias("features"), (F.col("pos") / n).alias("label"), n.cast("double").alias("weight"))
         model = IsotonicRegression(weightCol="weight").fit(cells)

@@ -332,7 +332,7 @@ def paired_auc_test_with_p(spark, sf):
 
 @query
 def bootstrap_auc_interval(spark, sf):
-    return rounded(stats.bootstrap_interval(SCORES.frame(spark, sf), n_boot=200, by=["stratum"]))
+    return rounded(stats.bootstrap_interval(SCORES.frame(spark, sf), by=["stratum"]))
 
 
 def members_long(spark, sf):
