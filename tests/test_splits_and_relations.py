@@ -114,3 +114,21 @@ def test_quality_checks_catch_what_they_should(spark):
     assert sorted(r["state"] for r in states.collect()) == ["fail", "pass"]
     assert not quality.label_blind(df, "id", ["y"], lambda d: d.select("id", "y")).first()["passed"]
     assert quality.label_blind(df, "id", ["y"], lambda d: d.select("id", "pos")).first()["passed"]
+
+
+def test_splits_do_not_depend_on_the_digits_counted(spark, monkeypatch):
+    from trivalent.operators import splits
+
+    df = spark.range(3000).selectExpr("id", "CAST(id % 3 = 0 AS INT) AS y", "CAST(id % 40 AS DOUBLE) AS pos")
+
+    def everything():
+        folds = {r["id"]: r["fold"] for r in splits.stratified_folds(df, "id").collect()}
+        blocks = {r["id"]: r["block"] for r in splits.position_blocks(df, "pos", "id", n_blocks=7).collect()}
+        order = {r["id"]: r["order"] for r in splits.hash_order(df, "id", 1).collect()}
+        return folds, blocks, order
+
+    first = everything()
+    assert sorted(first[2].values()) == list(range(3000))
+    for levels in ((1, 2), (1, 5), (2, 3, 4)):
+        monkeypatch.setattr(splits, "LEVELS", levels)
+        assert everything() == first

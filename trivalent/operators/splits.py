@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from ..session import materialise
 from . import ordered
 
-PREFIX = 3  # hex digits of the digest: 4,096 even buckets
+#: Hex digits of the digest by which rows are counted, level by level: only buckets that hold a cut are looked at
+#: again, so the rows that are sorted in one task are one of 16^6 parts of all rows.
+LEVELS = (3, 6)
 
 
 def digest(key, seed: int) -> Column:
@@ -25,36 +27,50 @@ def digest(key, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
-def _bucket(hash_col: str) -> Column:
-    return F.substring(hash_col, 1, PREFIX)
+def _bucket(hash_col: str, digits: int) -> Column:
+    return F.substring(hash_col, 1, digits)
 
 
 def _key(by: Sequence[str]) -> Column:
     return F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
 
 
+def rows_at(keyed: DataFrame, starts: DataFrame) -> DataFrame:
+    """The rows (_key, _h) of ``keyed`` whose 0-based rank by _h in their key is one of the key's ``_starts``.
+
+    ``starts`` has one row a key. Rows are counted by ever longer prefixes of _h, each
+    time only in the buckets that hold a wanted rank.
+    """
+    wanted = starts.select("_key", F.lit("").alias("_b"), F.lit(0).cast("long").alias("_before"), "_starts")
+    done = 0
+    for digits in LEVELS:
+        near = keyed.withColumn("_b", _bucket("_h", done)).join(wanted, ["_key", "_b"])
+        counts = near.groupBy("_key", "_b", _bucket("_h", digits).alias("_c")).agg(
+            F.count(F.lit(1)).alias("_n"), F.first("_before").alias("_from"), F.first("_starts").alias("_starts"))
+        up_to = Window.partitionBy("_key", "_b").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+        placed = counts.withColumn("_before", F.col("_from") + F.coalesce(F.sum("_n").over(up_to), F.lit(0)))
+        held = placed.withColumn("_starts", F.filter(
+            "_starts", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n"))))
+        # One row per cut at most. Stored, so Catalyst knows its size when joining.
+        wanted = materialise(held.where(F.size("_starts") > 0).select(
+            "_key", F.col("_c").alias("_b"), "_before", "_starts"), "cuts")
+        done = digits
+    near = keyed.withColumn("_b", _bucket("_h", done)).join(wanted, ["_key", "_b"])
+    inside = Window.partitionBy("_key", "_b").orderBy("_h")
+    ranked = near.withColumn("_rank", F.col("_before") + F.row_number().over(inside) - 1)
+    return ranked.where(F.array_contains("_starts", F.col("_rank"))).select("_key", "_h")
+
+
 def cut_points(df: DataFrame, hash_col: str, by: Sequence[str], sizes) -> DataFrame:
     """Digest of the first row of each part but the first: one row per key.
 
-    ``sizes`` maps the row count column to the list of ranks at which a new part
-    starts. Buckets are counted first; only buckets holding a cut are sorted.
+    ``sizes`` maps the row count column to the list of ranks at which a new part starts.
     """
     keyed = df.select(_key(by).alias("_key"), F.col(hash_col).alias("_h"))
-    counts = keyed.groupBy("_key", _bucket("_h").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
-    up_to = Window.partitionBy("_key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "_key", "_b", "_n", F.coalesce(F.sum("_n").over(up_to), F.lit(0)).alias("_before"),
-        F.sum("_n").over(Window.partitionBy("_key")).alias("_all"))
-    wanted = offsets.withColumn("_starts", F.filter(
-        F.array(*sizes(F.col("_all"))),
-        lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n")) & (r < F.col("_all"))))
-    # One row per cut at most. Stored, so Catalyst knows its size when joining.
-    wanted = materialise(wanted.where(F.size("_starts") > 0).select("_key", "_b", "_before", "_starts"), "cuts")
-    near = keyed.withColumn("_b", _bucket("_h")).join(wanted, ["_key", "_b"])
-    inside = Window.partitionBy("_key", "_b").orderBy("_h")
-    ranked = near.withColumn("_rank", F.col("_before") + F.row_number().over(inside) - 1)
-    return ranked.where(F.array_contains("_starts", F.col("_rank"))).groupBy("_key").agg(
-        F.array_sort(F.collect_list("_h")).alias("_cuts"))
+    counts = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_all"))
+    inside = F.filter(F.array(*[s.cast("long") for s in sizes(F.col("_all"))]), lambda r: r < F.col("_all"))
+    starts = materialise(counts.select("_key", inside.alias("_starts")), "cuts")
+    return rows_at(keyed, starts).groupBy("_key").agg(F.array_sort(F.collect_list("_h")).alias("_cuts"))
 
 
 def assign_part(df: DataFrame, hash_col: str, by: Sequence[str], sizes, out: str) -> DataFrame:
@@ -143,18 +159,9 @@ def position_blocks(df: DataFrame, position: str, key: str, n_blocks: int = 10,
     held = ranks.withColumn("_starts", F.filter(starts, inside)).where(F.size("_starts") > 0)
     # At most n_blocks - 1 positions hold a cut.
     held = materialise(held.select(
-        "_pos", F.transform("_starts", lambda r: r - F.col("n_before")).alias("_local")), "cuts")
-    rows_here = filled.select("_pos", "_h").join(F.broadcast(held), "_pos")
-    counts = rows_here.groupBy("_pos", _bucket("_h").alias("_b")).agg(
-        F.count(F.lit(1)).alias("_n"), F.first("_local").alias("_local"))
-    earlier = Window.partitionBy("_pos").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    wanted = offsets.withColumn("_local", F.filter("_local", lambda r: (r >= F.col("_before")) & (
-        r < F.col("_before") + F.col("_n")))).where(F.size("_local") > 0).select("_pos", "_b", "_before", "_local")
-    near = rows_here.drop("_local").withColumn("_b", _bucket("_h")).join(F.broadcast(wanted), ["_pos", "_b"])
-    order = Window.partitionBy("_pos", "_b").orderBy("_h")
-    cuts = near.withColumn("_rank", F.col("_before") + F.row_number().over(order) - 1).where(
-        F.array_contains("_local", F.col("_rank")))
+        F.struct("_pos").alias("_key"), F.transform("_starts", lambda r: (r - F.col("n_before")).cast("long")).alias("_starts")), "cuts")
+    keyed = filled.select(F.struct("_pos").alias("_key"), "_h").join(F.broadcast(held.select("_key")), "_key")
+    cuts = rows_at(keyed, held).select("_key._pos", "_h")
     points = cuts.agg(F.collect_list(F.struct("_pos", "_h")).alias("_cuts"), F.lit(1).alias("_one"))
     here = F.struct("_pos", "_h")
     return (
@@ -175,13 +182,21 @@ def region_holdout(df: DataFrame, position: str, key: str, n_blocks: int = 5, se
 
 
 def hash_order(df: DataFrame, key, seed: int, out: str = "order") -> DataFrame:
-    """Dense 0-based index of rows in digest order; rows spread over 4,096 even buckets."""
-    staged = df.withColumn("_h", digest(key, seed)).withColumn("_b", _bucket("_h"))
-    counts = staged.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # 4,096 rows at most
-    offsets = counts.select("_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    """Dense 0-based index of rows in digest order.
+
+    Rows are spread over 16^6 even buckets and sorted inside them; what lies before
+    a bucket is summed inside its coarse bucket and over the 4,096 coarse ones.
+    """
+    coarse, fine = LEVELS[0], LEVELS[-1]
+    staged = df.withColumn("_h", digest(key, seed)).withColumn("_b", _bucket("_h", fine))
+    counts = staged.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_c", _bucket("_b", coarse))
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = counts.groupBy("_c").agg(F.sum("_n").alias("_n"))
+    totals = totals.select("_c", before(Window.orderBy("_c")).alias("_far"))  # 16^3 rows at most
+    offsets = counts.withColumn("_near", before(Window.partitionBy("_c").orderBy("_b"))).join(F.broadcast(totals), "_c")
+    offsets = offsets.select("_b", (F.col("_far") + F.col("_near")).alias("_before"))
     inside = Window.partitionBy("_b").orderBy("_h")
-    return staged.join(F.broadcast(offsets), "_b").withColumn(
+    return staged.join(offsets, "_b").withColumn(
         out, F.col("_before") + F.row_number().over(inside) - 1).drop("_h", "_b", "_before")
 
 
