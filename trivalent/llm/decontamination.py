@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -95,6 +97,15 @@ class Matcher:
         return [(k, *v) for k, v in sorted(found.items())]
 
 
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """The items (id, text) in blocks of about ``block_bytes``; an id's texts are in one block, items without id in none."""
+    items = id_and_text(benchmark, item_col, text_col).where("doc_id is not null").distinct()
+    blocks = (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes + 1
+    for block in range(blocks):
+        own = items.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == block).orderBy("doc_id", "text").collect()
+        yield [(r["doc_id"], r["text"]) for r in own]
+
+
 def benchmark_hits(
     df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", rate: float = 0.05, least_chars: int = 25, block_bytes: int = 1 << 20,
@@ -111,16 +122,10 @@ def benchmark_hits(
     the nearest counts; empty tables give an empty result.
     """
     docs = id_and_text(df, id_col, text_col)
-    items = id_and_text(benchmark, item_col, item_text_col).where("doc_id is not null").distinct()
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = total // block_bytes + 1
     bounded_batches(df.sparkSession)
-    schema = "doc_id long, item_id long, distance long, item_chars long, end long"
-
-    def one_block(block: int) -> DataFrame:
-        own = items.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == block).orderBy("doc_id", "text").collect()
-        texts = [(r["doc_id"], r["text"]) for r in own]
+    names = ["doc_id", "item_id", "distance", "item_chars", "end"]
 
+    def one_block(texts: list[tuple[int, str]]) -> DataFrame:
         def run(batches):
             matcher = Matcher(texts, rate, least_chars)
             for batch in batches:
@@ -130,18 +135,31 @@ def benchmark_hits(
                     for item_id, distance, end, n in matcher.find(plain(text))
                 ]
                 columns = list(zip(*rows)) or [[]] * 5
-                names = ["doc_id", "item_id", "distance", "item_chars", "end"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
-        return docs.mapInArrow(run, schema)
+        return docs.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+    parts = [one_block(texts) for texts in item_blocks(benchmark, item_col, item_text_col, block_bytes)]
+    return reduce(DataFrame.unionByName, parts)
 
-    out = one_block(0)
-    for block in range(1, blocks):
-        out = out.unionByName(one_block(block))
-    return out
 
+def drop_contaminated(
+    df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    rate: float = 0.05, least_chars: int = 25, block_bytes: int = 1 << 20,
+) -> DataFrame:
+    """The rows of ``df``, all columns, in which no benchmark item is found (as in :func:`benchmark_hits`).
+
+    Rows are dropped where they are, block after block of items, so no document is shuffled and an id is not needed.
+    """
+    bounded_batches(df.sparkSession)
+
+    def without(rows: DataFrame, texts: list[tuple[int, str]]) -> DataFrame:
+        def run(batches):
+            matcher = Matcher(texts, rate, least_chars)
+            for batch in batches:
+                clean = [not matcher.find(plain(t or "")) for t in batch.column(text_col).to_pylist()]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        return rows.mapInArrow(run, df.schema)
 
-def drop_contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``df``, all columns, in which no benchmark item is found. Rows without id are kept."""
-    found = benchmark_hits(df, benchmark, id_col=id_col, **how).select(F.col("doc_id").alias(id_col)).distinct()
-    return df.join(found, id_col, "left_anti").select(*df.columns)
+    return reduce(without, item_blocks(benchmark, item_col, item_text_col, block_bytes), df)

@@ -7,7 +7,6 @@ from functools import reduce
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -237,7 +236,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **ho
     Of rows with the same id one stays. Rows without an id are all kept.
     """
     found = near_duplicates(df, id_col, text_col, **how)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct().hint("merge")  # grows with the corpus: never broadcast
     return (
         df.where(F.col(id_col).isNotNull()).join(first, id_col, "left_semi").dropDuplicates([id_col])
         .unionByName(df.where(F.col(id_col).isNull())).select(*df.columns)
