@@ -43,13 +43,13 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     other lines.
     """
     lines = materialise(hashed_lines(docs), "lines")
-    often = lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    often = materialise(lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "often")
     pairs = lines.where("not cut").groupBy("h", "next_h").agg(F.count("*").alias("n")).where("n > 1")
-    glued = (
-        pairs.join(large(often), ["h", "n"]).join(large(often.select(F.col("h").alias("next_h"), "n")), ["next_h", "n"])
-        .select("h", "next_h", F.lit(True).alias("glued"))
-    )
-    marked = lines.join(large(often.select("h")), "h").join(large(glued), ["h", "next_h"], "left")
+    glued = pairs.join(large(often), ["h", "n"]).join(large(often.select(F.col("h").alias("next_h"), "n")), ["next_h", "n"])
+    pair = F.xxhash64("h", "next_h").alias("pair")
+    glued = materialise(glued.select(pair, F.lit(True).alias("glued")).dropDuplicates(["pair"]), "glued")
+    # Stored sides and a key of its own for each join, so that Spark can split the partition of a very common line or pair.
+    marked = lines.join(large(often.select("h")), "h").withColumn("pair", pair).join(large(glued), "pair", "left")
     in_doc = Window.partitionBy("doc_id", "row").orderBy("pos")
     gap = F.col("pos") - F.lag("pos").over(in_doc)
     fresh = F.coalesce((gap > 1) | ((gap == 1) & F.lag("glued").over(in_doc).isNull()), F.lit(True))
@@ -88,7 +88,7 @@ def passages_to_remove(docs: DataFrame, min_words: int) -> DataFrame:
     chunks = materialise(repeated_chunks(docs), "chunks")
     first = chunks.groupBy("key").agg(
         F.min(F.struct("doc_id", "row", "start", "stop")).alias("first"), F.max("doc_id").alias("last_id"))
-    first = first.where("first.doc_id < last_id").select("key", "first")
+    first = materialise(first.where("first.doc_id < last_id").select("key", "first"), "first")
     again = chunks.join(large(first), "key").where("doc_id <> first.doc_id")
     again = materialise(in_runs(again, min_words).drop("run"), "again")
     # Byte comparison: equal hashes only propose; the lines' text must equal that of the first place.
