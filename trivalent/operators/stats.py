@@ -245,15 +245,21 @@ def tie_tier(oof: DataFrame, alpha: float = 0.05, key: str = "id", label: str =
 
 
 def bootstrap_interval(df: DataFrame, label: str = "y", score: str = "p", metric: str = "auc_roc", n_boot: int = 2000,
-                       digits: int = 3, alpha: float = 0.05, seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
-    """Stratified bootstrap percentile interval of one metric.
+                       digits: int = 3, alpha: float = 0.05, seed: int = 42, by: Sequence[str] = (),
+                       threshold: float | None = None, hist: DataFrame | None = None) -> DataFrame:
+    """Stratified bootstrap percentile interval of one metric, at ``threshold`` or at each draw's own Youden point.
+
+    ``hist`` may give the counts (key, score, pos, neg) in place of rows.
 
     Rows collapse to counts per rounded score. Drawing those counts per class
     from a multinomial is the same as drawing the rows, so a replicate costs the
     number of score cells (at most 10^digits + 1), not the number of rows.
     """
-    cells = metrics.score_histogram(
-        df.withColumn(score, F.round(F.col(score), digits)), label, score, by).withColumn(
+    if hist is None:
+        cells = metrics.score_histogram(df.withColumn(score, F.round(F.col(score), digits)), label, score, by)
+    else:
+        cells = hist.groupBy(*by, F.round(F.col(score), digits).alias(score)).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    cells = cells.withColumn(
         "unit", F.struct(*by) if by else F.struct(F.lit(0).alias("all")))
     packed = cells.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct(score, "pos", "neg"))).alias("_cells"))
     reps = packed.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_boot)))).repartition("unit", "replicate")
@@ -266,7 +272,7 @@ def bootstrap_interval(df: DataFrame, label: str = "y", score: str = "p", metric
         "unit", "replicate", "c.*").where(F.col("pos") + F.col("neg") > 0)
     # A replicate's cells are few, so one window per replicate orders them.
     curve = metrics.score_curve(flat, score=score, by=["unit", "replicate"], splits=[], hist=flat)
-    values = metrics.summarise_curve(curve, score, ["unit", "replicate"]).select(
+    values = metrics.summarise_curve(curve, score, ["unit", "replicate"], threshold).select(
         "unit", "replicate", F.col(metric).cast("double").alias("_m")).where(F.col("_m").isNotNull())
     resampled = F.col("replicate") > 0
     out = values.groupBy("unit").agg(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import text
-from . import metrics, ordered
+from . import metrics, ordered, stats
 
 
 def stratum_names(masks: dict[str, Column]) -> Column:
@@ -49,16 +49,25 @@ def stratum_histogram(df: DataFrame, masks: dict[str, Column], label="y", score=
 
 
 def stratum_report(df: DataFrame, masks: dict[str, Column], threshold: float | None = None, label="y",
-                   score="p", min_events: int = 10) -> DataFrame:
-    """Metrics per stratum; NULL where either class has fewer than ``min_events`` rows."""
+                   score="p", min_events: int = 10, n_boot: int = 0) -> DataFrame:
+    """Metrics per stratum; NULL where either class has fewer than ``min_events`` rows.
+
+    With ``n_boot`` the bootstrap interval of the AUC is added; it draws from the strata's score counts.
+    """
     splits = ordered.range_splits(df, score)
     hist = stratum_histogram(df, masks, label, score)
     curve = metrics.score_curve(hist, score=score, by=["stratum"], splits=splits, hist=hist)
     full = metrics.summarise_curve(curve, score, ["stratum"], threshold)
     events = F.col("tp") + F.col("fn")
     stable = (events >= min_events) & (F.col("n") - events >= min_events)
-    return full.select(
+    out = full.select(
         "stratum", "n", events.alias("events"), "prevalence",
         *[F.when(stable, F.col(c)).alias(c) for c in ("auc_roc", "sensitivity", "specificity")],
         F.when(stable, "").otherwise(
             F.concat(F.lit("too few events ("), events.cast("string"), F.lit(") for a stable estimate"))).alias("note"))
+    if not n_boot:
+        return out
+    interval = stats.bootstrap_interval(df, score=score, n_boot=n_boot, by=["stratum"], hist=hist)
+    known = F.col("auc_roc").isNotNull()
+    return out.join(interval.select("stratum", "lo", "hi"), "stratum", "left").select(
+        *out.columns, F.when(known, F.col("lo")).alias("auc_lo"), F.when(known, F.col("hi")).alias("auc_hi"))

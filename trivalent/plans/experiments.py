@@ -177,8 +177,8 @@ def self_train(df: DataFrame, features: Sequence[str], factory: models.Factory,
 # --- transfer and added columns -------------------------------------------------------
 
 def transfer(source: DataFrame, target: DataFrame, features: Sequence[str], keys: Sequence[str], factory: models.Factory,
-             resolvable: Column | None = None) -> DataFrame:
-    """Fit on one registry, score the other: all, shared and novel rows, both label conventions.
+             resolvable: Column | None = None, n_boot: int = 2000) -> DataFrame:
+    """Fit on one registry, score the other: all, shared and novel rows, both label conventions, each with the AUC's interval.
 
     Both frames hold ``y``, the shared features and the identity ``keys``.
     """
@@ -194,22 +194,24 @@ def transfer(source: DataFrame, target: DataFrame, features: Sequence[str], keys
         "labels", F.explode(F.array(F.lit("recorded"), F.lit("unknown_negative"))))
     again = each.withColumn("y", F.when(
         F.col("labels") == "unknown_negative", F.coalesce("y", F.lit(0))).otherwise(F.col("y")))
-    return metrics.summary(again, by=["rows", "labels"], threshold=0.5).select(
-        "rows", "labels", "n", "prevalence", "auc_roc", "auc_pr", "brier", "ece")
+    again = again.select("rows", "labels", "y", "p")
+    interval = stats.bootstrap_interval(again, n_boot=n_boot, by=["rows", "labels"]).select(
+        "rows", "labels", F.col("lo").alias("auc_lo"), F.col("hi").alias("auc_hi"))
+    return metrics.summary(again, by=["rows", "labels"], threshold=0.5).join(interval, ["rows", "labels"], "left").select(
+        "rows", "labels", "n", "prevalence", "auc_roc", "auc_lo", "auc_hi", "auc_pr", "brier", "ece")
 
 
-def covariate_value(df: DataFrame, arms: dict[str, list[str]], factory: models.Factory) -> tuple[DataFrame, DataFrame]:
-    """Arms on identical folds, and the paired test of the last arm against the first."""
-    zoo = {}
+def covariate_value(df: DataFrame, arms: dict[str, list[str]], factory: models.Factory) -> DataFrame:
+    """Arms on identical folds; the last arm's row also has its gain over the first and the paired test's p."""
     every = sorted({f for fs in arms.values() for f in fs})
     table = models.fold_table(df, ["id", "fold", "y", *every])
-    for name, fs in arms.items():
-        zoo[name] = models.out_of_fold(table, fs, factory, name)
-    rows = [(name, len(arms[name]), float(metrics.roc_auc(oof).first()["auc_roc"])) for name, oof in zoo.items()]
-    first, last = list(zoo)[0], list(zoo)[-1]
-    pair = zoo[last].select("id", "y", "p").join(zoo[first].select("id", F.col("p").alias("q")), "id")
-    table = df.sparkSession.createDataFrame(rows, "arm string, n_features int, auc_roc double")
-    return table, stats.paired_auc_test(pair)
+    runs = {name: models.out_of_fold(table, fs, factory, name) for name, fs in arms.items()}
+    first, last = list(runs)[0], list(runs)[-1]
+    test = stats.paired_auc_test(
+        runs[last].select("id", "y", "p").join(runs[first].select("id", F.col("p").alias("q")), "id")).first()
+    rows = [(name, len(arms[name]), float(metrics.roc_auc(oof).first()["auc_roc"]),
+             *((test["delta"], test["p_value"]) if name == last else (None, None))) for name, oof in runs.items()]
+    return df.sparkSession.createDataFrame(rows, "arm string, n_features int, auc_roc double, gain double, p_value double")
 
 
 # --- attributions ----------------------------------------------------------------------

@@ -8,9 +8,9 @@ from pyspark.sql import types as T
 
 from ..functions import encode as enc
 from ..functions import fixed_values as fv
-from ..functions import text
+from ..functions import notation, text
 from ..operators import metrics, neighbours, quality, splits
-from ..plans import experiments, features, models, scoring
+from ..plans import experiments, features, final, models, scoring
 from ..session import materialise
 from ..sources import tables
 from ..streaming import scoring as streaming
@@ -250,7 +250,29 @@ def cross_registry_transfer(spark, sf):
 @query
 def covariate_experiment(spark, sf):
     arms = {"members": ["gamma"], "place": ["beta", "pos"], "both": ["gamma", "alpha", "beta", "pos"]}
-    return rounded(experiments.covariate_value(matrix(spark, sf), arms, FAST)[0])
+    return rounded(experiments.covariate_value(matrix(spark, sf), arms, FAST))
+
+
+@query
+def final_stage_report(spark, sf):
+    """Held-out metrics at each named threshold, the thresholds chosen on calibrated out-of-fold scores."""
+    stage = final.final_stage(matrix(spark, sf).drop("fold"), COLUMNS, FAST)
+    stage.save(scratch(spark, "artefact"))
+    return rounded(stage.report, 4)
+
+
+@query
+def audit_interpretation(spark, sf):
+    """What identifiers explain of the lift, from an audit whose blocks follow real variant positions."""
+    identifiers, biology = ["HGVS cDNA", "HGVS Protein"], ["Exon", "Domain", "Subtype", "Mechanism"]
+    outcome = "History of Inhibitor"
+    df = CATALOGUE.frame(spark, sf).select("id", f"`{outcome}`", *[f"`{c}`" for c in identifiers + biology])
+    place = notation.with_cdna(df.select("id", "`HGVS cDNA`"), "`HGVS cDNA`").select("id", F.col("cdna.cdna_pos").alias("pos"))
+    coded, kept = experiments.encode_everything(df, outcome)
+    names = [c.replace(" ", "_") for c in kept]
+    small = coded.withColumn("y", text.catalogue_label(f"`{outcome}`")).drop(outcome).withColumnsRenamed(dict(zip(kept, names)))
+    audit = experiments.leakage_audit(small.join(place, "id"), names, [c.replace(" ", "_") for c in identifiers], FAST)
+    return rounded(experiments.interpret_audit(audit), 4)
 
 
 @query
