@@ -15,10 +15,10 @@ from ..session import materialise
 from ..sources import tables
 from ..streaming import scoring as streaming
 from .bindings import CATALOGUE, MEMBERS, SCORES, VARIANTS
-from .cohorts import FUSED_SQL, fused, loaded_fused, records, scratch
+from .cohorts import CATALOGUE_LABEL, FUSED_SQL, fused, loaded_fused, records, scratch
 from .registry import query
 from .scalars import EFFECT_SQL, clean
-from .shared import AUC_SQL, curve_sql, rounded
+from .shared import AUC_SQL, chi_square_p_sql, curve_sql, rounded
 
 COLUMNS = ["alpha", "beta", "gamma", "pos"]
 FAST = models.logistic(1.0)
@@ -154,7 +154,29 @@ def stacked_ensemble_weights(spark, sf):
     return rounded(models.stack(members_long(spark, sf), ["alpha", "beta", "gamma"])[1], 3)
 
 
-@query
+SHARES_SQL = f"""{LONG_SQL}, h AS (SELECT model, p, count(*) AS n FROM l GROUP BY ALL),
+s AS (SELECT model, p, sum(n) OVER (PARTITION BY model ORDER BY p) / sum(n) OVER (PARTITION BY model) AS share FROM h),
+w AS (SELECT id, y, max(share) FILTER (model = 'alpha') AS a, max(share) FILTER (model = 'beta') AS b, max(share) FILTER (model = 'gamma') AS c
+  FROM l JOIN s USING (model, p) GROUP BY id, y)"""
+
+
+def greedy_sql(rounds: int = 5, gain: float = 1e-4) -> str:
+    """Each round counts the AUC of the chosen sum plus each member; a round without the gain ends the path."""
+    steps = [f"WITH {SHARES_SQL}, r0 AS (SELECT 0::BIGINT AS step, '' AS added, 0::DOUBLE AS auc, 0::DOUBLE AS ka, 0::DOUBLE AS kb, 0::DOUBLE AS kc, true AS goes)"]
+    for i in range(1, rounds + 1):
+        steps.append(f"""o{i} AS (SELECT m.model, y, (ka * a + kb * b + kc * c + CASE m.model WHEN 'alpha' THEN a WHEN 'beta' THEN b ELSE c END) / {i} AS p
+  FROM w, r{i - 1}, (VALUES ('alpha'), ('beta'), ('gamma')) m(model) WHERE y IS NOT NULL AND goes),
+g{i} AS (SELECT model, round(p, 12) AS p, sum(y)::DOUBLE AS pos, sum(1 - y)::DOUBLE AS neg FROM o{i} GROUP BY ALL),
+c{i} AS (SELECT *, sum(neg) OVER (PARTITION BY model ORDER BY p) - neg AS below FROM g{i}),
+u{i} AS (SELECT model, sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS auc FROM c{i} GROUP BY model),
+t{i} AS (SELECT * FROM u{i} ORDER BY auc DESC, model LIMIT 1),
+r{i} AS (SELECT {i}::BIGINT AS step, t.model AS added, t.auc, ka + CAST(t.model = 'alpha' AS INT) AS ka, kb + CAST(t.model = 'beta' AS INT) AS kb,
+  kc + CAST(t.model = 'gamma' AS INT) AS kc, t.auc > r.auc + {gain} AS goes FROM t{i} t, r{i - 1} r)""")
+    rows = " UNION ALL ".join(f"SELECT step, added, auc FROM r{i} WHERE goes" for i in range(1, rounds + 1))
+    return ",\n".join(steps) + f"\nSELECT CAST(step AS INT) AS step, added, round(auc, 6) AS auc_roc FROM ({rows})"
+
+
+@query(sql=greedy_sql())
 def greedy_rank_ensemble(spark, sf):
     return rounded(models.greedy_rank_ensemble(members_long(spark, sf)), 6)
 
@@ -471,7 +493,28 @@ def quality_roll_up(spark, sf):
     return quality.roll_up(checks).select("check", "passed")
 
 
-@query
+def category_sql(category: str) -> str:
+    return f"""(WITH t AS (SELECT {category} AS k, count(*) FILTER (y = 1) AS a, count(*) FILTER (y = 0) AS b, count(*) AS n FROM f
+  WHERE y IS NOT NULL AND {category} IS NOT NULL GROUP BY 1),
+s AS (SELECT *, n * sum(a) OVER () / sum(n) OVER () AS ea, n * sum(b) OVER () / sum(n) OVER () AS eb, count(*) OVER () AS m FROM t),
+g AS (SELECT *, abs(a - ea) - CASE WHEN m = 2 THEN least(0.5::DOUBLE, abs(a - ea)) ELSE 0 END AS ga,
+  abs(b - eb) - CASE WHEN m = 2 THEN least(0.5::DOUBLE, abs(b - eb)) ELSE 0 END AS gb FROM s),
+x AS (SELECT sum(ga * ga / ea + gb * gb / eb) AS x, (greatest(max(m) - 1, 1))::DOUBLE AS dof FROM g) SELECT {chi_square_p_sql('x', 'dof')} FROM x)"""
+
+
+@query(sql=f"""
+WITH f AS (SELECT i, e, fh, g, x, CAST({CATALOGUE_LABEL} AS INT) AS y FROM (
+  SELECT "Patient_ID" AS i, trim("Ethnicity") AS e, CAST("Family_History" AS STRING) AS fh, TRY_CAST("Age_at_Diagnosis" AS DOUBLE) AS g,
+  TRY_CAST("Exposure_Days" AS DOUBLE) AS x, "History of Inhibitor" AS h FROM {FUSED_SQL} t)),
+k AS (SELECT count(*) FILTER (fh = '1' AND y = 1) AS a, count(*) FILTER (fh = '1' AND y = 0) AS b, count(*) FILTER (fh <> '1' AND y = 1) AS c,
+  count(*) FILTER (fh <> '1' AND y = 0) AS d FROM f)
+SELECT signature, round(value, 6) AS value FROM (
+SELECT 'share of random ids' AS signature, avg(CASE WHEN regexp_matches(i, '{fv.UUID4_PATTERN}') THEN 1.0 ELSE 0.0 END)::DOUBLE AS value FROM f
+UNION ALL SELECT 'rate spread over category, points', max(r) - min(r) FROM (SELECT avg(y) * 100 AS r FROM f WHERE y IS NOT NULL AND e IS NOT NULL GROUP BY e)
+UNION ALL SELECT 'category p', {category_sql('e')}
+UNION ALL SELECT 'exposure odds ratio', (a / b) / (c / d) FROM k
+UNION ALL SELECT 'exposure p', {category_sql('fh')}
+UNION ALL SELECT 'pair correlation', corr(g, x) FROM f)""")
 def provenance_signatures(spark, sf):
     df = loaded_fused(spark, sf).withColumn("y", F.col("inhibitor"))
     return rounded(quality.provenance(df))
