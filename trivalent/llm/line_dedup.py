@@ -95,7 +95,7 @@ def passages_to_remove(docs: DataFrame, min_words: int) -> DataFrame:
     originals = again.select("first.*", "key", F.lit(0).alias("words"), F.lit(True).alias("original")).distinct()
     copies = again.select("doc_id", "row", "start", "stop", "key", "words", F.lit(False).alias("original"))
     texts = materialise(chunk_texts(docs, originals.unionByName(copies.select(*originals.columns))), "passages")
-    original = texts.where("original").select("key", F.col("passage").alias("first_passage")).distinct()
+    original = materialise(texts.where("original").select("key", F.col("passage").alias("first_passage")).distinct(), "originals")
     same = texts.where("not original").join(large(original), "key").where("passage = first_passage")
     kept = in_runs(same.select("doc_id", "row", "start", "stop", "words"), min_words)
     runs = kept.groupBy("doc_id", "row", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
