@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from trivalent.operators import metrics, splits
+from trivalent.operators import aggregates, metrics, splits
 from trivalent.plans import experiments, features, models, scoring
 from trivalent.queries.bindings import CATALOGUE, RECORDS, VARIANTS
 from trivalent.sources import tables
@@ -62,7 +62,7 @@ def test_greedy_selection_never_loses_to_the_best_member(spark, table):
 
 def test_attributions_skip_no_ops_and_rank_by_size(spark, table):
     model = models.fit(table, ["a", "b"], FAST)
-    medians = experiments.training_medians(table, ["a", "b"])
+    medians = aggregates.exact_medians(table, ["a", "b"])
     at_median = table.limit(1).withColumns({"a": F.lit(medians["a"]), "b": F.lit(medians["b"])})
     assert experiments.reset_attribution(model, at_median, medians).count() == 0
     for r in experiments.reset_attribution(model, table.where("fold = 1"), medians, top=2).groupBy("id").agg(

@@ -84,8 +84,7 @@ LAST_EXON = 26
 LARGEST_EXON = 14
 POSITION_BINS = 40
 
-# Inclusive spans in mature numbering. Acidic linkers carry an "acidic_" prefix
-# because Spark column names ignore case.
+# Inclusive spans in mature numbering; lower case marks the acidic linkers.
 DOMAIN_SPANS = [
     ("A1", 1, 336), ("a1", 337, 372), ("A2", 373, 719), ("a2", 720, 740), ("B", 741, 1648),
     ("a3", 1649, 1689), ("A3", 1690, 2019), ("C1", 2020, 2172), ("C2", 2173, 2332),

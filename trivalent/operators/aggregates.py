@@ -179,5 +179,10 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
         (F.sum("_n") - F.count(F.lit(1))).alias("n_duplicates"))
 
 
-def squeezed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.withColumns({c: squeeze(c) for c in columns})
+def exact_medians(df: DataFrame, features: Sequence[str]) -> dict[str, float]:
+    """Median per feature: values combine to counts first, so a frequent value is one row."""
+    long = df.select(*[F.col(f).cast("double").alias(f) for f in features]).unpivot([], list(features), "feature", "value")
+    counts = long.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.groupBy("feature").agg(F.percentile("value", 0.5, F.col("n")).alias("median")).collect()
+    by = {r["feature"]: r["median"] for r in found}
+    return {f: by[f] for f in features if f in by}

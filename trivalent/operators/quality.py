@@ -46,9 +46,7 @@ def label_policy(df: DataFrame, min_unlabelled: int, low: float, high: float, la
 def label_proxies(df: DataFrame, features: Sequence[str], label: str = "y", limit: float = 0.95, min_values: int = 10) -> DataFrame:
     """No feature with enough values may nearly equal the outcome after median fill."""
     known = df.where(F.col(label).isNotNull())
-    medians = known.approxQuantile(list(features), [0.5], 0.001)
-    fill = {f: m[0] for f, m in zip(features, medians) if m}
-    table = stats.label_correlations(known, features, label, fill)
+    table = stats.label_correlations(known, features, label, aggregates.exact_medians(known, features))
     counts = known.agg(*[F.count(f).alias(f) for f in features]).unpivot([], list(features), "feature", "n_values")
     proxy = (F.abs("r") >= limit) & (F.col("n_values") >= min_values)
     return table.join(F.broadcast(counts), "feature").withColumn("passed", ~F.coalesce(proxy, F.lit(False)))

@@ -168,10 +168,3 @@ def common_columns(a: DataFrame, b: DataFrame) -> list[str]:
 
 def distinct_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return df.dropDuplicates(list(columns)) if columns else df.dropDuplicates()
-
-
-def lookup_shares(rows: DataFrame, shares: DataFrame, value: str) -> DataFrame:
-    """Attach per-value results to rows; AQE splits a hot value's partition."""
-    return rows.join(shares, value, "left")
-
-

@@ -243,15 +243,6 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
         F.desc("importance"), "feature")
 
 
-def training_medians(df: DataFrame, features: Sequence[str]) -> dict[str, float]:
-    """Exact median per feature: values combine to counts first, so a frequent value is one row."""
-    long = df.select(*[F.col(f).cast("double").alias(f) for f in features]).unpivot([], list(features), "feature", "value")
-    counts = long.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    found = counts.groupBy("feature").agg(F.percentile("value", 0.5, F.col("n")).alias("median")).collect()
-    by = {r["feature"]: r["median"] for r in found}
-    return {f: by[f] for f in features if f in by}
-
-
 def reset_attribution(model: PipelineModel, df: DataFrame, medians: dict[str, float], key: str = "id", top: int = 8) -> DataFrame:
     """Score change when one feature goes back to its training median; the largest per record.
 

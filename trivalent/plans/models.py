@@ -82,11 +82,6 @@ def perceptron(hidden: Sequence[int] = (128, 64), rounds: int = 100, seed: int =
         labelCol="y", layers=[width, *hidden, 2], maxIter=rounds, seed=seed)
 
 
-def model_zoo() -> dict[str, Factory]:
-    return {"logistic_l2": logistic(1.0), "logistic_elasticnet": logistic(0.5, 0.5), "random_forest": forest(),
-            "gradient_boosting": boosting(), "mlp": perceptron()}
-
-
 def fit(train: DataFrame, features: Sequence[str], factory: Factory, label: str = "y", trust: str | None = None) -> PipelineModel:
     """Fit preparation and model together on the labelled rows, classes balanced by weight.
 

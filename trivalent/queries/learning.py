@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions import encode as enc
 from ..functions import fixed_values as fv
 from ..functions import notation, text
-from ..operators import metrics, neighbours, quality, splits
+from ..operators import aggregates, metrics, neighbours, quality, splits
 from ..plans import experiments, features, final, models, scoring
 from ..session import materialise
 from ..sources import tables
@@ -309,7 +309,7 @@ def reset_to_median_attribution(spark, sf):
     df = matrix(spark, sf)
     train = df.where("fold <> 0")
     model = models.fit(train, COLUMNS, FAST)
-    medians = experiments.training_medians(train, COLUMNS)
+    medians = aggregates.exact_medians(train, COLUMNS)
     return rounded(experiments.reset_attribution(model, df.where("fold = 0"), medians), 4)
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,9 +41,11 @@ def score_stream_with_rejects(stream: DataFrame, scorer: Scorer, fields: Sequenc
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         blank = is_empty(fields)
+        batch.persist(StorageLevel.MEMORY_AND_DISK)  # both writes read the batch
         scorer(batch.where(~blank)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
         batch.where(blank).withColumn("reason", F.lit("no usable field")).write.mode("overwrite").parquet(
             f"{rejects}/batch={batch_id}")
+        batch.unpersist()
 
     return (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
