@@ -94,7 +94,7 @@ def test_nearest_neighbours_equal_brute_force(spark):
     refs = spark.createDataFrame([(i, vec(i), i % 2) for i in range(300)] + [(900 + i, vec(7), 1) for i in range(40)], "id long, vec array<double>, y int")
     asks = spark.createDataFrame([(i, vec(i * 3 + 1)) for i in range(25)] + [(99, vec(7))], "id long, vec array<double>")
     got = {}
-    for r in neighbours.nearest(refs, asks, k=9, cells=6, pack=16).collect():
+    for r in neighbours.nearest(refs, asks, k=9, query_block=10, reference_block=64).collect():
         got.setdefault(r["query_id"], []).append((round(r["distance"], 9), r["ref_id"]))
     table = [(r["id"], r["vec"]) for r in refs.collect()]
     for a in asks.collect():

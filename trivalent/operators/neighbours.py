@@ -1,66 +1,65 @@
-"""Exact distance-weighted nearest neighbours without forming all pairs.
+"""Exact distance-weighted nearest neighbours, block against block.
 
-References fall into cells around k-means centres. Triangle inequality bounds
-tell which cells can hold one of a query's k nearest references; only those are
-visited. Cells are packed into rows of bounded size, so a hot cell is many rows,
-and each visit keeps its k best before anything is shuffled.
+Without structure in the vectors an exact answer needs every distance. Both sides
+are dealt into blocks by a hash; a task holds one block of queries and one of
+references and sends on the k best of each query, so what is shuffled is bounded
+by queries x k x reference blocks, and no task holds more than two blocks.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import relations
 
+#: Rows of a task's two blocks.
+QUERY_BLOCK, REFERENCE_BLOCK = 65_536, 8_192
+#: Distances that a task computes at once.
+CELLS = 1 << 20
 
-def distance(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(
-        F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda total, d: total + d))
 
+def nearest(references: DataFrame, queries: DataFrame, k: int = 25, query_block: int = QUERY_BLOCK,
+            reference_block: int = REFERENCE_BLOCK) -> DataFrame:
+    """(query_id, ref_id, y, distance, rank) of the k nearest; frames hold id, vec and the references y.
 
-def nearest(references: DataFrame, queries: DataFrame, k: int = 25, cells: int | None = None, pack: int = 128,
-            seed: int = 42) -> DataFrame:
-    """(query_id, ref_id, y, distance, rank) of the k nearest; frames hold id, vec and the references y."""
-    vec = lambda df: df.withColumn("vec", F.col("vec").cast("array<double>"))
-    refs, asked = vec(references), vec(queries)
-    n = refs.count()
-    cells = cells or max(2, min(256, int(math.sqrt(n) / 4)))
-    model = KMeans(k=cells, seed=seed, maxIter=5, featuresCol="_v", predictionCol="cell").fit(
-        refs.withColumn("_v", array_to_vector("vec")))
-    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
-    placed = model.transform(refs.withColumn("_v", array_to_vector("vec"))).withColumn(
-        "away", distance(F.col("vec"), F.element_at(centres, F.col("cell") + 1)))
-    # A hair of slack keeps rounding from ruling out a cell that ties the bound.
-    sizes = placed.groupBy("cell").agg(F.max(F.col("away") * (1 + 1e-9)).alias("radius"), F.count(F.lit(1)).alias("n"))
-    table = sizes.agg(F.collect_list(F.struct("cell", "radius", "n")).alias("cells"), F.lit(1).alias("_one"))  # <= 256 entries
+    Ties go to the smaller ref_id. Rows without a vector are left out.
+    """
+    # Names of their own keep the two sides apart where both come from one frame.
+    refs = references.where("vec IS NOT NULL").select(
+        F.col("id").alias("ref_id"), F.col("y").alias("y"), F.col("vec").cast("array<double>").alias("ref_vec"))
+    asked = queries.where("vec IS NOT NULL").select(
+        F.col("id").alias("query_id"), F.col("vec").cast("array<double>").alias("query_vec"))
+    blocks = {"q": math.ceil(asked.count() / query_block) or 1, "r": math.ceil(refs.count() / reference_block) or 1}
 
-    reach = F.transform("cells", lambda c: F.struct(
-        (distance(F.col("vec"), F.element_at(centres, c["cell"] + 1)) + c["radius"]).alias("far"),
-        (distance(F.col("vec"), F.element_at(centres, c["cell"] + 1)) - c["radius"]).alias("near"),
-        c["n"].alias("n"), c["cell"].alias("cell")))
-    bounded = asked.withColumn("_one", F.lit(1)).join(F.broadcast(table), "_one").withColumn(
-        "reach", F.array_sort(reach)).select("id", "vec", "reach")
-    # Walking cells by their farthest point, the k-th reference lies no further than this.
-    bound = F.aggregate(
-        "reach", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0.0).alias("far")),
-        lambda acc, c: F.when(acc["seen"] >= k, acc).otherwise(
-            F.struct((acc["seen"] + c["n"]).alias("seen"), c["far"].alias("far"))))["far"]
-    visits = bounded.withColumn("_bound", bound).select(
-        F.col("id").alias("query_id"), "vec",
-        F.explode(F.filter("reach", lambda c: c["near"] <= F.col("_bound"))).alias("c")).select(
-        "query_id", "vec", F.col("c.cell").alias("cell"))
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64(*df.columns), F.lit(blocks[own])).cast("int")
+        return df.withColumns({own: mine, other: F.explode(F.sequence(F.lit(0), F.lit(blocks[other] - 1)))})
 
-    chunks = placed.join(F.broadcast(sizes.select("cell", F.ceil(F.col("n") / pack).alias("parts"))), "cell").groupBy(
-        "cell", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")).agg(
-        F.collect_list(F.struct("id", "y", F.col("vec").alias("v"))).alias("members"))
-    best = F.slice(F.array_sort(F.transform("members", lambda m: F.struct(
-        distance(F.col("vec"), m["v"]).alias("distance"), m["id"].alias("ref_id"), m["y"].alias("y")))), 1, k)
-    found = visits.join(chunks, "cell").select("query_id", F.explode(best).alias("b")).select("query_id", "b.*")
+    def best(some: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(some) or not len(known):
+            return pd.DataFrame({"query_id": [], "ref_id": [], "y": [], "distance": []})
+        known = known.sort_values("ref_id")
+        ids, labels = known["ref_id"].to_numpy(), known["y"].to_numpy()
+        against, asked_for = np.stack(known["ref_vec"].to_numpy()), np.stack(some["query_vec"].to_numpy())
+        step = max(1, CELLS // against.size)
+        parts = []
+        for a in range(0, len(some), step):
+            gaps = asked_for[a : a + step, None, :] - against[None, :, :]
+            away = np.sqrt((gaps * gaps).sum(axis=2))
+            at = np.argsort(away, axis=1, kind="stable")[:, :k]
+            parts.append(pd.DataFrame({
+                "query_id": np.repeat(some["query_id"].to_numpy()[a : a + step], at.shape[1]), "ref_id": ids[at].reshape(-1),
+                "y": labels[at].reshape(-1), "distance": np.take_along_axis(away, at, axis=1).reshape(-1)}))
+        return pd.concat(parts)
+
+    types = dict(refs.dtypes)
+    schema = f"query_id {dict(asked.dtypes)['query_id']}, ref_id {types['ref_id']}, y {types['y']}, distance double"
+    found = dealt(asked, "q", "r").groupBy("q", "r").cogroup(dealt(refs, "r", "q").groupBy("q", "r")).applyInPandas(best, schema)
     return relations.top_k_each(found, "query_id", -F.col("distance"), k, "ref_id")
 
 
