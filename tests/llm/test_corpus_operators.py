@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trivalent.llm import components, decontamination, html_text, line_dedup, line_quality, simhash
+from trivalent.llm import components, decontamination, html_text, line_dedup, line_quality, simhash, similar
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -339,3 +339,38 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     assert set(rows) <= clean and len(clean - set(rows)) <= 0.01 * len(clean) + 1
     for i, r in rows.items():
         assert r.decoded_sha256 == hashlib.sha256(fresh[i].text.encode()).hexdigest() and len(r.ids) == r.n_tokens
+
+
+# Near duplicates of the pipeline
+
+
+def shingle_set(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("often", [32, 2])
+def test_near_dedup_stage_takes_every_pair_at_four_fifths(spark, monkeypatch, often):
+    monkeypatch.setattr(similar, "OFTEN", often)
+    rnd = random.Random(11)
+    rows = [(1000, None), (1001, ""), (1002, " \n"), (None, "no id"), (None, "no id"), (1003, "Three short words"), (1004, "three  SHORT words")]
+    for base in range(30):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(rnd.randint(30, 300))]
+        if base % 3 == 0:  # a passage that dissimilar documents share
+            words += "one two three four five six seven eight nine ten".split()
+        for copy in range(5):
+            own = list(words)
+            for _ in range(rnd.randint(0, len(words) // 30)):
+                own[rnd.randrange(len(own))] = f"x{rnd.randrange(10**6)}"
+            rows.append((base * 10 + copy, " ".join(own)))
+    sets = [(i, shingle_set(t)) for i, t in rows if i is not None]
+    near = [(a, b) for a in range(len(sets)) for b in range(a)
+            if 10 * len(sets[a][1] & sets[b][1]) >= 8 * len(sets[a][1] | sets[b][1])]
+    far = sum((simhash.fingerprint(dict(rows)[sets[a][0]] or "") ^ simhash.fingerprint(dict(rows)[sets[b][0]] or "")).bit_count() > 4 for a, b in near)
+    of = groups(len(sets), near)
+    want = sorted(min(sets[i][0] for i in range(len(sets)) if of[i] == g) for g in set(of))
+    docs = clashing(frame(spark, rows))
+    kept = dict(corpus_pipeline.STAGES)["near-dedup"](spark, docs, SF)
+    assert kept.columns == docs.columns and far > 10
+    found = [r.doc_id for r in kept.collect()]
+    assert found.count(None) == 2 and sorted(i for i in found if i is not None) == want
