@@ -293,6 +293,20 @@ def test_lines_shared_with_the_neighbour_go(spark):
     assert html_text.extract_text(docs.limit(0)).collect() == []
 
 
+def test_copies_of_a_page_without_article_keep_their_text(spark):
+    page = "<div>Home</div><div>Topics</div><h1>{0}</h1><p>The long story of {0} and what came of it<p>Its second part, on {0}{1}<div>Imprint</div>"
+    rows = [(i, f"http://h/{name}" + f"?ref={i}" * (i % 2), page.format(name, "")) for name, ids in (("a", (1, 1, 2, 3)), ("b", (4,)), ("c", (5,))) for i in ids]
+    rows += [(i, f"https://h/a?from={i}", page.format("a", f"<p>{i} visitors")) for i in range(100, 140)]  # near copies
+    rows += [(i, "http://twin/", "<p>all there is") for i in (200, 201)]
+    result = html_text.extract_text(frame(spark, rows, "page_id long, url string, html string")).collect()
+    assert len(result) == len(rows)
+    story = "{0} The long story of {0} and what came of it Its second part, on {0}"
+    for r in result:
+        name = "a" if r.page_id < 4 or 100 <= r.page_id < 140 else {4: "b", 5: "c"}.get(r.page_id)
+        want = "all there is" if name is None else story.format(name) + (f" {r.page_id} visitors" if r.page_id >= 100 else "")
+        assert r.text == want
+
+
 def test_common_subsequence_is_longest():
     def length(a, b):
         table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
