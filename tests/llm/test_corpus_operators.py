@@ -307,6 +307,15 @@ def test_copies_of_a_page_without_article_keep_their_text(spark):
         assert r.text == want
 
 
+def test_one_url_is_cut_into_runs(spark):
+    rows = [(i, "http://h/p" if i % 2 else None, f"<p>menu</p><p>text {i}</p><p>foot</p>") for i in range(200)]
+    pages = html_text.page_blocks(frame(spark, rows, "page_id long, url string, html string"), "page_id", "url", "html")
+    cuts = html_text.key_cuts(pages, 8)
+    assert len(cuts) == 7 and {c.split("\t")[1] for c in cuts} == {"", "/p"}
+    found = html_text.extract_text(frame(spark, rows, "page_id long, url string, html string")).collect()
+    assert len(found) == 200 and all(r.text == f"text {r.page_id}" for r in found)
+
+
 def test_common_subsequence_is_longest():
     def length(a, b):
         table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
