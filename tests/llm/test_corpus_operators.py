@@ -316,6 +316,24 @@ def test_one_url_is_cut_into_runs(spark):
     assert len(found) == 200 and all(r.text == f"text {r.page_id}" for r in found)
 
 
+def test_articles_inside_containers_with_names():
+    def text(page):
+        found = html_text.blocks(page)
+        return [t for t, place in found if place == ("main" if any(p == "main" for _, p in found) else "open")]
+
+    for open_, close in (("<body class='has-sidebar'>", "</body>"), ("<div class='page with-nav'>", "</div>"), ("<form id=all action=x>", "</form>"),
+                         ("<div class='related'>", "</div>"), ("<aside>", "</aside>"), ("<div><form class=search>", "</form></div>")):
+        for name in ("article", "main"):
+            assert text(f"{open_}<nav>menu</nav><{name}>The story<p>goes on</{name}><div class=ad>buy</div>{close}<div>foot</div>") == ["The story", "goes on"]
+    assert text("<article class='post related'>story<div class=comments>c</div></article><div>foot</div>") == ["story"]
+    assert text("<article>story</article><div class=comments><article>c1</article></div><div class=related><article>teaser</article></div>") == ["story"]
+    assert text("<main>story<aside><article>teaser</article></aside></main>") == ["story"]
+    assert text("<main><h1>T</h1><div class='with-nav'><article>story</article></div></main><div>a long foot of the page</div>") == ["T", "story"]
+    assert text("<article class=comment>c</article><p>story") == ["story"]
+    assert text("<form><p>a page in one form<nav>menu</nav></form><div>foot</div>") == ["a page in one form", "foot"]
+    assert text("<div hidden><article>no</article></div><p>a story of some length<form>your mail</form>") == ["a story of some length"]
+
+
 def test_common_subsequence_is_longest():
     def length(a, b):
         table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
