@@ -256,6 +256,36 @@ def test_shared_passages_go_and_the_rest_stays(spark):
     assert line_dedup.remove_repeated_passages(table_.limit(0)).collect() == []
 
 
+def test_lines_common_one_by_one_are_no_passage(spark):
+    rnd = random.Random(9)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    common = [" ".join(word() for _ in range(5)) for _ in range(30)]
+    passage = [" ".join(word() for _ in range(n)) for n in (60, 4, 7)]
+    docs = {i: [word() + " own", line, word() + " own"] for i, line in enumerate(common)}
+    docs[100] = common  # each line somewhere earlier, nowhere together
+    docs[101] = ["start", *passage, "end"]
+    docs[102] = ["other", *passage, common[3], "stop"]
+    docs[103] = common[:9] + ["x y"] + common[9:]  # 45 words together, then 105
+    rows = [(i, "\n".join(x)) for i, x in docs.items()]
+    found = {r.doc_id: r.text.split("\n") for r in corpus_pipeline.passages(spark, frame(spark, rows).withColumn("n_chars", F.length("text")), SF).collect()}
+    assert found[102] == ["other", common[3], "stop"] and found[103] == common[:9] + ["x y"]
+    assert all(found[i] == docs[i] for i in docs if i not in (102, 103))
+
+
+def test_shortest_sequences_cover_every_shared_passage():
+    rnd = random.Random(3)
+    for _ in range(200):
+        n = rnd.randint(1, 9)
+        words, gap = [rnd.randint(0, 5) for _ in range(n)], [rnd.random() < 0.2 for _ in range(n)]
+        starts = [2 * i if any(gap) else i for i in range(n)] if all(gap) else [i + sum(gap[: i + 1]) for i in range(n)]
+        found = {(a, b): k for k, a, b in line_dedup.sequences(starts, starts, words, list(range(n)), 6)}
+        whole = [(i, j) for i in range(n) for j in range(i, n) if sum(words[i : j + 1]) >= 6 and starts[j] - starts[i] == j - i]
+        assert set(found) <= {(starts[i], starts[j]) for i, j in whole} and len(set(found.values())) == len(found)
+        for i, j in whole:
+            inside = [(a, b) for a, b in found if starts[i] <= a and b <= starts[j]]
+            assert {x for a, b in inside for x in range(a, b + 1)} == set(starts[i : j + 1])
+
+
 def test_without_ranges(spark):
     rows = spark.range(1).select(
         line_dedup.without(F.split(F.lit("a,b,c,d,e"), ","), F.expr("array(named_struct('start', 0, 'stop', 1), named_struct('start', 3, 'stop', 3))")).alias("x"),

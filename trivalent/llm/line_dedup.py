@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trivalent.session import materialise
 
+from .common import bounded_batches
+
 WORD = r"[^ \t-\r]+"
 
 
@@ -73,6 +78,62 @@ def in_runs(chunks: DataFrame, min_words: int) -> DataFrame:
     return run.withColumn("total", total).where(F.col("total") >= min_words).drop("total", "fresh")
 
 
+def sequences(starts: list[int], stops: list[int], words: list[int], keys: list[int], min_words: int) -> Iterator[tuple[int, int, int]]:
+    """(key, start, stop): from each chunk on, and up to each chunk, the fewest adjoining chunks of ``min_words`` words."""
+    prime, base = (1 << 61) - 1, 0x1B873593CC9E2D51 % ((1 << 61) - 1)
+    n = len(starts)
+    total, rolled, powers, run = [0], [0], [1], []
+    for i in range(n):
+        total.append(total[-1] + words[i])
+        rolled.append((rolled[-1] * base + (keys[i] + (1 << 63)) + 1) % prime)
+        powers.append(powers[-1] * base % prime)
+        run.append(run[-1] if i and starts[i] == stops[i - 1] + 1 else i)
+
+    def of(a: int, b: int) -> tuple[int, int, int]:
+        return (rolled[b + 1] - rolled[a] * powers[b + 1 - a]) % prime, starts[a], stops[b]
+
+    found, b, a = set(), 0, 0
+    for i in range(n):
+        b = max(b, i)
+        while b < n and total[b + 1] - total[i] < min_words:
+            b += 1
+        if b < n and run[b] <= i:
+            found.add((i, b))
+        while a < i and total[i + 1] - total[a + 1] >= min_words:
+            a += 1
+        if total[i + 1] - total[a] >= min_words and run[i] <= a:
+            found.add((a, i))
+    yield from (of(*x) for x in sorted(found))
+
+
+def in_one_earlier(chunks: DataFrame, min_words: int) -> DataFrame:
+    """The chunks inside a sequence of adjoining chunks, of ``min_words`` words, that stands together in one document of smaller id.
+
+    All such sequences are unions of the fewest chunks from, or up to, each of them.
+    """
+    bounded_batches(chunks.sparkSession)
+    own = F.array_sort(F.collect_set(F.struct("start", "stop", "words", "key")))
+    of_doc = chunks.groupBy("doc_id", "row").agg(own.alias("own"), F.sum("words").alias("total")).where(F.col("total") >= min_words)
+    of_doc = of_doc.select("doc_id", "row", *[F.col(f"own.{c}").alias(c) for c in ("start", "stop", "words", "key")])
+
+    def run(batches):
+        for batch in batches:
+            made: list[tuple] = []
+            for doc_id, row, *columns in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "start", "stop", "words", "key"))):
+                made += [(doc_id, row, *x) for x in sequences(*columns, min_words)]
+            columns = list(zip(*made)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "row", "sequence", "start", "stop"])
+
+    found = materialise(of_doc.mapInArrow(run, "doc_id long, row long, sequence long, start long, stop long"), "sequences")
+    first = found.groupBy("sequence").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+    first = materialise(first.where("first_id < last_id").select("sequence", "first_id"), "first_sequences")
+    again = found.join(large(first), "sequence").where("doc_id > first_id")
+    reach = materialise(again.groupBy("doc_id", "row", "start").agg(F.max("stop").alias("reach")), "reach")
+    before = Window.partitionBy("doc_id", "row").orderBy("start")
+    marked = chunks.join(large(reach), ["doc_id", "row", "start"], "left").withColumn("reach", F.max("reach").over(before))
+    return marked.where("reach >= stop").select(*chunks.columns)
+
+
 def chunk_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows of ``wanted`` (doc_id, row, start, stop, ...) with the text of their lines."""
     fields = [c for c in wanted.columns if c not in ("doc_id", "row")]
@@ -83,14 +144,18 @@ def chunk_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.select("doc_id", "row", "one.*", text.alias("passage")).distinct()
 
 
-def passages_to_remove(docs: DataFrame, min_words: int) -> DataFrame:
+def passages_to_remove(docs: DataFrame, min_words: int, together: bool = False) -> DataFrame:
     """doc_id, row and ranges (sorted array of start, stop): runs of lines that repeat chunks of documents of smaller id."""
     chunks = materialise(repeated_chunks(docs), "chunks")
     first = chunks.groupBy("key").agg(
         F.min(F.struct("doc_id", "row", "start", "stop")).alias("first"), F.max("doc_id").alias("last_id"))
     first = materialise(first.where("first.doc_id < last_id").select("key", "first"), "first")
     again = chunks.join(large(first), "key").where("doc_id <> first.doc_id")
-    again = materialise(in_runs(again, min_words).drop("run"), "again")
+    if together:
+        again = in_one_earlier(chunks, min_words).join(large(first), "key")
+    else:
+        again = in_runs(again, min_words).drop("run")
+    again = materialise(again, "again")
     # Byte comparison: equal hashes only propose; the lines' text must equal that of the first place.
     originals = again.select("first.*", "key", F.lit(0).alias("words"), F.lit(True).alias("original")).distinct()
     copies = again.select("doc_id", "row", "start", "stop", "key", "words", F.lit(False).alias("original"))
@@ -114,13 +179,17 @@ def without(lines: Column, ranges: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), n), between))
 
 
-def remove_repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
+def remove_repeated_passages(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, together: bool = False,
+) -> DataFrame:
     """``df``, all rows and columns, with the text less its repeated passages, and the column ``removed_ranges``.
 
     A chunk of lines (see :func:`repeated_chunks`) repeats if it stands in a document
     of smaller id as well; there it stays. Runs of adjoining repeated chunks are
     removed where they hold ``min_words`` words or more, so short lines that many
-    documents share (licence lines, greetings) stay. A document all of whose lines
+    documents share (licence lines, greetings) stay. With ``together`` those words must
+    also stand together in one document of smaller id; without it (op8, as its SQL
+    says) each chunk may come from another. A document all of whose lines
     go keeps an empty text. Rows that share an id are never each other's copies; rows
     without an id and null texts are left as they are and nothing is compared with them.
     removed_ranges (array of start and stop, line numbers from 0, both in) is null
@@ -128,7 +197,7 @@ def remove_repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: st
     """
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
     docs = docs.where("doc_id is not null and text is not null")
-    gone = materialise(passages_to_remove(docs, min_words), "gone")
+    gone = materialise(passages_to_remove(docs, min_words, together), "gone")
     text = df[text_col].cast("string")
     rows = df.join(large(gone), (gone["doc_id"] == df[id_col].cast("long")) & (gone["row"] == F.xxhash64(text)), "left")
     ranges = gone["ranges"]
