@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, html_text, licenses, line_dedup, line_quality, pii, rules, simhash, token_counts
+from . import (
+    bpe, decontamination, html_text, licenses, line_dedup, line_quality, pii, rules, simhash, suffix_dedup, token_counts,
+)
 from .common import read
 
 
@@ -60,11 +62,20 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeated_bytes(read(spark, sf_dir, "documents"), length=200)
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["start"])
+    return found.select(
+        "doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_pii, op2_token_counts, op3_line_quality, op4_rule_votes, op5_bpe_round_trip, op6_simhash_near_dedup,
-        op7_benchmark_hits, op8_repeated_passages, op9_html_text, op10_license_scan,
+        op7_benchmark_hits, op8_repeated_passages, op9_html_text, op10_license_scan, op12_suffix_dedup,
     )
 }
 ORACLE: dict[str, str] = {
@@ -113,4 +124,27 @@ ORACLE: dict[str, str] = {
         select doc_id, n_lines::bigint as n_lines, n_removed::bigint as n_removed, length(kept)::bigint as n_chars, sha256(kept) as kept_sha256
         from result
     """,
+    "op12_suffix_dedup": r"""
+        with docs as (
+            select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+        starts as (
+            select r, i, md5(substring(h, 2 * i + 1, 400)) as w
+            from (select r, h, unnest(range(0, len(h) // 2 - 199)) as i from docs)),
+        again as (select w from starts group by w having count(*) > 1),
+        hits as (
+            select r, i, coalesce(i > 200 + lag(i) over (partition by r order by i), true)::int as fresh
+            from starts join again using (w)),
+        runs as (select r, i, sum(fresh) over (partition by r order by i) as run from hits),
+        spans as (select r, run, min(i) as a, max(i) + 200 as b from runs group by r, run),
+        gaps as (
+            select r, coalesce(lag(b) over (partition by r order by a), 0) as k_from, a as k_to from spans
+            union all select r, max(b), null from spans group by r),
+        kept as (
+            select g.r, string_agg(substring(h, 2 * k_from + 1, 2 * (coalesce(k_to, len(h) // 2) - k_from)), '' order by k_from) as kept
+            from gaps g join docs using (r) group by g.r),
+        gone as (select r, sum(b - a) as n_removed, count(*) as n_spans from spans group by r)
+        select doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed,
+            coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256
+        from docs left join gone using (r) left join kept using (r)
+    """,
 }
