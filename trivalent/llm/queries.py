@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    bpe, decontamination, html_text, licenses, line_dedup, line_quality, pii, rules, simhash, suffix_dedup, token_counts,
+    bpe, decontamination, html_text, licenses, line_dedup, line_quality, pii, prefix_trie, rules, simhash, spelling,
+    suffix_dedup, token_counts,
 )
 from .common import read
 
@@ -62,6 +63,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeated_bytes(read(spark, sf_dir, "documents"), length=200)
     n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["start"])
@@ -71,13 +76,32 @@ def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_pii, op2_token_counts, op3_line_quality, op4_rule_votes, op5_bpe_round_trip, op6_simhash_near_dedup,
-        op7_benchmark_hits, op8_repeated_passages, op9_html_text, op10_license_scan, op12_suffix_dedup,
+        op7_benchmark_hits, op8_repeated_passages, op9_html_text, op10_license_scan,
+        op11_spelling_variants, op12_suffix_dedup, op13_prefix_trie,
     )
 }
+#: Common table expression with the 256 remainders of the CRC-32 polynomial as one list, and the checksum of a hexadecimal string.
+CRC_TABLE = """
+        crc as (
+            select list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, x:
+                case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as remainders)"""
+
+
+def crc_sql(hexed: str) -> str:
+    bytes_of = f"list_transform(range(len({hexed}) // 2), lambda i: ('0x' || substr({hexed}, 2 * i + 1, 2))::bigint)"
+    return (
+        f"xor(list_reduce([4294967295::bigint] || {bytes_of}, lambda c, b: "
+        "xor(c >> 8, remainders[(xor(c, b) & 255) + 1])), 4294967295)")
+
+
 ORACLE: dict[str, str] = {
     "op8_repeated_passages": r"""
         with docs as (
@@ -147,4 +171,68 @@ ORACLE: dict[str, str] = {
             coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256
         from docs left join gone using (r) left join kept using (r)
     """,
+    "op13_prefix_trie": rf"""
+        with {CRC_TABLE.strip()},
+        turns as (
+            select conv_id, row_number() over (partition by conv_id order by turn nulls first) - 1 as pos,
+                {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} as t
+            from conversations where conv_id is not null),
+        convs as (
+            select c.conv_id, c.ts, f.ts as lent, {crc_sql("hex(encode(c.conv_id::varchar))")} % 9 as h
+            from (select conv_id, list(t order by pos) as ts from turns group by conv_id) c
+            left join (select conv_id, list(t order by pos) as ts from turns group by conv_id) f on f.conv_id = c.conv_id - c.conv_id % 5,
+            crc),
+        paths as (select conv_id, coalesce(lent[:h], []) || ts[h + 1:] as ts from convs),
+        steps as (
+            select conv_id, d, ts[:d] as prefix, len(ts) = d as ends, case when d > 0 then ts[:d - 1] end as parent
+            from (select conv_id, ts, unnest(range(len(ts) + 1)) as d from paths)),
+        nodes as (
+            select prefix, any_value(parent) as parent, min(conv_id) as conv_id, any_value(d) as depth, count(*) as n,
+                coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where ends), '') as ids,
+                (count(*) - 1) * coalesce(octet_length(encode(any_value(prefix[d].text))), 0) as saved
+            from steps group by prefix),
+        up as (select n.*, c.n as n_children from nodes n left join (select parent, count(*) as n from nodes where depth > 0 group by parent) c
+            on c.parent = n.prefix),
+        below as (
+            select prefix[:a] as prefix, sum(saved) as saved, sum((n_children is null)::int) as leaves
+            from (select *, unnest(range(depth + 1)) as a from up) group by 1)
+        select u.conv_id, u.depth::bigint as depth, p.conv_id as parent_conv_id, u.n::bigint as n_convs,
+            coalesce(u.n_children, 0)::bigint as n_children, b.leaves::bigint as n_leaves, b.saved::bigint as saved_tokens,
+            sha256(u.ids) as ends_sha256
+        from up u join below b using (prefix) left join nodes p on p.prefix = u.parent and u.depth > 0
+    """,
+    "op11_spelling_variants": rf"""
+        with {CRC_TABLE.strip()},
+        runs as (
+            select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[a-z\x{{C0}}-\x{{FF}}]+')) as run from documents),
+        counted as (select doc_id, run, count(*) as times from runs where length(run) >= 5 group by all),
+        hashed as (
+            select run, times, {crc_sql("hex(encode(doc_id::varchar || ':' || run))")} as h from counted, crc),
+        made as (
+            select times, case when h % 97 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word
+            from hashed),
+        vocabulary as (
+            select word, sum(times)::bigint as n from made where length(word) >= 5 group by word having sum(times) >= 3),
+        less as (
+            select word, i, substr(word, 1, i) || substr(word, i + 2) as rest from (select word, unnest(range(length(word))) as i from vocabulary)),
+        near as (
+            select a.word, b.word as other from less a join less b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+            union select l.word, v.word from less l join vocabulary v on v.word = l.rest
+            union select v.word, l.word from less l join vocabulary v on v.word = l.rest),
+        ranked as (
+            select near.word, other, v.n, count(*) over (partition by near.word) as n_near,
+                row_number() over (partition by near.word order by v.n desc, other) as place
+            from near join vocabulary v on v.word = other),
+        formed as (
+            select v.word, v.n, coalesce(r.n_near, 0) as n_near, case when r.n >= 2 * v.n then other end as form,
+                case when r.n >= 2 * v.n then r.n end as form_n
+            from vocabulary v left join ranked r on r.word = v.word and place = 1),
+        chain as (
+            with recursive up as (
+                select word, word as at from formed
+                union all select up.word, f.form from up join formed f on f.word = up.at where f.form is not null)
+            select up.word, up.at from up join formed f on f.word = up.at where f.form is null)
+        select f.word, n, n_near, form, form_n, c.at as root from formed f join chain c using (word)
+    """,
 }
