@@ -127,3 +127,40 @@ def test_records_score_alone_as_together(spark):
     assert len(both) == 3 and both[2]["risk"] == alone["risk"]
     with pytest.raises(ValueError):
         scoring.score_registry_records(spark, records, model, {"youden": 0.5}, "other", names)
+
+
+def clustered(spark, n, rng, hot=0):
+    import numpy as np
+
+    centres = rng.normal(size=(20, 8)) * 4
+    vecs = [*(centres[i % 20] + rng.normal(size=8) for i in range(n)), *(np.ones(8) for _ in range(hot))]
+    rows = [(i, int(rng.random() < 0.5), [float(x) for x in v]) for i, v in enumerate(vecs)] + [(10**6, 1, None)]
+    return spark.createDataFrame(rows, "id long, y int, vec array<double>").repartition(5)
+
+
+def test_neighbour_index_recall_and_hot_lists(spark):
+    import numpy as np
+
+    from trivalent.operators import neighbours
+
+    df = clustered(spark, 1500, np.random.default_rng(1), hot=750)
+    index = neighbours.NeighbourIndex.fit(df, k=10, list_rows=200)
+    assert index.rows.count() == 2250
+    assert index.parts.agg({"parts": "max"}).first()[0] >= 4
+    assert index.rows.groupBy("list", "part").count().agg({"count": "max"}).first()[0] < 300
+    asked = df.where("id % 100 = 0").drop("y")
+    found = index.nearest(asked, 10, query_block=5)
+    pairs = found.count()
+    assert pairs == found.select("query_id", "ref_id").distinct().count() == 10 * asked.count() - 10 * asked.where("vec is null").count()
+    near = found.groupBy("query_id").agg({"distance": "max"})
+    exact = neighbours.nearest(df, asked, 10).groupBy("query_id").agg({"distance": "max"})
+    close = [(r[1], s[1]) for r, s in zip(sorted(near.collect()), sorted(exact.collect()))]
+    assert sum(a <= b + 1e-9 for a, b in close) >= 0.9 * len(close)  # equal vectors tie, so distances are compared
+
+
+def test_neighbour_index_of_nothing(spark):
+    from trivalent.operators import neighbours
+
+    empty = spark.createDataFrame([], "id long, y int, vec array<double>")
+    asked = spark.createDataFrame([(1, [0.0])], "id long, vec array<double>")
+    assert neighbours.NeighbourIndex.fit(empty).nearest(asked).count() == 0

@@ -76,6 +76,27 @@ def running_totals(hist: DataFrame, value: str, measures: Sequence[str], splits:
         *[f"{m}_all" for m in measures])
 
 
+def carried(df: DataFrame, value: str, payload: str, splits: Sequence[float], by: Sequence[str] = (), backwards: bool = False,
+            out: str | None = None) -> DataFrame:
+    """Add the payload of the last row at or before ``value`` that has one (with ``backwards`` at or after it).
+
+    An as-of lookup: rows that ask carry a NULL payload. Windows stay inside range
+    buckets; what a bucket inherits comes from a table of one row per bucket and key. A
+    value of a key should have one payload at most.
+    """
+    out = out or f"{payload}_carried"
+    far = lambda c: F.col(c).desc() if backwards else F.col(c)
+    staged = with_bucket(df, value, splits).withColumn("_key", _key(by))
+    given = F.when(F.col(payload).isNotNull(), F.col(value))
+    edge = F.min_by(payload, given) if backwards else F.max_by(payload, given)
+    earlier = Window.partitionBy("_key").orderBy(far("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    handed = staged.groupBy("_key", "_bucket").agg(edge.alias("_edge")).select(
+        "_key", "_bucket", F.last("_edge", ignorenulls=True).over(earlier).alias("_handed"))
+    inside = Window.partitionBy("_key", "_bucket").orderBy(far(value)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    found = staged.withColumn("_own", F.last(payload, ignorenulls=True).over(inside)).join(handed, ["_key", "_bucket"])
+    return found.select(*df.columns, F.coalesce("_own", "_handed").alias(out))
+
+
 def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), splits=None) -> DataFrame:
     """Distinct values with row count, count below and midrank (ties share the average)."""
     splits = range_splits(df, value) if splits is None else splits

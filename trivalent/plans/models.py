@@ -14,12 +14,12 @@ from pyspark.ml.classification import (GBTClassifier, LogisticRegression, Multil
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregates, metrics, ordered, splits, stats
+from ..operators.isotonic import Isotonic
 from ..session import materialise
 
 Factory = Callable[[int, int], object]  # (training rows, features) -> estimator
@@ -206,28 +206,30 @@ def nested_search(df: DataFrame, features: Sequence[str], family: str = "logisti
 class Calibrator:
     """Isotonic calibration, optionally held inside the smoothed decile rates."""
 
-    def __init__(self, model, lo: float, hi: float):
+    def __init__(self, model: Isotonic, lo: float, hi: float):
         self.model, self.lo, self.hi = model, lo, hi
 
     @classmethod
     def fit(cls, df: DataFrame, score: str = "p", label: str = "y", bounded: bool = True, n_bins: int = 10,
             digits: int | None = None) -> "Calibrator":
-        """Equal scores combine to one weighted cell before the isotonic fit.
-
-        With ``digits`` the scores are rounded first, which bounds the number of cells
-        (the fit gathers its last one on one machine) at the price of that rounding.
-        """
+        """The exact fit over all distinct scores, as a table of steps; with ``digits`` scores are rounded first."""
         known = df.where(F.col(label).isNotNull())
         known = known if digits is None else known.withColumn(score, F.round(F.col(score), digits))
-        cells = metrics.score_histogram(known, label, score)
-        n = F.col("pos") + F.col("neg")
-        cells = cells.select(F.col(score).alias("features"), (F.col("pos") / n).alias("label"), n.cast("double").alias("weight"))
-        model = IsotonicRegression(weightCol="weight").fit(cells)
+        model = Isotonic.fit(known, score, label)
         lo, hi = 0.0, 1.0
         if bounded:
             lo, hi = cls.bounds(known, score, label, n_bins).first()
         return cls(model, lo, hi)
 
+    def save(self, path: str) -> None:
+        self.model.save(f"{path}/steps")
+        self.model.steps.sparkSession.createDataFrame([(self.lo, self.hi)], "lo double, hi double").write.mode("overwrite").parquet(f"{path}/bounds")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "Calibrator":
+        lo, hi = spark.read.parquet(f"{path}/bounds").select("lo", "hi").first()
+        return cls(Isotonic.load(spark, f"{path}/steps"), lo, hi)
+
     @staticmethod
     def bounds(known: DataFrame, score: str = "p", label: str = "y", n_bins: int = 10) -> DataFrame:
         """Lowest and highest Laplace-smoothed event rate over the quantile bins."""
@@ -239,9 +241,8 @@ class Calibrator:
             F.coalesce("lo", "prior").alias("lo"), F.coalesce("hi", "prior").alias("hi"))
 
     def transform(self, df: DataFrame, score: str = "p", out: str = "calibrated") -> DataFrame:
-        raw = self.model.setFeaturesCol("_score").setPredictionCol("_iso").transform(
-            df.withColumn("_score", F.col(score)))
-        return raw.withColumn(out, F.greatest(F.lit(self.lo), F.least(F.lit(self.hi), F.col("_iso")))).drop("_score", "_iso")
+        held = F.greatest(F.lit(self.lo), F.least(F.lit(self.hi), F.col(out)))
+        return self.model.transform(df, score, out).withColumn(out, held)
 
 
 def rank_average(reference: DataFrame, scored: DataFrame, key: str = "id") -> DataFrame:

@@ -10,6 +10,7 @@ from ..functions import encode as enc
 from ..functions import fixed_values as fv
 from ..functions import notation, text
 from ..operators import aggregates, metrics, neighbours, quality, splits
+from ..operators.isotonic import Isotonic
 from ..plans import experiments, features, final, models, scoring
 from ..session import materialise
 from ..sources import tables
@@ -101,13 +102,42 @@ def nested_parameter_search(spark, sf):
     return rounded(models.nested_search(df, COLUMNS, candidates=4, inner=3), 4)
 
 
-@query
+def isotonic_sql(source: str, score: str) -> str:
+    """CTE ``f`` (x, v): the closed min-max form over all distinct labelled scores."""
+    return f"""
+i0 AS (SELECT {score} AS x, sum(y)::DOUBLE AS s, count(*)::DOUBLE AS w FROM {source} t WHERE y IS NOT NULL GROUP BY 1),
+i1 AS (SELECT *, sum(s) OVER (ORDER BY x) AS cs, sum(w) OVER (ORDER BY x) AS cw FROM i0),
+i2 AS (SELECT b.x, min((b.cs - a.cs + a.s) / (b.cw - a.cw + a.w)) OVER (PARTITION BY a.x ORDER BY b.x DESC) AS m FROM i1 a JOIN i1 b ON a.x <= b.x),
+f AS (SELECT x, max(m) AS v FROM i2 GROUP BY x)"""
+
+
+def bounds_sql(source: str, score: str) -> str:
+    """CTE ``bounds`` (lo, hi): the extreme smoothed rates over the quantile bins."""
+    return f"""
+b0 AS (SELECT y, {score} AS p FROM {source} t WHERE y IS NOT NULL),
+b1 AS (SELECT DISTINCT unnest(quantile_cont(p, [0.0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1.0])) AS edge FROM b0),
+b2 AS (SELECT edge AS lo, lead(edge) OVER (ORDER BY edge) AS hi FROM b1),
+b3 AS (SELECT lo, (sum(y) + 1) / (count(*) + 2) AS rate FROM b2 JOIN b0 ON p BETWEEN lo AND hi WHERE hi IS NOT NULL GROUP BY lo HAVING count(*) >= 5),
+bounds AS (SELECT min(rate) AS lo, max(rate) AS hi FROM b3)"""
+
+
+@query(sql=f"""
+WITH {isotonic_sql(SCORES.sql, 'p')}, k AS (SELECT y, p, v FROM {SCORES.sql} t JOIN f ON p = x WHERE y IS NOT NULL)
+SELECT round(avg(pow(v - y, 2)), 6) AS brier FROM k UNION ALL SELECT round(avg(pow(p - y, 2)), 6) FROM k""")
 def isotonic_calibration(spark, sf):
     df = SCORES.frame(spark, sf)
     fitted = models.Calibrator.fit(df, bounded=False)
     return rounded(metrics.brier(fitted.transform(df), score="calibrated").unionByName(metrics.brier(df)), 6)
 
 
+@query(sql=f"WITH {isotonic_sql(SCORES.sql, 'p')} SELECT round(x, 9) AS p, round(v, 9) AS isotonic FROM f")
+def isotonic_steps(spark, sf):
+    """The fitted value of every distinct score."""
+    df = SCORES.frame(spark, sf)
+    fitted = Isotonic.fit(df)
+    return rounded(fitted.transform(df.where("y IS NOT NULL").select("p").distinct()).select("p", "isotonic"), 9)
+
+
 @query(sql=f"""
 WITH s AS (SELECT * FROM {SCORES.sql} t WHERE y IS NOT NULL),
 e AS (SELECT DISTINCT unnest(quantile_cont(p, [0.0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1.0])) AS edge FROM s),
@@ -118,7 +148,12 @@ def calibration_bounds(spark, sf):
     return rounded(models.Calibrator.bounds(SCORES.frame(spark, sf).where("y IS NOT NULL")))
 
 
-@query
+@query(sql=f"""
+WITH {isotonic_sql(MEMBERS.sql, 'gamma')}, {bounds_sql(MEMBERS.sql, 'gamma')},
+g AS (SELECT x AS lo_x, v AS lo_v, lead(x) OVER (ORDER BY x) AS hi_x, lead(v) OVER (ORDER BY x) AS hi_v FROM f),
+q AS (SELECT id, gamma, CASE WHEN lo_x IS NULL THEN (SELECT min(v) FROM f) WHEN gamma = lo_x OR hi_x IS NULL THEN lo_v
+  ELSE lo_v + (hi_v - lo_v) * (gamma - lo_x) / (hi_x - lo_x) END AS v FROM {MEMBERS.sql} t ASOF LEFT JOIN g ON gamma >= lo_x)
+SELECT id, round(greatest(lo, least(hi, v)), 6) AS calibrated FROM q, bounds""")
 def bounded_isotonic_scores(spark, sf):
     df = MEMBERS.frame(spark, sf)
     fitted = models.Calibrator.fit(df, score="gamma")
@@ -194,6 +229,30 @@ def nearest_neighbour_vote(spark, sf):
     return rounded(neighbours.vote(found), 5)
 
 
+def vectors(spark, sf):
+    return spark.read.parquet(f"{sf}/embeddings.parquet").select(
+        F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), (F.col("label") == 1).cast("int").alias("y"))
+
+
+@query(sql="SELECT count(*) AS n_queries, 25 * count(*) AS n_exact, true AS reached FROM embeddings WHERE vec_id % 100 = 0")
+def neighbour_index_recall(spark, sf):
+    """Every row with an id divisible by 100 against all rows: nine in ten exact neighbours must be in the lists read."""
+    df = vectors(spark, sf)
+    asked = df.where("id % 100 = 0").drop("y")
+    found = neighbours.NeighbourIndex.fit(df).nearest(asked)
+    share = neighbours.recall_of(found, neighbours.nearest(df, asked))
+    one = share.select("n_exact", (F.col("recall") >= 0.9).alias("reached"))
+    return asked.agg(F.count(F.lit(1)).alias("n_queries")).join(F.broadcast(one))
+
+
+@query
+def indexed_neighbour_vote(spark, sf):
+    """The vote of :func:`nearest_neighbour_vote` from the index."""
+    df = vectors(spark, sf)
+    index = neighbours.NeighbourIndex.fit(df.where("id % 5 <> 0"))
+    return rounded(neighbours.vote(index.nearest(df.where("id % 5 = 0").drop("y"))), 5)
+
+
 @query
 def feature_ablation(spark, sf):
     blocks = {"members": ["alpha", "gamma"], "place": ["pos", "beta"]}
