@@ -27,7 +27,9 @@ class FinalStage:
     intervals: DataFrame  #: metric, point, lo, hi
 
     def save(self, path: str) -> None:
-        tables.save_artefact(path, self.model, {"thresholds": self.thresholds, "report": self.report})
+        tables.save_artefact(path, self.model, {
+            "thresholds": self.thresholds, "report": self.report, "calibration": self.calibration, "intervals": self.intervals})
+        self.calibrator.save(f"{path}/calibrator")
 
 
 def calibrated_out_of_fold(oof: DataFrame, fold: str = "fold") -> DataFrame:

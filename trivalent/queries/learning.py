@@ -11,9 +11,8 @@ from ..functions import fixed_values as fv
 from ..functions import notation, text
 from ..operators import aggregates, metrics, neighbours, quality, splits
 from ..operators.isotonic import Isotonic
-from ..plans import experiments, features, final, models, scoring
+from ..plans import experiments, features, final, models, scoring, stages
 from ..session import materialise
-from ..sources import tables
 from ..streaming import scoring as streaming
 from .bindings import CATALOGUE, MEMBERS, SCORES, VARIANTS
 from .cohorts import CATALOGUE_LABEL, FUSED_SQL, fused, loaded_fused, records, scratch
@@ -189,6 +188,27 @@ def stacked_ensemble_weights(spark, sf):
     return rounded(models.stack(members_long(spark, sf), ["alpha", "beta", "gamma"])[1], 3)
 
 
+STACK = stages.StackedClassifier(
+    bases={"l2": ["logistic", {"c": 1.0}], "elastic_net": ["logistic", {"c": 0.5, "mix": 0.5}]}, features=COLUMNS, groupCol="grp")
+
+
+@query(sql=f"""
+WITH m AS (SELECT * FROM {MEMBERS.sql} t)
+SELECT (SELECT count(*) FROM m) AS n_rows, 2 * count(*) AS n_cross_fitted, 0 AS n_straddling, 0 AS n_changed FROM m WHERE y IS NOT NULL""")
+def stacked_model_round_trip(spark, sf):
+    """All rows scored by a stack that was saved and loaded; every labelled row has one inner score a base, no group is in two folds."""
+    df = MEMBERS.frame(spark, sf).withColumn("pos", F.col("pos").cast("double"))
+    model = STACK.fit(df)
+    path = scratch(spark, "stack")
+    model.write().save(path)
+    again = stages.StackedModel.load(path).transform(df).select("id", F.col("p").alias("q"))
+    scored = model.transform(df).join(again, "id").agg(
+        F.count("p").alias("n_rows"), F.count_if(~F.col("p").eqNullSafe(F.col("q"))).alias("n_changed"))
+    inner = model.cross_fitted.where("p BETWEEN 0 AND 1").agg(F.count(F.lit(1)).alias("n_cross_fitted"))
+    groups = model.inner_folds.groupBy("row_group").agg(F.count_distinct("fold").alias("n")).agg(F.count_if(F.col("n") > 1).alias("n_straddling"))
+    return scored.join(F.broadcast(inner)).join(F.broadcast(groups)).select("n_rows", "n_cross_fitted", "n_straddling", "n_changed")
+
+
 SHARES_SQL = f"""{LONG_SQL}, h AS (SELECT model, p, count(*) AS n FROM l GROUP BY ALL),
 s AS (SELECT model, p, sum(n) OVER (PARTITION BY model ORDER BY p) / sum(n) OVER (PARTITION BY model) AS share FROM h),
 w AS (SELECT id, y, max(share) FILTER (model = 'alpha') AS a, max(share) FILTER (model = 'beta') AS b, max(share) FILTER (model = 'gamma') AS c
@@ -426,18 +446,40 @@ def covariate_block(spark, sf):
 
 # --- scoring and streams ------------------------------------------------------------------
 
+def catalogue_artefact(spark, sf):
+    """Model on all 135 columns, calibrator and thresholds of its out-of-fold scores, saved as one artefact; its folder."""
+    df = CATALOGUE.frame(spark, sf).withColumn("y", text.catalogue_label("`History of Inhibitor`"))
+    fitted, built = features.CatalogueFeatures.fit_transform(df, ["id", "y"])
+    names = features.catalogue_feature_names()
+    folds = splits.stratified_folds(materialise(built.where("y IS NOT NULL"), "matrix"), "id", k=3)
+    train = models.fold_table(folds, ["id", "fold", "y", *names])
+    oof = models.out_of_fold(train, names, FAST, "l2")
+    calibrator, model = models.Calibrator.fit(oof), models.fit(train, names, FAST)
+    points = metrics.operating_points(calibrator.transform(oof), score="calibrated").collect()
+    rules = {r["rule"]: float(r["threshold"]) for r in points}
+    path = scratch(spark, "artefact")
+    stages.Artefact.of_catalogue(fitted, model, rules, "youden", calibrator, tables={"out_of_fold": oof}).save(path)
+    return path
+
+
 @query
 def scored_catalogue_table(spark, sf):
+    """The raw table through a loaded artefact alone."""
+    return stages.Artefact.load(spark, catalogue_artefact(spark, sf)).score(CATALOGUE.frame(spark, sf))
+
+
+@query(sql="SELECT count(*) AS n_rows, 0 AS n_unscored, 0 AS n_changed, 135 AS n_features FROM orders")
+def artefact_round_trip(spark, sf):
+    """Rows of the table scored by a loaded artefact, and how many of them score otherwise alone among a tenth of the rows."""
+    artefact = stages.Artefact.load(spark, catalogue_artefact(spark, sf))
     df = CATALOGUE.frame(spark, sf)
-    labelled = df.withColumn("y", text.catalogue_label("`History of Inhibitor`"))
-    built = materialise(features.CatalogueFeatures.fit_transform(labelled, ["id", "y"])[1], "matrix")
-    names = ["is_null_mutation", "severity_ordinal", "mature_pos_norm", "grantham", "exon_norm"]
-    model = models.fit(built, names, FAST)
-    path = scratch(spark, "artefact")
-    tables.save_artefact(path, model, {"thresholds": spark.createDataFrame([("youden", 0.5)], "rule string, threshold double")})
-    again, saved = tables.load_artefact(spark, path, ["thresholds"])
-    rules = {r["rule"]: r["threshold"] for r in saved["thresholds"].collect()}
-    return scoring.score_features(again, enc.align(built, names, ["id"], 0.0), rules, "youden", ["id"])
+    whole = materialise(artefact.score(df), "scored")
+    part = artefact.score(df.where("id % 10 = 0")).select("id", F.col("risk").alias("again"), F.col("call").alias("call_again"))
+    changed = ~F.col("risk").eqNullSafe(F.col("again")) | ~F.col("call").eqNullSafe(F.col("call_again"))
+    n = whole.join(part, "id").agg(F.count_if(changed).alias("n_changed"))
+    return whole.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("risk").isNull() | F.col("band").isNull()).alias("n_unscored"),
+    ).join(F.broadcast(n)).withColumn("n_features", F.lit(len(artefact.names)))
 
 
 def caller_records(spark, sf):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.ml import PipelineModel
@@ -16,6 +17,10 @@ from ..functions.encode import finite_or_null
 from ..operators.relations import join_dimension
 
 
+#: Folder of commits beside a score table's data; Spark's readers pass over names with an underscore.
+COMMITS, COMMIT = "_commits", "model string, n_rows long, run string, committed_at timestamp"
+
+
 def clean_headers(df: DataFrame) -> DataFrame:
     """Collapse white space in column names and drop unnamed columns."""
     names = [re.sub(r"\s+", " ", c).strip() for c in df.columns]
@@ -132,14 +137,35 @@ def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:
     df.write.mode("overwrite").format(fmt).save(path)
 
 
-def write_scores(df: DataFrame, path: str) -> None:
-    """Long scores, one folder per model, so a reader of one model scans only that."""
-    df.write.mode("overwrite").partitionBy("model").parquet(path)
+def write_scores(df: DataFrame, path: str) -> str:
+    """Add long scores as one run, one folder per model and run; returns the run's name.
+
+    A run counts once its commit is there, which is written last, a row per model. So
+    writing a model again replaces that model's scores for readers and no other's, and a
+    failed or running write is never read. Older runs stay on disk.
+    """
+    run, spark = uuid.uuid4().hex, df.sparkSession
+    df.withColumn("run", F.lit(run)).write.mode("append").partitionBy("model", "run").parquet(path)
+    written = spark.read.parquet(path).where(F.col("run") == run).groupBy("model").agg(F.count(F.lit(1)).alias("n_rows"))
+    commit = written.select("model", "n_rows", F.lit(run).alias("run"), F.current_timestamp().alias("committed_at"))
+    commit.coalesce(1).write.mode("append").json(f"{path}/{COMMITS}")
+    return run
+
+
+def committed_runs(spark: SparkSession, path: str) -> DataFrame:
+    """model, run and n_rows of the last committed run of each model."""
+    commits = spark.read.schema(COMMIT).json(f"{path}/{COMMITS}")
+    last = F.max(F.struct("committed_at", "run", "n_rows")).alias("last")
+    return commits.groupBy("model").agg(last).select("model", "last.run", "last.n_rows")
 
 
 def read_scores(spark: SparkSession, path: str, model: str | None = None) -> DataFrame:
-    scores = spark.read.parquet(path)
-    return scores.where(F.col("model") == model) if model else scores
+    """The committed scores of each model, or of one; only their folders are scanned."""
+    runs = committed_runs(spark, path)
+    wanted = F.lit(False)
+    for r in (runs.where(F.col("model") == model) if model else runs).collect():  # one a model
+        wanted = wanted | ((F.col("model") == r["model"]) & (F.col("run") == r["run"]))
+    return spark.read.parquet(path).where(wanted).drop("run")
 
 
 def save_artefact(path: str, model: PipelineModel, tables: dict[str, DataFrame]) -> None:
