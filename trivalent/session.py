@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,7 +55,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str = "table", partition_by: Sequence[str] = ()) -> DataFrame:
+_held: ContextVar[list[DataFrame] | None] = ContextVar("held", default=None)
+
+
+@contextmanager
+def temporary():
+    """Tables stored inside, but for ``lasting`` ones, are deleted at the end: store what is to be kept before that."""
+    mark = _held.set([])
+    try:
+        yield
+    finally:
+        discard(*_held.get())
+        _held.reset(mark)
+
+
+def materialise(df: DataFrame, label: str = "table", partition_by: Sequence[str] = (), lasting: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts lineage like a checkpoint, and leaves Catalyst with real file sizes for
@@ -62,7 +78,19 @@ def materialise(df: DataFrame, label: str = "table", partition_by: Sequence[str]
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    if not lasting and _held.get() is not None:
+        _held.get().append(stored)
+    return stored
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete tables that :func:`materialise` wrote, once nothing that is still to run reads them."""
+    for df in stored:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
