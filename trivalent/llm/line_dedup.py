@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trivalent.session import materialise
+from trivalent.session import materialise, temporary
 
 from .common import bounded_batches
 
@@ -197,7 +197,8 @@ def remove_repeated_passages(
     """
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
     docs = docs.where("doc_id is not null and text is not null")
-    gone = materialise(passages_to_remove(docs, min_words, together), "gone")
+    with temporary():
+        gone = materialise(passages_to_remove(docs, min_words, together), "gone", lasting=True)
     text = df[text_col].cast("string")
     rows = df.join(large(gone), (gone["doc_id"] == df[id_col].cast("long")) & (gone["row"] == F.xxhash64(text)), "left")
     ranges = gone["ranges"]

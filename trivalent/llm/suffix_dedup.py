@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trivalent.session import materialise
+from trivalent.session import materialise, temporary
 
 from .common import bounded_batches
 from .line_dedup import large
@@ -334,7 +334,8 @@ def remove_repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str =
         raise ValueError("length must be from 64 to 254")
     text = F.coalesce(df[text_col].cast("string"), F.lit(""))
     docs = df.select(df[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.cast("binary").alias("bytes"))
-    gone = materialise(repeated_ranges(docs, length), "gone")
+    with temporary():
+        gone = materialise(repeated_ranges(docs, length), "gone", lasting=True)
     mine = docs["doc_id"].eqNullSafe(gone["doc_id"]) & (docs["digest"] == gone["digest"])
     rows = docs.join(large(gone), mine, "left").select(docs["doc_id"], docs["bytes"], gone["ranges"])
     bounded_batches(df.sparkSession)
