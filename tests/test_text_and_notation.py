@@ -72,6 +72,8 @@ def test_cdna_vectors(spark, raw, want):
     (None, "Arg-5*", dict(mature_pos=-5, prot_pos=15, is_nonsense=1)),
     (None, None, dict(mature_pos=None)),
     ("", "", dict(mature_pos=None)),
+    ("NM_000132.4:p.Arg1781His", None, dict(prot_pos=1781, mature_pos=1762, ref_aa="R", alt_aa="H")),
+    ("NP_000123.1:p.(Leu12Profs*8)", None, dict(prot_pos=12, is_frameshift=1, fs_ter_offset=8)),
     ("not a variant", None, dict(mature_pos=None, is_frameshift=0))])
 def test_protein_vectors(spark, precursor, mature, want):
     df = spark.createDataFrame([(precursor, mature)], "p string, m string")

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, small_side
 from . import ordered
 
 #: Hex digits of the digest by which rows are counted, level by level: only buckets that hold a cut are looked at
@@ -141,6 +142,61 @@ def group_folds(df: DataFrame, group: str, label: str = "y", k: int = 5, seed: i
     return df.join(folds, F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group")
 
 
+def dealt_leftovers(profiles: list[tuple[int, int, int]], k: int) -> dict[tuple[int, int], list[int]]:
+    """How many groups of each profile (positives, negatives, number of groups) every fold gets.
+
+    Largest profiles first. Groups go, a few at a time where there are many of one
+    profile and at last one by one, to the fold where the folds' shares of both classes
+    then spread least, and of equal ones to the fold with fewest rows.
+    """
+    totals = np.array([max(1, sum(p[c] * p[2] for p in profiles)) for c in (0, 1)], float)
+    held, quotas, each = np.zeros((k, 2)), {}, np.eye(k)[:, :, None]
+    for pos, neg, groups in sorted(profiles, key=lambda p: (-(p[0] + p[1]), p)):
+        counts, own = [0] * k, np.array([pos, neg], float)
+        while groups:
+            some = max(1, groups // (4 * k))
+            spread = ((held + each * own * some) / totals).std(axis=1).mean(axis=1)
+            best = int(np.lexsort((held.sum(axis=1), np.round(spread, 12)))[0])
+            counts[best] += some
+            held[best] += own * some
+            groups -= some
+        quotas[pos, neg] = counts
+    return quotas
+
+
+def balanced_group_folds(df: DataFrame, group: str, label: str = "y", k: int = 5, seed: int = 42, out: str = "fold",
+                         most_profiles: int = 50_000) -> DataFrame:
+    """Folds of whole groups with rows and rates as even as a greedy assignment makes them.
+
+    Groups with the same class counts are interchangeable, so the greedy choice is made
+    on the table of distinct counts and their multiplicities, and the groups of one
+    profile are dealt by digest. At most ``most_profiles`` profiles, the largest, take
+    part in the choice on the driver; what smaller ones leave over is dealt in turn.
+    """
+    profile = materialise(df.groupBy(group).agg(
+        F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg")), "profiles")
+    sizes = profile.groupBy("_pos", "_neg").agg(F.count(F.lit(1)).alias("_groups"))
+    largest = [tuple(r) for r in sizes.orderBy((F.col("_pos") + F.col("_neg")).desc(), "_pos").limit(most_profiles).collect()]
+    chosen = [(*p, quotas) for p, quotas in dealt_leftovers(largest, k).items()]
+    plan = df.sparkSession.createDataFrame(chosen, "_pos long, _neg long, _quotas array<int>")
+    turn = F.pmod(F.xxhash64("_pos", "_neg"), F.lit(k))
+    even = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: (
+        F.floor(F.col("_groups") / k) + F.when(F.pmod(f + turn, F.lit(k)) < F.col("_groups") % k, 1).otherwise(0)).cast("int"))
+    planned = sizes.join(F.broadcast(plan), ["_pos", "_neg"], "left").withColumn("_quotas", F.coalesce("_quotas", even))
+    # Parts are the folds that get any group, in order; a part starts after the quotas before it.
+    folds = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: F.get("_quotas", f) > 0)
+    start = lambda f: F.aggregate(F.slice("_quotas", 1, f), F.lit(0), lambda a, b: a + b).cast("long")
+    planned = planned.withColumn("_folds", folds).withColumn("_starts", F.transform(F.slice("_folds", 2, k), start))
+    planned = materialise(planned.select(F.struct("_pos", "_neg").alias("_key"), "_folds", "_starts"), "plan")
+    keyed = profile.select(F.struct("_pos", "_neg").alias("_key"), F.col(group).alias("_group"), digest(group, seed).alias("_h"))
+    points = rows_at(keyed.select("_key", "_h"), planned.select("_key", "_starts"))
+    points = points.groupBy("_key").agg(F.array_sort(F.collect_list("_h")).alias("_cuts"))
+    points = materialise(planned.join(points, "_key", "left"), "parts")
+    reached = F.coalesce(F.size(F.filter("_cuts", lambda c: F.col("_h") >= c)), F.lit(0))
+    placed = keyed.join(small_side(points), "_key").select("_group", F.get("_folds", reached).alias(out))
+    return df.join(placed, F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group")
+
+
 def position_blocks(df: DataFrame, position: str, key: str, n_blocks: int = 10, seed: int = 42,
                     out: str = "block") -> DataFrame:
     """Equal-count contiguous blocks along a position; unknown positions take the median.

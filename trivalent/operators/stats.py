@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from . import metrics, ordered
 
 
@@ -244,17 +246,140 @@ def tie_tier(oof: DataFrame, alpha: float = 0.05, key: str = "id", label: str =
         rows, "model string, oof_auc double, delta double, p_value double, verdict string")
 
 
+#: Metrics that :func:`exact_bootstrap` knows.
+EXACT = ("auc_roc", "auc_pr", "sensitivity")
+#: Distinct scores whose replicate weights are held at once.
+CELLS_AT_ONCE = 256
+
+
+def _weights(seed: int, unit: str, cells: pd.DataFrame, n_boot: int) -> tuple[np.ndarray, np.ndarray]:
+    """Poisson weights of the positives and negatives of each cell: column 0 has the counts themselves.
+
+    A cell's draws depend on the seed, its key and its score alone, wherever it is computed.
+    """
+    out = np.empty((2, len(cells), n_boot + 1))
+    own = zlib.crc32(unit.encode())
+    for i, (score, *counts) in enumerate(cells[["s", "pos", "neg"]].itertuples(index=False)):
+        rng = np.random.default_rng([seed, own, int(np.float64(score).view(np.uint64))])
+        for side, count in enumerate(counts):
+            out[side, i, 0] = count
+            out[side, i, 1:] = rng.poisson(count, n_boot)
+    return out[0], out[1]
+
+
+def exact_bootstrap(df: DataFrame, label: str = "y", score: str = "p", of: Sequence[str] = EXACT, n_boot: int = 2000, alpha: float = 0.05,
+                    seed: int = 42, by: Sequence[str] = (), threshold: float | None = None, hist: DataFrame | None = None) -> DataFrame:
+    """Bootstrap percentile intervals over all distinct scores: keys, metric, point, lo, hi, n_boot.
+
+    Every row gets a Poisson(1) weight in each replicate; the rows of one class and
+    score together get a Poisson weight of their number. Each range bucket of scores adds
+    up arrays with an element a replicate; the totals of the buckets above are carried
+    into it, then its share of each metric is added up element by element. Replicates
+    without a class are left out and not counted. ``threshold`` fixes where sensitivity
+    is taken; without it that is each replicate's own Youden point. No score is rounded,
+    and the result does not depend on partitioning.
+    """
+    cells = metrics.score_histogram(df, label, score, by) if hist is None else hist
+    cells = cells.select(*by, F.col(score).cast("double").alias("s"), "pos", "neg").where("pos + neg > 0")
+    unit = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
+    splits = ordered.range_splits(cells, "s")
+    cells = ordered.with_bucket(cells, "s", splits).select(unit.alias("unit"), F.to_json(unit).alias("name"), "_bucket", "s", "pos", "neg")
+    cells = materialise(cells, "cells")
+    width = n_boot + 1
+
+    def parts(rows: pd.DataFrame):
+        rows = rows.sort_values("s", ascending=False)
+        for a in range(0, len(rows), CELLS_AT_ONCE):
+            some = rows.iloc[a : a + CELLS_AT_ONCE]
+            yield some["s"].to_numpy(), *_weights(seed, rows["name"].iloc[0], some, n_boot)
+
+    def totals(rows: pd.DataFrame) -> pd.DataFrame:
+        pos, neg = np.zeros(width), np.zeros(width)
+        for _, p, n in parts(rows):
+            pos += p.sum(axis=0)
+            neg += n.sum(axis=0)
+        return pd.DataFrame({"name": [rows["name"].iloc[0]], "_bucket": [rows["_bucket"].iloc[0]], "pos": [pos], "neg": [neg]})
+
+    def carry(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_bucket", ascending=False)  # one row a bucket
+        pos, neg = np.cumsum(np.stack(rows["pos"]), axis=0), np.cumsum(np.stack(rows["neg"]), axis=0)
+        return pd.DataFrame({
+            "name": rows["name"], "_bucket": rows["_bucket"], "tp": list(pos - np.stack(rows["pos"])), "fp": list(neg - np.stack(rows["neg"])),
+            "all_pos": [pos[-1]] * len(rows), "all_neg": [neg[-1]] * len(rows)})
+
+    def shares(rows: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        tp, fp, all_pos, all_neg = (np.array(above[c].iloc[0]) for c in ("tp", "fp", "all_pos", "all_neg"))
+        auc, ap, best, at = np.zeros(width), np.zeros(width), np.full(width, -np.inf), np.zeros(width)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for scores, p, n in parts(rows):
+                up_p, up_n = tp + np.cumsum(p, axis=0), fp + np.cumsum(n, axis=0)
+                auc += (p * (all_neg - up_n + n / 2)).sum(axis=0)
+                ap += np.where(p > 0, p * up_p / (up_p + up_n), 0.0).sum(axis=0)
+                if threshold is None:
+                    gain = up_p / all_pos - up_n / all_neg
+                    top = np.argmax(gain, axis=0)  # the first from the top
+                    here = np.take_along_axis(gain, top[None], axis=0)[0]
+                    better = here > best
+                    at = np.where(better, np.take_along_axis(up_p, top[None], axis=0)[0], at)
+                    best = np.where(better, here, best)
+                else:
+                    at += p[scores >= threshold].sum(axis=0)
+                tp, fp = up_p[-1], up_n[-1]
+        return pd.DataFrame({
+            "name": [rows["name"].iloc[0]], "_bucket": [rows["_bucket"].iloc[0]], "auc": [auc], "ap": [ap], "best": [best], "at": [at],
+            "pos": [all_pos], "neg": [all_neg]})
+
+    def intervals(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_bucket", ascending=False)  # one row a bucket
+        pos, neg, at, best = (np.stack(rows[c]) for c in ("pos", "neg", "at", "best"))
+        pos, neg = pos[0], neg[0]
+        if threshold is None:
+            top = np.argmax(best, axis=0)
+            found = np.take_along_axis(at, top[None], axis=0)[0]
+            found = np.where(best.max(axis=0) > 0, found, 0.0)
+        else:
+            found = at.sum(axis=0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            values = {"auc_roc": np.stack(rows["auc"]).sum(axis=0) / (pos * neg), "auc_pr": np.stack(rows["ap"]).sum(axis=0) / pos, "sensitivity": found / pos}
+        there = (pos > 0) & (neg > 0)
+        out = []
+        for name in of:
+            drawn = values[name][1:][there[1:]]
+            ends = [float(x) for x in np.percentile(drawn, [100 * alpha / 2, 100 * (1 - alpha / 2)])] if len(drawn) else [None, None]
+            out.append((rows["name"].iloc[0], name, float(values[name][0]) if there[0] else None, *ends, len(drawn)))
+        return pd.DataFrame(out, columns=["name", "metric", "point", "lo", "hi", "n_boot"]).astype({"point": float, "lo": float, "hi": float})
+
+    vector = lambda *names: ", ".join(f"{n} array<double>" for n in names)
+    head = "name string, _bucket int, "
+    # One row a bucket and key, so a task holds buckets x replicates.
+    carried = cells.groupBy("name", "_bucket").applyInPandas(totals, head + vector("pos", "neg")).groupBy("name").applyInPandas(
+        carry, head + vector("tp", "fp", "all_pos", "all_neg"))
+    found = cells.groupBy("name", "_bucket").cogroup(carried.groupBy("name", "_bucket")).applyInPandas(
+        shares, head + vector("auc", "ap", "best", "at", "pos", "neg"))
+    found = found.groupBy("name").applyInPandas(intervals, "name string, metric string, point double, lo double, hi double, n_boot int")
+    units = cells.select("name", "unit").distinct()
+    missing = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
+    return found.join(F.broadcast(units), "name").select(
+        *[F.col(f"unit.{c}").alias(c) for c in by], "metric", missing("point"), missing("lo"), missing("hi"), F.col("n_boot").cast("long").alias("n_boot"))
+
+
 def bootstrap_interval(df: DataFrame, label: str = "y", score: str = "p", metric: str = "auc_roc", n_boot: int = 2000,
-                       digits: int = 3, alpha: float = 0.05, seed: int = 42, by: Sequence[str] = (),
+                       digits: int | None = None, alpha: float = 0.05, seed: int = 42, by: Sequence[str] = (),
                        threshold: float | None = None, hist: DataFrame | None = None) -> DataFrame:
     """Stratified bootstrap percentile interval of one metric, at ``threshold`` or at each draw's own Youden point.
 
     ``hist`` may give the counts (key, score, pos, neg) in place of rows.
 
-    Rows collapse to counts per rounded score. Drawing those counts per class
-    from a multinomial is the same as drawing the rows, so a replicate costs the
-    number of score cells (at most 10^digits + 1), not the number of rows.
+    The metrics in EXACT use every distinct score (see :func:`exact_bootstrap`), unless
+    ``digits`` is given. Then, and for other metrics (to 3 digits), rows collapse to
+    counts per rounded score. Drawing those counts per class from a multinomial is the
+    same as drawing the rows, so a replicate costs the number of score cells (at most
+    10^digits + 1), not the number of rows.
     """
+    if digits is None and metric in EXACT:
+        whole = exact_bootstrap(df, label, score, [metric], n_boot, alpha, seed, by, threshold, hist)
+        return whole.select(*by, "point", "lo", "hi", "n_boot")
+    digits = 3 if digits is None else digits
     if hist is None:
         cells = metrics.score_histogram(df.withColumn(score, F.round(F.col(score), digits)), label, score, by)
     else:

@@ -61,8 +61,6 @@ def final_stage(df: DataFrame, features: Sequence[str], factory: models.Factory,
         metrics.summarise_curve(curve, "calibrated", threshold=t).withColumn("rule", F.lit(rule)) for rule, t in sorted(rules.items())])
     both = scored.unpivot([key, "y"], ["p", "calibrated"], "scores", "p")
     calibration = metrics.brier(both, by=["scores"]).join(metrics.calibration_error(both, by=["scores"]), "scores")
-    intervals = models.stacked([
-        stats.bootstrap_interval(scored, score="calibrated", metric=m, n_boot=n_boot, seed=seed).withColumn("metric", F.lit(m))
-        for m in ("auc_roc", "auc_pr", "sensitivity")])
+    intervals = stats.exact_bootstrap(scored, score="calibrated", n_boot=n_boot, seed=seed)
     thresholds = df.sparkSession.createDataFrame(sorted(rules.items()), "rule string, threshold double")
     return FinalStage(model, calibrator, thresholds, report, calibration, intervals)

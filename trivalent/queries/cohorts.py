@@ -13,6 +13,7 @@ from ..operators import aggregates, metrics, relations, splits, stats
 from ..plans import features
 from ..session import materialise, shared_folder
 from ..sources import tables
+from ..streaming import scoring as streaming
 from .bindings import CATALOGUE, MEMBERS, RECORDS, SCORES, VARIANTS
 from .registry import query
 from .scalars import (ACTIVITY, AA_SQL, CATALOGUE_EFFECT_SQL, EFFECT_SQL, PROTEIN_SQL, READING, REGION_SQL,
@@ -143,6 +144,46 @@ def score_sink_by_model(spark, sf):
     return spark.read.schema("model string, n long, mean_p double").json(report)
 
 
+BROKEN_LINE = """CASE WHEN o_orderkey % 50 = 0 THEN concat(CAST(o_orderkey AS STRING), ',x')
+  WHEN o_orderkey % 50 = 1 THEN concat(CAST(o_orderkey AS STRING), ',a,b,c,d')
+  WHEN o_orderkey % 50 = 2 THEN concat(CAST(o_orderkey AS STRING), ',,v')
+  ELSE concat(CAST(o_orderkey AS STRING), ',"a ""quoted"", field",', o_orderstatus) END"""
+
+
+def broken_lines(spark, sf):
+    """A folder of CSV lines, some of them with too few, too many or blank fields."""
+    path = scratch(spark, "lines")
+    lines = spark.read.parquet(f"{sf}/orders.parquet").selectExpr(f"{BROKEN_LINE} AS value")
+    lines.write.option("lineSep", "\n").text(f"{path}/raw")
+    # Each file gets a header line: partitions are written by Spark's own CSV writer, unquoted.
+    spark.read.text(f"{path}/raw").withColumnRenamed("value", "id,name,status").write.option("header", True).option(
+        "quote", "").option("sep", "\x01").csv(f"{path}/csv")
+    return f"{path}/csv"
+
+
+QUARANTINE_SQL = """
+SELECT CASE WHEN k IN (0, 1) THEN 'fields do not match the header' WHEN k = 2 THEN 'no value for name' ELSE 'sound' END AS reason, count(*) AS n
+FROM (SELECT o_orderkey % 50 AS k FROM orders) GROUP BY 1"""
+
+
+@query(sql=QUARANTINE_SQL)
+def quarantined_rows(spark, sf):
+    """Rows read from CSV by reason of refusal; none is lost and none is filled with NULLs."""
+    sound, rejects = tables.read_checked(spark, broken_lines(spark, sf), ["id", "name", "status"], ["name"])
+    reasons = rejects.select("reason").unionByName(sound.where("id IS NOT NULL AND name = 'a \"quoted\", field'").select(F.lit("sound").alias("reason")))
+    return reasons.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(sql=QUARANTINE_SQL)
+def stream_quarantine(spark, sf):
+    """The same from a stream of files."""
+    out, rejects = scratch(spark, "sound"), scratch(spark, "refused")
+    stream = streaming.read_lines(spark, broken_lines(spark, sf), ["id", "name", "status"])
+    streaming.quarantine_stream(stream, ["name"], out, rejects, scratch(spark, "progress")).awaitTermination()
+    both = spark.read.parquet(rejects).select("reason").unionByName(spark.read.parquet(out).select(F.lit("sound").alias("reason")))
+    return both.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(sql=f"""
 WITH l AS (SELECT y, 'alpha' AS model, alpha AS p FROM {MEMBERS.sql} t UNION ALL SELECT y, 'beta', beta FROM {MEMBERS.sql} t
   UNION ALL SELECT y, 'gamma', gamma FROM {MEMBERS.sql} t), {curve_sql('(SELECT * FROM l)', by='model')},
@@ -608,6 +649,22 @@ def stratified_group_folds(spark, sf):
     return splits.group_folds(MEMBERS.frame(spark, sf), "grp").select("id", "fold")
 
 
+@query(sql=f"SELECT count(*) AS n_rows, count(DISTINCT grp) AS n_groups, 5 AS n_folds, 0 AS n_straddling, true AS even FROM {MEMBERS.sql} t")
+def balanced_group_folds(spark, sf):
+    """Rows, groups, folds, groups in two folds, and whether folds differ by less than the largest group in each class."""
+    df = splits.balanced_group_folds(MEMBERS.frame(spark, sf), "grp")
+    of_group = df.groupBy("grp").agg(
+        F.count_distinct("fold").alias("folds"), F.min("fold").alias("fold"), F.count(F.lit(1)).alias("n"),
+        *[F.count_if(F.col("y") == c).alias(f"n{c}") for c in (0, 1)])
+    of_fold = of_group.groupBy("fold").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"), F.count_if(F.col("folds") > 1).alias("straddling"),
+        *[e for c in (0, 1) for e in (F.sum(f"n{c}").alias(f"n{c}"), F.max(f"n{c}").alias(f"most{c}"))])
+    even = [F.max(f"n{c}") - F.min(f"n{c}") <= F.max(f"most{c}") for c in (0, 1)]
+    return of_fold.agg(
+        F.sum("n").alias("n_rows"), F.sum("groups").alias("n_groups"), F.count(F.lit(1)).alias("n_folds"),
+        F.sum("straddling").alias("n_straddling"), (even[0] & even[1]).alias("even"))
+
+
 BLOCK_SQL = f"""
 f AS (SELECT id, coalesce(CAST(pos AS DOUBLE), (SELECT quantile_cont(pos, 0.5) FROM {MEMBERS.sql} t)) AS pos FROM {MEMBERS.sql} t),
 b AS (SELECT id, ntile({{n}}) OVER (ORDER BY pos, {HASH.format(seed=42, key='id')}) - 1 AS block FROM f)"""

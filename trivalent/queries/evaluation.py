@@ -335,6 +335,28 @@ def bootstrap_auc_interval(spark, sf):
     return rounded(stats.bootstrap_interval(SCORES.frame(spark, sf), by=["stratum"]))
 
 
+@query(sql=f"""
+WITH {curve_sql(by='stratum')},
+a AS (SELECT stratum, {AUC_SQL} AS auc_roc, {AP_SQL} AS auc_pr, arg_max(tp / np, (tp / np - fp / nn, p)) AS sensitivity FROM c GROUP BY stratum)
+SELECT stratum, metric, round(point, 6) AS point, true AS inside, 300 AS n_boot FROM a UNPIVOT (point FOR metric IN (auc_roc, auc_pr, sensitivity))""")
+def exact_bootstrap_points(spark, sf):
+    """Points of three metrics over all distinct scores, whether their intervals hold them, and the replicates that had both classes."""
+    found = stats.exact_bootstrap(SCORES.frame(spark, sf), n_boot=300, by=["stratum"])
+    return rounded(found.select("stratum", "metric", "point", F.col("point").between(F.col("lo"), F.col("hi")).alias("inside"), "n_boot"))
+
+
+@query(sql=f"""
+WITH x AS (SELECT unnest({STRATA_SQL}) AS stratum, y, p FROM {SCORES.sql} t WHERE y IS NOT NULL),
+{curve_sql('(SELECT * FROM x WHERE stratum IS NOT NULL)', by='stratum')},
+m AS (SELECT stratum, max(np) AS pp, max(nn) AS qq, {AUC_SQL} AS auc FROM c GROUP BY stratum)
+SELECT stratum, CAST(pp AS BIGINT) AS events, CASE WHEN pp >= 10 AND qq >= 10 THEN round(auc, 6) END AS auc_roc,
+  CASE WHEN pp >= 10 AND qq >= 10 THEN true END AS inside FROM m""")
+def stratum_intervals(spark, sf):
+    """The stratum report with the bootstrap interval of every AUC, and whether it holds the AUC."""
+    report = strata.stratum_report(SCORES.frame(spark, sf), demo_masks(), 0.4, n_boot=500)
+    return rounded(report.select("stratum", "events", "auc_roc", F.col("auc_roc").between(F.col("auc_lo"), F.col("auc_hi")).alias("inside")))
+
+
 def members_long(spark, sf):
     return MEMBERS.frame(spark, sf).unpivot(["id", "y", "grp"], ["alpha", "beta", "gamma"], "model", "p")
 

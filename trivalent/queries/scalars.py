@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import chemistry as chem
 from ..functions import encode as enc
 from ..functions import fixed_values as fv
 from ..functions import intervals, notation, text
-from ..operators import aggregates
+from ..operators import aggregates, spans
 from .bindings import CATALOGUE, MEMBERS, RECORDS, SCORES, VARIANTS
 from .registry import query
 from .shared import rounded
@@ -296,6 +298,38 @@ def interval_range_join(spark, sf):
     return intervals.range_join(rows, "pos", spans, 25.0).select("id", "span_id")
 
 
+#: Spans by order: many short ones, and a few that hold nearly everything.
+SPANS_OF = ("o_orderkey AS span_id, CAST(o_totalprice AS DOUBLE) / 8 AS lo,"
+            " CAST(o_totalprice AS DOUBLE) / 8 + CASE WHEN o_orderkey % 970 = 0 THEN 90000e0 ELSE o_custkey % 50 END AS hi")
+
+
+@query(sql=f"""
+WITH spans AS (SELECT {SPANS_OF} FROM orders WHERE o_orderkey % 97 = 0),
+r AS (SELECT l_orderkey AS k, l_linenumber AS n, CAST(l_extendedprice AS DOUBLE) AS pos FROM lineitem WHERE l_linenumber < 4)
+SELECT k, n, span_id FROM r LEFT JOIN spans ON pos BETWEEN lo AND hi""")
+def interval_tree_join(spark, sf):
+    """Items of orders with every span over their price, whatever the spans' lengths."""
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_linenumber < 4").selectExpr(
+        "l_orderkey AS k", "l_linenumber AS n", "CAST(l_extendedprice AS DOUBLE) AS pos")
+    spans_of = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 97 = 0").selectExpr(*[c.strip() for c in re.split(r",(?![^(]*\))", SPANS_OF)])
+    return spans.span_join(rows, "pos", spans_of).select("k", "n", "span_id")
+
+
+@query(sql=f"""
+WITH spans AS (SELECT o_orderstatus AS status, {SPANS_OF} FROM orders WHERE o_orderkey % 97 = 0),
+r AS (SELECT l_orderkey AS k, l_linenumber AS n, l_linestatus AS status, CASE WHEN l_orderkey % 31 <> 0 THEN CAST(l_extendedprice AS DOUBLE) END AS pos FROM lineitem),
+d AS (SELECT DISTINCT status, pos FROM r WHERE pos IS NOT NULL),
+g AS (SELECT d.status, pos, min(greatest(lo - pos, pos - hi, 0)) AS distance FROM d JOIN spans s ON s.status = d.status GROUP BY ALL)
+SELECT k, n, round(distance, 6) AS distance FROM r LEFT JOIN g ON r.status = g.status AND r.pos = g.pos""")
+def nearest_interval(spark, sf):
+    """Distance of every item's price to the nearest span of its status, from a table of spans."""
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr(
+        "l_orderkey AS k", "l_linenumber AS n", "l_linestatus AS status", "CASE WHEN l_orderkey % 31 <> 0 THEN CAST(l_extendedprice AS DOUBLE) END AS pos")
+    spans_of = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 97 = 0").selectExpr(
+        "o_orderstatus AS status", *[c.strip() for c in re.split(r",(?![^(]*\))", SPANS_OF)])
+    return rounded(spans.nearest_span(rows, "pos", spans_of, by=["status"]).select("k", "n", "distance"))
+
+
 PAIR_VALUES = ", ".join(f"('{r}', '{a}', {s})" for (r, a), s in chem.substitution_scores().items())
 RES_VALUES = ", ".join("('{}', '{}', {}::DOUBLE, {}::DOUBLE, {}::DOUBLE, {}::DOUBLE, {}::DOUBLE)".format(*row) for row in fv.RESIDUES)
 

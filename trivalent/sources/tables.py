@@ -15,8 +15,11 @@ from ..functions import fixed_values as fv
 from ..functions import text
 from ..functions.encode import finite_or_null
 from ..operators.relations import join_dimension
+from ..session import materialise
 
 
+#: Column of records that do not fit the header.
+CORRUPT = "_corrupt"
 #: Folder of commits beside a score table's data; Spark's readers pass over names with an underscore.
 COMMITS, COMMIT = "_commits", "model string, n_rows long, run string, committed_at timestamp"
 
@@ -60,6 +63,57 @@ def read_raw(spark: SparkSession, path: str, columns: Sequence[str] | None = Non
     return reader.csv(path)
 
 
+REJECT = "record string, reason string, file string, block_start long"
+
+
+def checked_schema(columns: Sequence[str]) -> T.StructType:
+    """String columns and one for records that do not have as many."""
+    return string_schema([*columns, CORRUPT])
+
+
+def with_origin(raw: DataFrame) -> DataFrame:
+    """The file and the start of the block that a record was read from."""
+    return raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block_start"))
+
+
+def sound_and_rejected(raw: DataFrame, required: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Sound rows, and rejects (REJECT) with the whole record: of other width, or without a value in a required column.
+
+    ``raw`` has the columns of :func:`checked_schema` and :func:`with_origin`; every row is in one of the two.
+    """
+    names = [c for c in raw.columns if c not in (CORRUPT, "_file", "_block_start")]
+    blank = [F.when(F.coalesce(F.btrim(F.col(f"`{c}`")), F.lit("")) == "", F.lit(f"no value for {c}")) for c in required]
+    reason = F.coalesce(F.when(F.col(CORRUPT).isNotNull(), F.lit("fields do not match the header")), *blank)
+    whole = F.coalesce(F.col(CORRUPT), F.to_csv(F.struct(*[F.col(f"`{c}`") for c in names])))
+    marked = raw.withColumn("_reason", reason)
+    rejects = marked.where("_reason IS NOT NULL").select(
+        whole.alias("record"), F.col("_reason").alias("reason"), F.col("_file").alias("file"), F.col("_block_start").alias("block_start"))
+    return marked.where("_reason IS NULL").select(*[F.col(f"`{c}`") for c in names]), rejects
+
+
+def read_checked(spark: SparkSession, path: str, columns: Sequence[str], required: Sequence[str] = (),
+                 multiline: bool = False) -> tuple[DataFrame, DataFrame]:
+    """CSV with a header as (rows, rejects): no record is lost and none is silently filled with NULLs.
+
+    The records are parsed once into a stored table, so a lost executor does not parse
+    them into other rows and both results agree.
+    """
+    reader = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"').option("enforceSchema", True)
+    reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).schema(checked_schema(columns))
+    return sound_and_rejected(materialise(with_origin(reader.csv(path)), "checked"), required)
+
+
+def header_drift(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """file, missing, unexpected and reordered of every file whose header is not ``columns``. One line a file is compared."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    first = lines.where("at = 0").withColumn("place", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "place").alias("header"))
+    found = F.transform(F.split("header", ","), lambda c: F.regexp_replace(F.btrim(F.regexp_replace(c, '"', "")), r"\s+", " "))
+    wanted = F.array(*[F.lit(c) for c in columns])
+    told = first.select("file", F.array_except(wanted, found).alias("missing"), F.array_except(found, wanted).alias("unexpected"), (found != wanted).alias("differs"))
+    return told.where("differs").select(
+        "file", "missing", "unexpected", ((F.size("missing") == 0) & (F.size("unexpected") == 0)).alias("reordered"))
+
+
 def finish_catalogue(df: DataFrame, gene: str, outcome: str = "History of Inhibitor", distinct: bool = True) -> DataFrame:
     """Header clean-up, blank and duplicate rows out, tri-state label and gene in."""
     df = clean_headers(df).na.drop("all")

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.scoring import is_empty
+from ..sources import tables
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -50,3 +51,22 @@ def score_stream_with_rejects(stream: DataFrame, scorer: Scorer, fields: Sequenc
     return (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start())
+
+
+def read_lines(spark: SparkSession, folder: str, columns: Sequence[str], per_trigger: int = 100) -> DataFrame:
+    """CSV files with a header as they come, for :func:`quarantine_stream`."""
+    reader = spark.readStream.schema(tables.checked_schema(columns)).option("maxFilesPerTrigger", per_trigger)
+    reader = reader.option("header", True).option("escape", '"').option("columnNameOfCorruptRecord", tables.CORRUPT)
+    return tables.with_origin(reader.csv(folder))
+
+
+def quarantine_stream(stream: DataFrame, required: Sequence[str], path: str, rejects: str, checkpoint: str) -> StreamingQuery:
+    """Sound rows to one table and the others, with reason and origin, to another; a batch run again replaces its output."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist(StorageLevel.MEMORY_AND_DISK)  # both writes read the batch
+        sound, refused = tables.sound_and_rejected(batch, required)
+        sound.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        refused.write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
+        batch.unpersist()
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
