@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -154,10 +155,7 @@ def test_near_duplicates_of_odd_rows(spark):
     for r in found:
         by[r.doc_id].add(r.component_id)
     assert by[9] == by[4] == by[7] == {4} and by[1] == by[2] == by[3] == {1} and by[5] == {5} and by[None] == {4, None}
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "4", "5", "8", "None", "None"]
-    assert simhash.near_duplicates(docs.limit(0)).collect() == [] and simhash.keep_one(docs.limit(0)).collect() == []
+    assert simhash.near_duplicates(docs.limit(0)).collect() == []
 
 
 # Benchmark hits
@@ -209,7 +207,7 @@ def test_hits_equal_brute_force(spark, block_bytes):
         for item_id, item in items:
             p, t = decontamination.plain(item), decontamination.plain(text or "")
             distance, end = sellers(p, t[-400:]) if len(t) > 5000 else sellers(p, t)
-            if distance <= int(len(p) * 0.1):
+            if distance <= decontamination.budget(p, 0.1):
                 want.add((doc_id, item_id, distance))
     assert {(r.doc_id, r.item_id, r.distance) for r in found} == want and len(want) > 20
     left = decontamination.drop_contaminated(clashing(frame(spark, docs)), benchmark, rate=0.1, block_bytes=block_bytes).collect()
@@ -219,6 +217,24 @@ def test_hits_equal_brute_force(spark, block_bytes):
     assert decontamination.benchmark_hits(frame(spark, docs).limit(0), benchmark).collect() == []
 
 
+def test_one_replaced_word_and_short_items():
+    rnd = random.Random(3)
+    words = ["city", "river", "question", "answer", "the", "of", "which", "green", "mountain", "seven", "in", "ocean", "small"]
+    found = tried = 0
+    for i in range(200):
+        item = [rnd.choice(words) for _ in range(rnd.randint(12, 20))]
+        changed = list(item)
+        changed[rnd.randrange(len(item))] = rnd.choice(["town", "stream", "is", "blue", "hill"])
+        matcher = decontamination.Matcher([(i, " ".join(item))], 0.05, 25)
+        found += bool(matcher.find(decontamination.plain("so it was: " + " ".join(changed) + ". And on")))
+        tried += 1
+    assert found >= 0.9 * tried
+    short = decontamination.Matcher([(1, "The capital of France"), (2, "art"), (3, "art"), (4, "")], 0.05, 25)
+    assert short.find(decontamination.plain("What is the capital of France?")) == [(1, 0, 29, 21)]
+    assert short.find(decontamination.plain("the capital of Francesco started")) == []
+    assert short.find("art") == [(2, 0, 3, 3), (3, 0, 3, 3)]
+
+
 # Repeated passages
 
 
@@ -323,6 +339,25 @@ def test_lines_shared_with_the_neighbour_go(spark):
     assert html_text.extract_text(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("page,want", [
+    ('<article><p title="5" tall">Hello world one.</p></article>', "Hello world one."),
+    ("<article><p>One</p><a href=x onclick='a' b'>link</a><p>Two</p></article>", "One link Two"),
+    ('<article><p class="share-of-voice">A</p><p class="related work">B</p><div class="ad">no</div><ul id="comment-list"><li>c</ul></article>', "A B"),
+    ("<article><p>a < b and <3 c<!-- x > y --> d</p></article>", "a < b and <3 c d"),
+    ('<article><p data-x = "a > b" hidden-not>in</p><p style="display:none">out</p></article><!-- open', "in"),
+    ("<article><p class=>e</p><p =x>f</p></article>", "e f"),
+])
+def test_malformed_tags_and_names_inside_an_article(page, want):
+    assert " ".join(text for text, place in html_text.blocks(page) if place == "main") == want
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<div>", "<nav>", "<form class=menu>", '<p a="', "<!-- ", "<b", "<article class=nav>", "<a = ", "<script>", "<", "</i>", "<i>"])
+def test_a_hostile_page_of_a_megabyte_is_read_in_seconds(piece):
+    began = time.process_time()
+    html_text.blocks(piece * (10**6 // len(piece)) + '"text' + "</nav>" * 1000)
+    assert time.process_time() - began < 10
+
+
 def test_copies_of_a_page_without_article_keep_their_text(spark):
     page = "<div>Home</div><div>Topics</div><h1>{0}</h1><p>The long story of {0} and what came of it<p>Its second part, on {0}{1}<div>Imprint</div>"
     rows = [(i, f"http://h/{name}" + f"?ref={i}" * (i % 2), page.format(name, "")) for name, ids in (("a", (1, 1, 2, 3)), ("b", (4,)), ("c", (5,))) for i in ids]
@@ -401,13 +436,17 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     assert sum(labels.get(i) == 1 for i in ids) == sum(v == 1 for v in labels.values())
     fresh = {r.doc_id: r for r in corpus_pipeline.passages(spark, good, SF).collect()}
     assert set(fresh) == ids and all(r.n_chars == len(r.text) for r in fresh.values())
-    one = {r.doc_id for r in corpus_pipeline.copies(spark, spark.createDataFrame(list(fresh.values()), good.schema), SF).collect()}
-    prints = [simhash.fingerprint(fresh[i].text) for i in sorted(ids)]
-    near = [(a, b) for a in range(len(prints)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 4]
-    assert one == {sorted(ids)[g] for g in groups(len(prints), near)}
+    order = sorted(ids)
+    sets = [shingle_set(fresh[i].text) for i in order]
+    near = [(a, b) for a in range(len(sets)) for b in range(a) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    one = {order[g] for g in groups(len(sets), near)}
     clean = {i for i in one if not any(decontamination.plain(t) in decontamination.plain(fresh[i].text) for t in items)}
     rows = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
-    assert set(rows) <= clean and len(clean - set(rows)) <= 0.01 * len(clean) + 1
+    # Decontamination also drops items with a few edits; what it drops holds one within its budget.
+    assert set(rows) <= clean
+    for i in clean - set(rows):
+        text = decontamination.plain(fresh[i].text)
+        assert any(sellers(decontamination.plain(t), text)[0] <= decontamination.budget(decontamination.plain(t), 0.05) for t in items)
     for i, r in rows.items():
         assert r.decoded_sha256 == hashlib.sha256(fresh[i].text.encode()).hexdigest() and len(r.ids) == r.n_tokens
 

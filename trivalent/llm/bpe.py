@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from .common import by_bytes, id_and_text, map_texts
 from .token_counts import tokenizer
 
-#: Fragments whose ids a worker remembers at once.
-REMEMBERED_FRAGMENTS = 400_000
+#: Fragments whose ids a worker remembers at once, and bytes of the longest of them: some 200 MB.
+REMEMBERED_FRAGMENTS, REMEMBERED_BYTES = 400_000, 64
 BATCH_CHARS = 1 << 18
 
 SPACES = b" \t\n\x0b\x0c\r"
@@ -105,6 +105,9 @@ class Codec:
         for parts in cut:
             found = [known[p] for p in parts]
             out.append((",".join(f[0] for f in found), sum(f[1] for f in found), "".join(f[2] for f in found)))
+        for w in wanted:
+            if len(w) > REMEMBERED_BYTES:
+                del known[w]
         return out
 
 

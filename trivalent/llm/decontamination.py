@@ -49,17 +49,28 @@ def best_place(pattern: dict[str, int], length: int, text: str) -> tuple[int, in
     return best, end
 
 
+def budget(item: str, rate: float) -> int:
+    """Edits that an item (as :func:`plain` gives it) may have: ``rate`` a character, or its longest word if that is an eighth of it at most."""
+    return max(int(len(item) * rate), min(max(map(len, item.split()), default=0), len(item) // 8))
+
+
 class Matcher:
-    """Finds items with at most ``rate`` edits a character: an item of that many errors holds one of (errors + 1) pieces unchanged."""
+    """Finds items within their :func:`budget`: an item of that many errors holds one of (errors + 1) pieces unchanged.
+
+    Items under ``least_chars`` are found as whole words only, without an edit.
+    """
 
     def __init__(self, items: list[tuple[int, str]], rate: float, least_chars: int):
-        self.items, pieces = [], defaultdict(list)
+        self.items, pieces, exact = [], defaultdict(list), defaultdict(list)
         for item_id, text in items:
             item = plain(text)
             n = len(item)
-            if n < max(1, least_chars):
+            if not n:
+                continue
+            if n < least_chars:
+                exact[f" {item} "].append((item_id, n))
                 continue
-            errors = int(n * rate)
+            errors = budget(item, rate)
             masks: dict[str, int] = {}
             for i, c in enumerate(item):
                 masks[c] = masks.get(c, 0) | 1 << i
@@ -71,16 +82,22 @@ class Matcher:
         for piece, where in pieces.items():
             self.automaton.add_word(piece, (len(piece), where))
         self.automaton.make_automaton()
+        self.short = ahocorasick.Automaton() if exact else None
+        for item, whose in exact.items():
+            self.short.add_word(item, whose)
+        if exact:
+            self.short.make_automaton()
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item_id, distance, end, item length) of the items in ``text`` (as :func:`plain` gives it), each at its best place."""
-        if not self.items:
-            return []
         starts: dict[int, set[int]] = defaultdict(set)
-        for end, (size, where) in self.automaton.iter(text):
+        for end, (size, where) in self.automaton.iter(text) if self.items else ():
             for item, offset in where:
                 starts[item].add(end + 1 - size - offset)
         found: dict[int, tuple[int, int, int]] = {}
+        for end, whose in self.short.iter(f" {text} ") if self.short else ():
+            for item_id, n in whose:
+                found.setdefault(item_id, (0, end - 1, n))
         for item, places in starts.items():
             item_id, n, errors, masks = self.items[item]
             windows: list[list[int]] = []
@@ -113,9 +130,9 @@ def benchmark_hits(
     """doc_id, item_id, distance, item_chars and end (all long), one row for each row of ``df`` and item found in it.
 
     Texts are compared as :func:`plain` gives them; an item is found where a substring
-    is at most ``rate`` edits a character from it, and end is where its best place
-    ends in the plain text. Items of fewer than ``least_chars`` plain characters are
-    no evidence and are passed over. Every task gets the items in blocks of about
+    is within its :func:`budget` of edits, ``rate`` a character or one word, and end is
+    where its best place ends in the plain text. Items of fewer than ``least_chars`` plain
+    characters must stand there as whole words without an edit. Every task gets the items in blocks of about
     ``block_bytes``: a larger benchmark takes more passes over the documents, not
     more memory. Nulls are empty texts, which hold and give nothing; an item without
     id is passed over; repeated rows are searched each; of an id with several texts

@@ -85,33 +85,49 @@ KINDS = (
 )
 
 
+#: Spans of one text that are joined at once.
+PART = 256
+
+
 def spans_of(kind: Kind, text: Column, hits: Column) -> Column:
-    """array<struct<start, end, hit>> of the hits, in code points, end exclusive.
+    """array<struct<start, end, hit, before>> of the hits, in code points, end exclusive; before are the CONTEXT characters before one.
 
     What stands between the hits is the text split by the same pattern, so that each
     start is a sum of lengths.
     """
-    gaps = F.split(text, kind.pattern, -1)
-    both = F.transform(hits, lambda hit, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), hit.alias("hit")))
-    span = "struct<start:int,end:int,hit:string>"
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("out"))
+    none = F.array().cast("array<struct<start:int,end:int,hit:string,before:string>>")
+    # What a lambda reads from outside is computed again for each element, so arrays come in by zipping and naming.
+    earlier = F.concat(F.array(F.lit("")), F.slice(hits, 1, F.greatest(F.size(hits) - 1, F.lit(0))))
+    pairs = F.zip_with(F.split(text, kind.pattern, -1), earlier, lambda gap, last: F.struct(gap.alias("gap"), last.alias("last")))
+    both = F.zip_with(pairs, hits, lambda x, hit: F.struct(
+        F.length(x["gap"]).alias("gap"), hit.alias("hit"), F.right(F.concat(F.coalesce(x["last"], F.lit("")), x["gap"]), F.lit(CONTEXT)).alias("before")))
 
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + x["gap"]
         end = start + F.length(x["hit"])
-        made = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"))
+        made = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"), x["before"].alias("before"))
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(made)).alias("out"))
 
-    return F.aggregate(both, begin, step, lambda state: state["out"])
+    def run(state: Column, part: Column) -> Column:
+        made = F.aggregate(part, F.struct(state["at"].alias("at"), none.alias("out")), step)
+        return F.struct(made["at"].alias("at"), F.concat(state["out"], made["out"]).alias("out"))
+
+    def joined(whole: Column) -> Column:
+        # An array grows by copying it, so spans are joined part by part. The last gap has no hit.
+        n = F.size(whole) - 1
+        parts = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / PART)), lambda i: F.slice(
+            whole, i * PART + 1, F.least(F.lit(PART), n - i * PART).cast("int")))
+        begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        return F.when(n <= 0, none).otherwise(F.aggregate(parts, begin, run, lambda state: state["out"]))
+
+    return F.get(F.transform(F.array(both), joined), 0)
 
 
-def scored(kind: Kind, text: Column, found: Column) -> Column:
+def scored(kind: Kind, found: Column) -> Column:
     """The spans that pass the kind's check, each with a score: the prior, moved by words that stand close before."""
 
     def one(span: Column) -> Column:
-        low = F.greatest(span["start"] - CONTEXT, F.lit(0))
-        before = F.lower(F.substring(text, low + 1, span["start"] - low))
-        near = before.rlike(rf"(?:^|[^a-z])(?:{kind.words})")
+        near = F.lower(span["before"]).rlike(rf"(?:^|[^a-z])(?:{kind.words})")
         score = F.when(near, kind.prior + 0.6 * (1 - kind.prior)).otherwise(F.lit(kind.prior))
         return F.struct(F.lit(kind.name).alias("kind"), span["start"].alias("start"), span["end"].alias("end"), score.alias("score"))
 
@@ -137,7 +153,7 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind
     rows = rows.select("doc_id", "text", *[v.alias(n) for n, v in hits.items()])
     empty = "array<struct<kind:string,start:int,end:int,score:double>>"
     made = [
-        F.when(F.size(f"hits_{k.name}") > 0, scored(k, F.col("text"), spans_of(k, F.col("text"), F.col(f"hits_{k.name}"))))
+        F.when(F.size(f"hits_{k.name}") > 0, scored(k, spans_of(k, F.col("text"), F.col(f"hits_{k.name}"))))
         .otherwise(F.array().cast(empty)).alias(f"spans_{k.name}")
         for k in kinds
     ]

@@ -230,18 +230,5 @@ def near_duplicates(
     return prints.join(of_class, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``df``, all columns, less the near duplicates: of each component the row of smallest id stays.
-
-    Of rows with the same id one stays. Rows without an id are all kept.
-    """
-    found = near_duplicates(df, id_col, text_col, **how)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct().hint("merge")  # grows with the corpus: never broadcast
-    return (
-        df.where(F.col(id_col).isNotNull()).join(first, id_col, "left_semi").dropDuplicates([id_col])
-        .unionByName(df.where(F.col(id_col).isNull())).select(*df.columns)
-    )
-
-
 def fingerprint_hex(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))

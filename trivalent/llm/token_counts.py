@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 
 from .common import by_bytes, id_and_text, map_texts
 
-#: Words whose count a worker remembers at once.
-REMEMBERED_WORDS = 400_000
+#: Words whose count a worker remembers at once, and bytes of the longest of them: some 100 MB.
+REMEMBERED_WORDS, REMEMBERED_BYTES = 400_000, 64
 BATCH_CHARS = 1 << 18
 
 _LOADED: dict[str, object] = {}
@@ -58,8 +58,12 @@ class WordCounter:
         unknown: set[bytes] = set()
         for words in cut:
             unknown.update(words)
-        count = self.learn(unknown).__getitem__
-        return [sum(map(count, words)) for words in cut]
+        known = self.learn(unknown)
+        counts = [sum(map(known.__getitem__, words)) for words in cut]
+        for w in unknown:
+            if len(w) > REMEMBERED_BYTES:
+                del known[w]
+        return counts
 
 
 def count_tokens(
