@@ -156,6 +156,38 @@ def test_licence_places_equal_brute_force(spark):
     assert [found[len(texts) - i] for i in (3, 2, 1)] == ["cc-by,cc-by-nc-4.0", "all-rights-reserved", "gpl,gpl-3.0"]
 
 
+def test_a_notice_with_one_word_more_or_another_is_found():
+    index = licenses.build_index({}, 1000)
+    rng = random.Random(1)
+    found = tried = 0
+    for label, notice, _ in licenses.TEMPLATES:
+        for _ in range(20 if len(notice.split()) >= 12 else 0):
+            words = notice.split()
+            words.insert(rng.randrange(len(words) + 1), "novel")
+            text = "some prose before it " * 9 + " ".join(words) + " and after" * 9
+            found += label in {name for name, _, _ in licenses.match(licenses.words_of(text), index)}
+            tried += 1
+    assert found >= 0.9 * tried > 300
+    assert licenses.match(licenses.words_of("so all the rights of the licensed cat are kept under the mat"), index) == []
+    assert licenses.match([], index) == []
+
+
+def test_weight_in_order_equals_every_choice():
+    rng = random.Random(2)
+    for _ in range(200):
+        notice = [rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(1, 6))]
+        words = [rng.choice([b"a", b"b", b"c", b"x"]) for _ in range(rng.randint(0, 7))]
+        weights = [rng.random() for _ in notice]
+
+        def best(i, j):
+            if i == len(notice) or j == len(words):
+                return 0.0
+            skip = max(best(i + 1, j), best(i, j + 1))
+            return max(skip, weights[i] + best(i + 1, j + 1)) if notice[i] == words[j] else skip
+
+        assert licenses.in_order(words, notice, weights) == pytest.approx(best(0, 0))
+
+
 @pytest.mark.parametrize("name", ["tokens", "coding", "digests", "pii", "rules", "licences"])
 def test_empty_tables_give_empty_results(spark, name):
     empty = spark.createDataFrame([], "doc_id long, text string, key string")

@@ -37,10 +37,25 @@ TEMPLATES = (
     ("cc-by-nd-4.0", "licensed under cc by nd 4 0", ("cc by nd 4 0",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software", "public domain")),
     ("all-rights-reserved", "all rights reserved", ("all rights reserved",)),
+    ("agpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("affero general public license",)),
+    ("gpl-or-later", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", ("gnu general public license", "without any warranty")),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind", ("apache org licenses license 2 0",)),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", ("copies or substantial portions of the software",)),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("endorse or promote products derived from this software",)),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ("retain the above copyright notice", "following disclaimer")),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", ("alter it and redistribute it freely",)),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ("person or organization obtaining a copy",)),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ("eclipse public license",)),
+    ("mpl-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0", ("mozilla org mpl 2 0",)),
+    ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright and related",)),
+    ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0 international",)),
+    ("cc-by-sa-4.0", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ("attribution sharealike 4 0",)),
 )
 #: Rarest words of a template that are looked up.
 RARE_WORDS = 4
 ACCEPT = 0.8
+#: Words by which rare words may stand nearer or farther from each other than in the template.
+BAND = 16
 
 _KEPT = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
 
@@ -109,30 +124,64 @@ def build_index(frequency: dict[bytes, int], rows: int, templates=TEMPLATES) ->
     return index
 
 
-def consecutive(words: list[bytes], phrase: list[bytes], low: int, high: int) -> bool:
+def stands(words: list[bytes], phrase: list[bytes], low: int, high: int) -> bool:
+    """Whether the phrase stands in words low to high - 1, with one other word inside at most."""
     n = len(phrase)
-    return any(words[p : p + n] == phrase for p in range(max(low, 0), min(high, len(words)) - n + 1))
+    for p in range(max(low, 0), min(high, len(words)) - n + 1):
+        if words[p] == phrase[0]:
+            same = 1
+            while same < n and words[p + same] == phrase[same]:
+                same += 1
+            if same == n or words[p + same + 1 : p + n + 1] == phrase[same:]:
+                return True
+    return False
+
+
+def in_order(words: list[bytes], notice: list[bytes], weights: list[float]) -> float:
+    """The greatest weight of words of the notice that stand in ``words`` in the notice's order, whatever stands between."""
+    places: dict[bytes, list[int]] = defaultdict(list)
+    for i, w in enumerate(notice):
+        places[w].append(i)
+    best = [0.0] * (len(notice) + 1)  # of the notice's first i words
+    for word in words:
+        for i in reversed(places.get(word, ())):
+            reached = best[i] + weights[i]
+            j = i + 1
+            while j <= len(notice) and best[j] < reached:
+                best[j] = reached
+                j += 1
+    return best[-1]
 
 
 def match(words: list[bytes], index: Index) -> list[tuple[str, int, float]]:
-    """(label, start, score) of the notices: two rare words at their distance, key phrases, and enough of the words' weight."""
-    starts: dict[tuple[int, int], int] = Counter()
+    """(label, start, score) of the notices: two rare words about at their distance, key phrases, and enough of the words' weight in order.
+
+    Every rare word votes for the place where the notice would start. Places within
+    BAND words count together, so words put in, left out or changed do not hide a notice.
+    """
+    votes: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
     for at, word in enumerate(words):
         for template, offset in index.postings.get(word, ()):
-            starts[template, at - offset] += 1
+            votes[template].append((at - offset, word))
     out = []
-    for (template, start), votes in starts.items():
-        notice = index.words[template]
-        if votes < index.needed[template] or start + len(notice) < 0:
-            continue
-        low = max(start, 0)
-        if not all(consecutive(words, k, low, start + len(notice)) for k in index.keys[template]):
-            continue
-        weights = index.weights[template]
-        same = sum(w for i, w in enumerate(weights) if 0 <= start + i < len(words) and words[start + i] == notice[i])
-        score = same / sum(weights)
-        if score >= ACCEPT:
-            out.append((index.labels[template], low, score))
+    for template, cast in votes.items():
+        notice, weights = index.words[template], index.weights[template]
+        cast.sort()
+        at = 0
+        while at < len(cast):
+            start = cast[at][0]
+            stop = at
+            while stop < len(cast) and cast[stop][0] <= start + BAND:
+                stop += 1
+            low, high = max(start - BAND // 2, 0), start + len(notice) + 2 * BAND
+            if (len({w for _, w in cast[at:stop]}) >= index.needed[template]
+                    and all(stands(words, k, low, high) for k in index.keys[template])):
+                score = in_order(words[low:high], notice, weights) / sum(weights)
+                if score >= ACCEPT:
+                    out.append((index.labels[template], max(start, 0), score))
+            # Windows overlap by half, so a notice is whole in one of them.
+            while at < len(cast) and cast[at][0] <= start + BAND // 2:
+                at += 1
     return out
 
 
@@ -156,7 +205,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
 
     The base counts every place of :data:`BASE_PHRASES`. The method adds the labels of
     the templates it finds; its score is the best share of a template's
-    inverse-frequency weight that stands in place. Frequencies are those of all rows.
+    inverse-frequency weight that stands in its order. Frequencies are those of all rows.
     A document with base phrases only scores 0.5, one with nothing 0. A null text is
     the empty text; repeated rows are scanned each; an empty table gives an empty one.
     """
