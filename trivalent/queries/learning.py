@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,9 +24,12 @@ from .shared import AUC_SQL, chi_square_p_sql, curve_sql, rounded
 
 COLUMNS = ["alpha", "beta", "gamma", "pos"]
 FAST = models.logistic(1.0)
-# Trees and rounds of the registered queries; the functions' own defaults are 600 trees and 300 rounds.
+# Trees and rounds of the leaderboards; the functions' own defaults are 600 trees and 300 rounds.
 FOREST = models.forest(trees=100)
 BOOSTING = models.boosting(rounds=30)
+#: The audit fits 300 trees on about so many rows and scores every row.
+FIT_ROWS = 5_000
+AUDIT_FOREST = models.with_rows(models.forest(trees=300), FIT_ROWS)
 
 
 def matrix(spark, sf):
@@ -294,17 +299,21 @@ def label_encoded_columns(spark, sf):
     return experiments.encode_everything(df, "outcome")[0].select("id", "priority")
 
 
+def audit_table(spark, sf):
+    """All text columns label-encoded, the label, and the real position; feature names and the identifiers among them."""
+    identifiers, outcome = ["HGVS cDNA", "HGVS Protein", "Mature Protein"], "History of Inhibitor"
+    df = CATALOGUE.frame(spark, sf)
+    place = notation.with_cdna(df.select("id", "`HGVS cDNA`"), "`HGVS cDNA`").select("id", F.col("cdna.cdna_pos").alias("pos"))
+    coded, kept = experiments.encode_everything(df, outcome)
+    tidy = lambda c: re.sub(r"\W+", "_", c)
+    small = coded.withColumn("y", text.catalogue_label(f"`{outcome}`")).drop(outcome)
+    small = small.withColumnsRenamed({c: tidy(c) for c in kept}).join(place, "id")
+    return materialise(small, "audit"), [tidy(c) for c in kept], [tidy(c) for c in identifiers]
+
+
 @query
 def leakage_audit(spark, sf):
-    identifiers, biology = ["HGVS cDNA", "HGVS Protein"], ["Exon", "Domain", "Subtype", "Mechanism"]
-    outcome = "History of Inhibitor"
-    df = CATALOGUE.frame(spark, sf).select("id", f"`{outcome}`", *[f"`{c}`" for c in identifiers + biology])
-    coded, kept = experiments.encode_everything(df, outcome)
-    small = coded.withColumns({"y": text.catalogue_label(f"`{outcome}`"), "pos": F.col("id")}).drop(outcome)
-    small = small.withColumnsRenamed({c: c.replace(" ", "_") for c in kept})
-    names = [c.replace(" ", "_") for c in kept]
-    audit = experiments.leakage_audit(small, names, [c.replace(" ", "_") for c in identifiers], FOREST)
-    return rounded(audit)
+    return rounded(experiments.leakage_audit(*audit_table(spark, sf), AUDIT_FOREST))
 
 
 @query(sql=f"""
@@ -364,15 +373,8 @@ def final_stage_report(spark, sf):
 
 @query
 def audit_interpretation(spark, sf):
-    """What identifiers explain of the lift, from an audit whose blocks follow real variant positions."""
-    identifiers, biology = ["HGVS cDNA", "HGVS Protein"], ["Exon", "Domain", "Subtype", "Mechanism"]
-    outcome = "History of Inhibitor"
-    df = CATALOGUE.frame(spark, sf).select("id", f"`{outcome}`", *[f"`{c}`" for c in identifiers + biology])
-    place = notation.with_cdna(df.select("id", "`HGVS cDNA`"), "`HGVS cDNA`").select("id", F.col("cdna.cdna_pos").alias("pos"))
-    coded, kept = experiments.encode_everything(df, outcome)
-    names = [c.replace(" ", "_") for c in kept]
-    small = coded.withColumn("y", text.catalogue_label(f"`{outcome}`")).drop(outcome).withColumnsRenamed(dict(zip(kept, names)))
-    audit = experiments.leakage_audit(small.join(place, "id"), names, [c.replace(" ", "_") for c in identifiers], FAST)
+    """What identifiers explain of the lift, in the audit of a logistic model."""
+    audit = experiments.leakage_audit(*audit_table(spark, sf), FAST)
     return rounded(experiments.interpret_audit(audit), 4)
 
 
