@@ -70,3 +70,22 @@ def test_rewriting_one_model_leaves_the_others(spark, tmp_path):
     assert got == {("a", 0.1), ("b", 0.9)}
     assert tables.read_scores(spark, path, "b").count() == 3
     assert tables.read_scores(spark, path, "c").count() == 0
+
+
+def test_temporary_tables_go_and_lasting_ones_stay(spark):
+    import os
+
+    from trivalent.session import discard, materialise, temporary
+
+    with temporary():
+        inner = materialise(spark.range(5), "inner")
+        with temporary():
+            innermost = materialise(spark.range(3), "innermost")
+        kept = materialise(inner.join(materialise(spark.range(4), "more"), "id"), "kept", lasting=True)
+    local = lambda df: df.stored_at.removeprefix("file://")
+    assert not os.path.exists(local(inner)) and not os.path.exists(local(innermost))
+    assert kept.count() == 4
+    outside = materialise(spark.range(2), "outside")
+    assert outside.count() == 2
+    discard(outside, outside)  # twice does no harm
+    assert not os.path.exists(local(outside))

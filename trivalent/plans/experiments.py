@@ -195,7 +195,7 @@ def transfer(source: DataFrame, target: DataFrame, features: Sequence[str], keys
     again = each.withColumn("y", F.when(
         F.col("labels") == "unknown_negative", F.coalesce("y", F.lit(0))).otherwise(F.col("y")))
     again = again.select("rows", "labels", "y", "p")
-    interval = stats.bootstrap_interval(again, n_boot=n_boot, by=["rows", "labels"]).select(
+    interval = stats.bootstrap_interval(again, n_boot=n_boot, by=["rows", "labels"], digits=3).select(
         "rows", "labels", F.col("lo").alias("auc_lo"), F.col("hi").alias("auc_hi"))
     return metrics.summary(again, by=["rows", "labels"], threshold=0.5).join(interval, ["rows", "labels"], "left").select(
         "rows", "labels", "n", "prevalence", "auc_roc", "auc_lo", "auc_hi", "auc_pr", "brier", "ece")
