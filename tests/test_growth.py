@@ -4,7 +4,8 @@ import time
 
 from pyspark.sql import functions as F
 
-from trivalent.operators import spans
+from trivalent.functions import intervals
+from trivalent.operators import neighbours, spans
 
 
 def test_nearest_span_of_many_positions_far_from_the_spans(spark):
@@ -15,3 +16,56 @@ def test_nearest_span_of_many_positions_far_from_the_spans(spark):
     got = spans.nearest_span(rows, "pos", few).agg(F.count("distance"), F.min("distance"), F.max("distance")).first()
     assert tuple(got) == (150_000, 100.0, 150_099.0)
     assert time.monotonic() - begun < 60  # quadratic: minutes
+
+
+def test_range_join_of_many_short_spans_in_one_bin(spark):
+    """Every position and span lies in one bin of the given width: 6 billion candidates there, but one pair a row."""
+    n = 80_000
+    rows = spark.range(n).select("id", (F.col("id") * 20.0 / n).alias("pos"))
+    many = spark.range(n).select(F.col("id").alias("span"), (F.col("id") * 20.0 / n - 1e-6).alias("lo"), (F.col("id") * 20.0 / n + 1e-6).alias("hi"))
+    begun = time.monotonic()
+    got = intervals.range_join(rows, "pos", many, 25.0).agg(F.count("span"), F.count_if(F.col("id") == F.col("span"))).first()
+    assert tuple(got) == (n, n)
+    assert time.monotonic() - begun < 60
+
+
+def test_range_join_of_spans_of_all_sizes(spark):
+    """Points, endless and reversed spans, NULL ends and names on both sides."""
+    rows = spark.createDataFrame([(1, 0.0), (1, 0.0), (2, 7.5), (3, None), (4, -1e9), (None, 100.0)], "id int, pos double")
+    ends = [(1, 0.0, 0.0), (2, float("-inf"), 5.0), (3, 5.0, float("inf")), (4, 9.0, 1.0), (5, None, 3.0), (6, 7.5, 7.6), (7, -1e12, 1e12), (1, 0.0, 0.0)]
+    held = spark.createDataFrame(ends, "name int, lo double, hi double")
+    for how in ("left", "inner"):
+        got = sorted((tuple(r) for r in intervals.range_join(rows, "pos", held, 2.0, how=how).select("id", "pos", "name").collect()), key=str)
+        want = []
+        for i, pos in [tuple(r) for r in rows.collect()]:
+            hits = [k for k, lo, hi in ends if None not in (pos, lo, hi) and lo <= pos <= hi]
+            want += [(i, pos, k) for k in hits] or ([(i, pos, None)] if how == "left" else [])
+        assert got == sorted(want, key=str)
+
+
+def test_nearest_rows_with_ties_equal_every_distance(spark):
+    """Equal and nearly equal vectors far from zero, where a product of vectors cannot tell them apart."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(7)
+    base = np.repeat(rng.normal(size=(30, 8)), 20, axis=0) + 1e4
+    base[1::3] += rng.normal(size=base[1::3].shape) * 1e-7
+    known = pd.DataFrame({"ref_id": np.arange(len(base)), "y": np.arange(len(base)) % 2, "ref_vec": list(base)})
+    some = pd.DataFrame({"query_id": np.arange(60), "query_vec": list(base[::10] + rng.normal(size=(60, 8)) * 1e-8)})
+    got = neighbours.k_best(some, known, 25)
+    for q, v in zip(some["query_id"], some["query_vec"]):
+        away = np.sqrt(((v[None, :] - base) ** 2).sum(axis=1))
+        at = np.argsort(away, kind="stable")[:25]
+        mine = got[got["query_id"] == q]
+        assert mine["ref_id"].tolist() == at.tolist() and mine["distance"].tolist() == away[at].tolist()
+
+
+def test_lists_of_rows_do_not_repeat_vectors_in_python(spark):
+    """A row's lists leave Python as one array, so a worker's memory does not grow with the number of lists."""
+    import numpy as np
+
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "id int, vec array<double>")
+    found = neighbours.with_lists(rows, "vec", np.array([[float(c), 1.0] for c in range(40)]), 30)
+    assert found.count() == 50 and all(len(set(r["lists"])) == 30 and r["lists"][0] == min(r["id"], 39) for r in found.collect())
+    assert neighbours.listed(rows, "vec", np.array([[0.0, 0.0], [9.0, 9.0]]), 5).count() == 100
