@@ -39,18 +39,35 @@ def k_best(some: pd.DataFrame, known: pd.DataFrame, k: int) -> pd.DataFrame:
     known = known.sort_values("ref_id")
     ids, labels = known["ref_id"].to_numpy(), known["y"].to_numpy()
     against, asked_for = np.stack(known["ref_vec"].to_numpy()), np.stack(some["query_vec"].to_numpy())
-    step = max(1, CELLS // against.size)
+    # Squared distances by one product say which rows may be among the k nearest; those are measured exactly.
+    norms, asked_norms = (against * against).sum(axis=1), (asked_for * asked_for).sum(axis=1)
+    step = max(1, CELLS // len(against))
     parts = []
     for a in range(0, len(some), step):
-        gaps = asked_for[a : a + step, None, :] - against[None, :, :]
-        away = np.sqrt((gaps * gaps).sum(axis=2))
-        at = np.argsort(away, axis=1, kind="stable")[:, :k]
+        near = nearest_places(asked_for[a : a + step], against, asked_norms[a : a + step], norms, k)
+        row, column = np.nonzero(near)
+        away = np.concatenate([
+            np.sqrt(((asked_for[a + row[b : b + CELLS // 64]] - against[column[b : b + CELLS // 64]]) ** 2).sum(axis=1))
+            for b in range(0, max(1, len(row)), CELLS // 64)])
+        order = np.lexsort((column, away, row))  # columns rise with ref_id
+        place = np.arange(len(row)) - np.repeat(np.cumsum(near.sum(axis=1)) - near.sum(axis=1), near.sum(axis=1))
+        best = order[place < k]
         parts.append(pd.DataFrame({
-            "query_id": np.repeat(some["query_id"].to_numpy()[a : a + step], at.shape[1]), "ref_id": ids[at].reshape(-1),
-            "y": labels[at].reshape(-1), "distance": np.take_along_axis(away, at, axis=1).reshape(-1)}))
+            "query_id": some["query_id"].to_numpy()[a + row[best]], "ref_id": ids[column[best]],
+            "y": labels[column[best]], "distance": away[best]}))
     return pd.concat(parts)
 
 
+def nearest_places(asked: np.ndarray, against: np.ndarray, asked_norms: np.ndarray, norms: np.ndarray, k: int) -> np.ndarray:
+    """Which rows of ``against`` may be among the ``k`` nearest of each row of ``asked``: all that are, and any not told apart by rounding."""
+    about = asked_norms[:, None] + norms[None, :] - 2 * (asked @ against.T)
+    if k >= len(against) or not np.isfinite(about).all():
+        return np.ones(about.shape, bool)
+    # Products of vectors of n parts are off by n roundings of the norms at most.
+    off = 4 * (asked.shape[1] + 4) * np.finfo(float).eps * (asked_norms + norms.max())
+    return about <= (np.partition(about, k - 1, axis=1)[:, k - 1] + 2 * off)[:, None]
+
+
 def nearest(references: DataFrame, queries: DataFrame, k: int = 25, query_block: int = QUERY_BLOCK,
             reference_block: int = REFERENCE_BLOCK) -> DataFrame:
     """(query_id, ref_id, y, distance, rank) of the k nearest; frames hold id, vec and the references y.
@@ -155,7 +172,8 @@ class NeighbourIndex:
         """
         asked = queries.where("vec IS NOT NULL").select(
             F.col("id").alias("query_id"), F.col("vec").cast("array<double>").alias("query_vec"))
-        probed = materialise(listed(asked, "query_vec", self.centroids, self.probes), "probed")
+        probed = materialise(with_lists(asked, "query_vec", self.centroids, self.probes), "probed")
+        probed = probed.select("query_id", "query_vec", F.explode("lists").alias("list"))
         blocks = probed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("blocks"))
         both = F.broadcast(self.parts.join(F.broadcast(blocks), "list"))
         up_to = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
@@ -169,17 +187,21 @@ class NeighbourIndex:
         return relations.top_k_each(found, "query_id", -F.col("distance"), k, "ref_id")
 
 
-def listed(df: DataFrame, vector: str, centroids: np.ndarray, count: int) -> DataFrame:
-    """``df`` with ``list``: a row for each of the ``count`` nearest centroids. The centroids are a bounded table."""
+def with_lists(df: DataFrame, vector: str, centroids: np.ndarray, count: int) -> DataFrame:
+    """``df`` with ``lists``: the ``count`` nearest centroids of each row. The centroids are a bounded table."""
     count = min(count, len(centroids))
 
     def run(batches):
         for pdf in batches:
             near = by_distance(np.stack(pdf[vector].to_numpy()), centroids, count) if len(pdf) else np.zeros((0, count), int)
-            wide = pdf.iloc[np.repeat(np.arange(len(pdf)), count)]
-            yield wide.assign(list=near.reshape(-1).astype("int32"))
+            yield pdf.assign(lists=list(near.astype("int32")))
 
-    return df.mapInPandas(run, f"{', '.join(f'{n} {t}' for n, t in df.dtypes)}, list int")
+    return df.mapInPandas(run, f"{', '.join(f'{n} {t}' for n, t in df.dtypes)}, lists array<int>")
+
+
+def listed(df: DataFrame, vector: str, centroids: np.ndarray, count: int) -> DataFrame:
+    """``df`` with ``list``: a row for each of the ``count`` nearest centroids, repeated outside of Python."""
+    return with_lists(df, vector, centroids, count).select(*df.columns, F.explode("lists").alias("list"))
 
 
 def recall_of(found: DataFrame, exact: DataFrame) -> DataFrame:
