@@ -69,3 +69,16 @@ def test_lists_of_rows_do_not_repeat_vectors_in_python(spark):
     found = neighbours.with_lists(rows, "vec", np.array([[float(c), 1.0] for c in range(40)]), 30)
     assert found.count() == 50 and all(len(set(r["lists"])) == 30 and r["lists"][0] == min(r["id"], 39) for r in found.collect())
     assert neighbours.listed(rows, "vec", np.array([[0.0, 0.0], [9.0, 9.0]]), 5).count() == 100
+
+
+def test_nested_search_computes_its_folds_once(spark, monkeypatch):
+    """Candidates and folds read a stored table, not the windows that made the folds."""
+    from trivalent.plans import models
+
+    stored = []
+    keep = models.materialise
+    monkeypatch.setattr(models, "materialise", lambda df, *args, **more: stored.append(df.columns) or keep(df, *args, **more))
+    rows = spark.createDataFrame(
+        [(i % 2, i // 2 % 2, int(i % 7 < 3), float(i % 7) + i % 5 / 10) for i in range(200)], "fold int, inner_fold int, y int, x double")
+    found = models.nested_search(rows, ["x"], candidates=1, inner=2, parallelism=1).collect()
+    assert [r["fold"] for r in found] == [0, 1] and stored == [["fold", "inner_fold", "y", "x"]]
