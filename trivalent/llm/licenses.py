@@ -176,7 +176,7 @@ def match(words: list[bytes], index: Index) -> list[tuple[str, int, float]]:
             low, high = max(start - BAND // 2, 0), start + len(notice) + 2 * BAND
             if (len({w for _, w in cast[at:stop]}) >= index.needed[template]
                     and all(stands(words, k, low, high) for k in index.keys[template])):
-                score = in_order(words[low:high], notice, weights) / sum(weights)
+                score = min(1.0, in_order(words[low:high], notice, weights) / sum(weights))  # sums in two orders
                 if score >= ACCEPT:
                     out.append((index.labels[template], max(start, 0), score))
             # Windows overlap by half, so a notice is whole in one of them.
