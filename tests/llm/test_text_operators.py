@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import public_tokenizers
@@ -75,6 +76,24 @@ PLAIN = {
 }
 
 
+def test_codec_remembers_less_than_half_a_kilobyte_a_fragment():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [" ".join(f"word{i * 7919 % 99991} x{i}" for i in range(at, at + 5000)) for at in range(0, 40_000, 5000)]
+    bpe._CODES.clear()
+    list(bpe.Codec(path).code(["to load the vocabulary"]))
+    bpe._CODES.clear()
+    tracemalloc.start()
+    try:
+        for text in texts:
+            list(bpe.Codec(path).code([text]))
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    known = bpe._CODES[path]
+    assert len(known) > 50_000 and held < 190 * len(known)
+
+
+
 def plain_spans(text):
     def luhn(digits):
         return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(map(int, reversed(digits)))) % 10 == 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -14,9 +15,10 @@ from pyspark.sql import DataFrame
 from .common import by_bytes, id_and_text, map_texts
 from .token_counts import tokenizer
 
-#: Fragments whose ids a worker remembers at once, and bytes of the longest of them: some 200 MB.
-REMEMBERED_FRAGMENTS, REMEMBERED_BYTES = 400_000, 64
-BATCH_CHARS = 1 << 18
+#: Fragments whose ids a worker remembers at once, and bytes of the longest of them: some 50 MB.
+REMEMBERED_FRAGMENTS, REMEMBERED_BYTES = 250_000, 64
+#: Characters of the texts that are cut at once, and of the fragments that the library encodes at once.
+CUT_CHARS, BATCH_CHARS = 1 << 22, 1 << 16
 
 SPACES = b" \t\n\x0b\x0c\r"
 ALNUM = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -72,7 +74,8 @@ def fragments(text: str, path: str) -> list[bytes]:
     return [data[a:b] for a, b in zip([0, *cuts], [*cuts, len(data)])]
 
 
-_CODES: dict[str, dict[bytes, tuple[str, int, str]]] = {}
+#: For each vocabulary the ids (comma-joined digits) of fragments; only with them, in a tuple, a decoded text that is not the fragment.
+_CODES: dict[str, dict[bytes, bytes | tuple[bytes, str]]] = {}
 
 
 class Codec:
@@ -81,34 +84,46 @@ class Codec:
     def __init__(self, path: str):
         self.path = path
 
-    def learn(self, wanted: set[bytes]) -> dict[bytes, tuple[str, int, str]]:
+    def learn(self, wanted: set[bytes]) -> dict[bytes, bytes | tuple[bytes, str]]:
         """The codes of at least these fragments; the worker keeps them for its next batches and tasks."""
         known = _CODES.setdefault(self.path, {})
-        if len(known) + len(wanted) > REMEMBERED_FRAGMENTS:
+        new = [w.decode() for w in wanted if w not in known]
+        if len(known) + len(new) > REMEMBERED_FRAGMENTS:
             known = _CODES[self.path] = {w: known[w] for w in wanted if w in known}
         coder = tokenizer(self.path)
-        for group in by_bytes([w.decode() for w in wanted if w not in known], BATCH_CHARS):
+        for group in by_bytes(new, BATCH_CHARS):
             ids = [e.ids for e in coder.encode_batch_fast(group, add_special_tokens=False)]
             texts = coder.decode_batch(ids, skip_special_tokens=False)
             for text, own, back in zip(group, ids, texts):
-                known[text.encode()] = ",".join(map(str, own)), len(own), back
+                joined = ",".join(map(str, own)).encode()
+                known[text.encode()] = joined if back == text else (joined, back)
         return known
 
-    def code(self, texts: list[str]) -> list[tuple[str, int, str]]:
+    def code(self, texts: list[str]) -> Iterator[tuple[bytes, int, str]]:
         """Comma-joined ids, their number, and the decoded text, for each text."""
+        for group in by_bytes(texts, CUT_CHARS):
+            yield from self.code_group(group)
+
+    def code_group(self, texts: list[str]) -> Iterator[tuple[bytes, int, str]]:
         cut = [fragments(t, self.path) for t in texts]
         wanted: set[bytes] = set()
         for parts in cut:
             wanted.update(parts)
         known = self.learn(wanted)
-        out = []
-        for parts in cut:
+        for text, parts in zip(texts, cut):
             found = [known[p] for p in parts]
-            out.append((",".join(f[0] for f in found), sum(f[1] for f in found), "".join(f[2] for f in found)))
+            if any(type(f) is tuple for f in found):
+                text = "".join(f[1] if type(f) is tuple else p.decode() for p, f in zip(parts, found))
+                found = [f[0] if type(f) is tuple else f for f in found]
+            joined = b",".join(found)
+            yield joined, joined.count(b",") + 1 if joined else 0, text
         for w in wanted:
             if len(w) > REMEMBERED_BYTES:
                 del known[w]
-        return out
+
+
+def numbers(joined: bytes) -> np.ndarray:
+    return np.array(joined.split(b",") if joined else [], dtype=np.bytes_).astype(np.int32)
 
 
 def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,9 +136,8 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     codec = Codec(vocabulary)
 
     def per_batch(texts: list[str]) -> dict[str, list]:
-        coded = codec.code(texts)
-        ids = [[int(x) for x in c[0].split(",")] if c[0] else [] for c in coded]
-        return {"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": [c[2] for c in coded]}
+        coded = [(numbers(joined), back) for joined, _, back in codec.code(texts)]
+        return {"ids": pa.array([c[0] for c in coded], pa.list_(pa.int32())), "decoded": [c[1] for c in coded]}
 
     return map_texts(id_and_text(df, id_col, text_col), "ids array<int>, decoded string", per_batch)
 
@@ -135,13 +149,15 @@ def encode_digests(
     codec = Codec(vocabulary)
 
     def per_batch(texts: list[str]) -> dict[str, list]:
-        coded = codec.code(texts)
-        ids = [[int(x) for x in c[0].split(",")] if c[0] else [] for c in coded] if with_ids else []
-        return {
-            "n_tokens": [c[1] for c in coded],
-            "ids_sha256": [hashlib.sha256(c[0].encode()).hexdigest() for c in coded],
-            "decoded_sha256": [hashlib.sha256(c[2].encode()).hexdigest() for c in coded],
-        } | ({"ids": pa.array(ids, pa.list_(pa.int32()))} if with_ids else {})
+        sizes, own, back, ids = [], [], [], []
+        for joined, n, text in codec.code(texts):
+            sizes.append(n)
+            own.append(hashlib.sha256(joined).hexdigest())
+            back.append(hashlib.sha256(text.encode()).hexdigest())
+            if with_ids:
+                ids.append(numbers(joined))
+        made = {"n_tokens": sizes, "ids_sha256": own, "decoded_sha256": back}
+        return made | ({"ids": pa.array(ids, pa.list_(pa.int32()))} if with_ids else {})
 
     schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return map_texts(id_and_text(df, id_col, text_col), schema, per_batch)
