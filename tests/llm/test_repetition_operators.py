@@ -267,6 +267,23 @@ def test_near_dedup_of_a_hot_set_a_star_and_a_hot_token(spark, monkeypatch, bloc
     assert kept == [0, 999, *range(5000, 5000 + few)]
 
 
+def test_near_dedup_compares_what_fingerprints_link(spark, monkeypatch):
+    nothing = lambda groups, share: groups.selectExpr("set_id AS a", "set_id AS b").limit(0)
+    monkeypatch.setattr(similar, "spokes_of", nothing)
+    monkeypatch.setattr(similar, "pairs_of", nothing)
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    story = [word() for _ in range(2000)]
+    rows = [(1, " ".join(story)), (2, " ".join([*story, word()])), (3, " ".join([word(), *story])), (4, " ".join(word() for _ in range(300))), (5, ""), (6, None)]
+    assert sorted(r.doc_id for r in similar.keep_one(frame(spark, rows)).collect()) == [1, 4, 5]
+
+
+def test_near_dedup_looks_at_what_fingerprints_link_wrongly(spark, monkeypatch):
+    monkeypatch.setattr(similar.simhash, "linked", lambda fps, radius: fps.crossJoin(fps.selectExpr("fp AS b")).selectExpr("fp AS a", "b").where("a < b"))
+    rows = [(i, f"some story about the number {i} and nothing else than {i * i}") for i in range(20)]
+    assert similar.keep_one(frame(spark, rows)).count() == 20
+
+
 def test_queries_on_whole_tables_equal_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     turns = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()

@@ -43,11 +43,16 @@ def fingerprint(text: str, words: int = 4) -> int:
     hashes = np.fromiter(
         (digest(view[a:b], 42) for a, b in zip(starts[:n].tolist(), ends.tolist())), dtype=np.uint64, count=n
     )
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of ``hashes`` have; 0 of none."""
     ones = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, n, 1 << 16):
+    for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return sum(1 << i for i in np.flatnonzero(2 * ones > n).tolist())
+    return sum(1 << i for i in np.flatnonzero(2 * ones > len(hashes)).tolist())
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Near duplicates by the exact Jaccard similarity of word shingles: prefixes propose, whole sets decide."""
+"""Near duplicates by the exact Jaccard similarity of word shingles: fingerprints propose, then prefixes; whole sets decide."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from trivalent.session import discard, materialise, small_side, temporary
 
+from . import simhash
 from .common import bounded_batches
 from .components import components
 from .line_dedup import large
@@ -102,7 +103,7 @@ def medoid(maps: dict[int, tuple[np.ndarray, np.ndarray]]) -> int:
 
 
 def signatures(docs: DataFrame, words: int, share: Fraction, common: list[int]) -> DataFrame:
-    """doc_id, digest, set_id (a hash of the set), n (its size), tokens (its prefix) and bits (its parities) of ``docs`` (doc_id, digest, text)."""
+    """doc_id, digest, set_id (a hash of the set), n (its size), fp (its SimHash), tokens (its prefix) and bits (its parities) of ``docs`` (doc_id, digest, text)."""
     bounded_batches(docs.sparkSession)
     values = np.array(common, dtype=np.int64).view(np.uint64)
     order = np.argsort(values)
@@ -110,20 +111,22 @@ def signatures(docs: DataFrame, words: int, share: Fraction, common: list[int])
 
     def run(batches):
         for batch in batches:
-            ids, sizes, tokens, bits = [], [], [], []
+            ids, sizes, prints, tokens, bits = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = shingles(text, words)
                 ids.append(xxhash.xxh64_intdigest(found.tobytes()))
                 sizes.append(len(found))
+                prints.append(simhash.majority(found))
                 tokens.append(prefix(found, values, rank, share).view(np.int64))
                 bits.append(parities(found))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("digest"), pa.array(np.array(ids, dtype=np.uint64).view(np.int64)),
-                 pa.array(sizes, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-                names=["doc_id", "digest", "set_id", "n", "tokens", "bits"],
+                 pa.array(sizes, pa.int64()), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)),
+                 pa.array(tokens, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
+                names=["doc_id", "digest", "set_id", "n", "fp", "tokens", "bits"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, digest long, set_id long, n long, tokens array<long>, bits binary")
+    return docs.mapInArrow(run, "doc_id long, digest long, set_id long, n long, fp long, tokens array<long>, bits binary")
 
 
 def whole_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -157,17 +160,34 @@ def as_pairs(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def by_fingerprint(prints: DataFrame, radius: int) -> DataFrame:
+    """(a, b): sets whose fingerprints (set_id, fp) are equal or linked by :func:`simhash.linked`; the first set of a fingerprint stands for it."""
+    first = materialise(prints.groupBy("fp").agg(F.min("set_id").alias("a")), "prints")
+    same = prints.join(large(first), "fp").select("a", F.col("set_id").alias("b"))
+    links = materialise(simhash.linked(first.select("fp"), radius).withColumnsRenamed({"a": "fp", "b": "other"}), "near_prints")
+    near = links.join(large(first), "fp").select("a", F.col("other").alias("fp")).join(large(first.withColumnRenamed("a", "b")), "fp").select("a", "b")
+    found = materialise(same.unionByName(near).where("a <> b").distinct(), "proposed")
+    discard(first, links)
+    return found
+
+
+def with_root(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """``groups`` with the root of each set_id; one that is in no link is its own."""
+    named = groups.join(large(roots.withColumnRenamed("node", "set_id")), "set_id", "left")
+    return named.withColumn("root", F.coalesce("root", "set_id"))
+
+
 def spokes_of(groups: DataFrame, share: Fraction) -> DataFrame:
-    """(a, b): the most central holder a of each group (token, part; set_id, n, bits) and each holder b that may be similar to it."""
+    """(a, b): the most central holder a of each group (token, part; set_id, n, bits, root) and each holder b of another root that may be similar to it."""
     bounded_batches(groups.sparkSession)
 
     def run(batches):
         made: set[tuple[int, int]] = set()
-        for _, rows in in_groups(batches, ["token", "part"], ["set_id", "n", "bits"], 2 * BLOCK):
+        for _, rows in in_groups(batches, ["token", "part"], ["set_id", "n", "bits", "root"], 2 * BLOCK):
             maps = by_width([r[2] for r in rows])
             hub = medoid(maps)
-            fits = may_link(rows[hub][1:], np.array([r[1] for r in rows]), maps, share)
-            made.update((rows[hub][0], rows[i][0]) for i in np.flatnonzero(fits).tolist() if rows[i][0] != rows[hub][0])
+            fits = may_link(rows[hub][1:3], np.array([r[1] for r in rows]), maps, share) & (np.array([r[3] for r in rows]) != rows[hub][3])
+            made.update((rows[hub][0], rows[i][0]) for i in np.flatnonzero(fits).tolist())
             if len(made) >= BLOCK:
                 yield as_pairs(made)
                 made = set()
@@ -230,12 +250,14 @@ def verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, words: int, sh
     return links
 
 
-def similar_sets(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+def similar_sets(docs: DataFrame, words: int, similarity: float, radius: int) -> DataFrame:
     """set_id, doc_id, digest and root of each distinct set in ``docs`` (doc_id, digest, text), with the first row that has it.
 
-    Sets of one root are linked. Every pair of sets at ``similarity`` or more shares a
-    token of their prefixes; tokens with the same holders count once. First each holder
-    of a token is compared with the most central one, so a large group of near copies
+    Sets of one root are linked. First those are compared whose fingerprints the BK-trees
+    link within ``radius`` bits. That misses sets of lesser similarity, but every pair at
+    ``similarity`` or more shares a token of their prefixes; tokens with the same holders
+    count once. So each holder of a token is compared with the most central one, if they
+    are still apart: a large group of near copies
     is joined by as many pairs as it has members. Then holders that are still apart
     are compared with each other, block against block: all pairs, less those that sizes
     and parities rule out.
@@ -249,6 +271,9 @@ def similar_sets(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     first = rows.groupBy("set_id").agg(F.min(F.struct("doc_id", "digest")).alias("row"))
     first = materialise(first.select("set_id", "row.doc_id", "row.digest"), "first")
     own = rows.join(small_side(first), ["set_id", "doc_id", "digest"], "left_semi")
+    proposed = by_fingerprint(own.select("set_id", "fp").distinct(), radius)
+    links = verified(proposed, first, docs, words, share)
+    roots = components(links)
     # One shuffle of the tokens; those with one holder, nearly all, go no further. Hashes do not compress.
     holders = F.count("*").over(Window.partitionBy("token"))
     held = own.select(F.explode("tokens").alias("token"), "set_id").withColumn("holders", holders).where("holders > 1")
@@ -262,11 +287,15 @@ def similar_sets(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     discard(rows, held, kept)
 
     parts = F.ceil(F.col("m") / BLOCK)
-    spokes = spokes_of(groups.withColumn("part", F.pmod(F.xxhash64("set_id"), parts)), share)
+    order = F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tried = proposed.select(order.alias("pair")).select("pair.*")
+    spokes = spokes_of(with_root(groups, roots).withColumn("part", F.pmod(F.xxhash64("set_id"), parts)), share)
     spokes = materialise(spokes, "spokes")
-    links = verified(spokes, first, docs, words, share)
-    roots = components(links)
-    named = groups.join(large(roots.withColumnRenamed("node", "set_id")), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    tried = tried.unionByName(spokes.select(order.alias("pair")).select("pair.*"))
+    if not spokes.isEmpty():
+        links = links.unionByName(verified(spokes, first, docs, words, share))
+        roots = components(links)
+    named = with_root(groups, roots)
     apart = named.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
     mixed = materialise(named.join(large(materialise(apart, "apart")), "token"), "mixed")
     blocks = F.ceil(F.col("m") / (BLOCK // 2)).cast("int")
@@ -275,7 +304,6 @@ def similar_sets(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     dealt = mixed.withColumn("block", block).withColumn("other", other)
     dealt = dealt.select("token", "set_id", "n", "bits", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     cross = pairs_of(dealt, share)
-    tried = spokes.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = materialise(cross.join(large(tried), ["a", "b"], "left_anti"), "cross")
     if not cross.isEmpty():
         roots = components(links.unionByName(verified(cross, first, docs, words, share)))
@@ -284,11 +312,14 @@ def similar_sets(docs: DataFrame, words: int, similarity: float) -> DataFrame:
         "set_id", "doc_id", "digest", F.coalesce("root", "set_id").alias("root"))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_one(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 4
+) -> DataFrame:
     """The rows of ``df``, all columns, less the near duplicates: of each group the row of smallest id stays.
 
     A group is what links of Jaccard similarity ``similarity`` or more of the sets of
-    word shingles connect; every such link counts and no other does. Texts without a
+    word shingles connect; every such link counts and no other does, whatever ``radius``
+    (the bits within which fingerprints propose links before prefixes do). Texts without a
     word (null ones too) are equal. Of rows with one id in a group the first by the hash
     of its set, then of its text, stays; of rows equal in id and text any one. Rows
     without an id are all kept. An empty table gives an empty result.
@@ -296,7 +327,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text"))
     with temporary():
-        found = similar_sets(docs.where("doc_id is not null"), words, similarity)
+        found = similar_sets(docs.where("doc_id is not null"), words, similarity, radius)
         first = found.groupBy("root").agg(F.min(F.struct("doc_id", "set_id", "digest")).alias("first"))
         first = materialise(first.select("first.doc_id", "first.digest"), "keepers", lasting=True)
     own = (df[id_col].cast("long") == first["doc_id"]) & (F.xxhash64(F.coalesce(df[text_col].cast("string"), F.lit(""))) == first["digest"])
