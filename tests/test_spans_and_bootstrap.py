@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trivalent.operators import spans, stats
 
@@ -38,6 +39,37 @@ def test_span_over_everything_is_cut_into_bounded_nodes(spark, monkeypatch):
     assert max(level for level, _ in found) == 3
 
 
+def test_span_join_stores_no_pairs(spark, monkeypatch):
+    stored, real = {}, spans.materialise
+
+    def counted(df, label="table", *args, **kwargs):
+        found = real(df, label, *args, **kwargs)
+        stored[label] = found.count()
+        return found
+
+    monkeypatch.setattr(spans, "materialise", counted)
+    df = spark.range(300).select("id", (F.col("id") + 0.5).alias("pos"))
+    held = spark.range(300).select(F.col("id").alias("span"), (F.col("id") * -1.0).alias("lo"), (F.col("id") + 300.0).alias("hi"))
+    assert spans.span_join(df, "pos", held).count() == 300 * 300
+    assert max(stored.values()) < 20 * 300, stored
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_span_join_of_nodes_too_many_to_replicate(spark, monkeypatch, how):
+    monkeypatch.setattr(spans, "SMALL", 0)
+    monkeypatch.setattr(spans, "PAIRS", 40)
+    rng = random.Random(5)
+    table = span_table(rng, 60, 200) + [(900 + i, -1e9, 1e9) for i in range(5)] + [(990, None, 7.0)]
+    rows = [(i, rng.uniform(-5, 1300)) for i in range(200)] + [(1000 + i, 305.0) for i in range(150)] * 2 + [(5000, None), (5001, 2e9)]
+    df = spark.createDataFrame(rows, "id long, pos double").repartition(4)
+    held = spark.createDataFrame(table, "span int, lo double, hi double").repartition(3)
+    want = [(i, s) for i, p in rows for s, lo, hi in table if p is not None and lo is not None and lo <= p <= hi]
+    want += [(i, None) for i, p in rows if how == "left" and (p is None or p == 2e9)]
+    found = [(r["id"], r["span"]) for r in spans.span_join(df, "pos", held, how=how).collect()]
+    key = lambda x: (x[0], -1 if x[1] is None else x[1])
+    assert sorted(found, key=key) == sorted(want, key=key)
+
+
 def test_span_join_without_spans(spark):
     df = spark.createDataFrame([(1, 2.0)], "id long, pos double")
     none = spark.createDataFrame([], "span int, lo double, hi double")
