@@ -31,7 +31,10 @@ def block_sets(blocks: dict[str, list[str]]) -> dict[str, list[str]]:
 def ablate(df: DataFrame, sets: dict[str, list[str]], factory: models.Factory) -> DataFrame:
     """Out-of-fold AUC per feature set, on the same stored folds; sets of equal features are fitted once."""
     every = sorted({f for fs in sets.values() for f in fs})
-    table = models.fold_table(df, ["id", "fold", "y", *every])
+    return _ablate_stored(models.fold_table(df, ["id", "fold", "y", *every]), sets, factory)
+
+
+def _ablate_stored(table: DataFrame, sets: dict[str, list[str]], factory: models.Factory) -> DataFrame:
     def measure(fs: tuple[str, ...]) -> float:
         oof = models.out_of_fold(table, fs, factory, ",".join(fs), parallelism=2)
         return float(metrics.roc_auc(oof).first()["auc_roc"])
@@ -39,7 +42,7 @@ def ablate(df: DataFrame, sets: dict[str, list[str]], factory: models.Factory) -
     different = list(dict.fromkeys(tuple(fs) for fs in sets.values()))
     auc = dict(zip(different, models.at_once([lambda f=fs: measure(f) for fs in different])))
     rows = [(name, len(fs), auc[tuple(fs)]) for name, fs in sets.items()]
-    return df.sparkSession.createDataFrame(rows, "feature_set string, n_features int, auc_roc double")
+    return table.sparkSession.createDataFrame(rows, "feature_set string, n_features int, auc_roc double")
 
 
 def forest_ranking(model: PipelineModel, features: Sequence[str]) -> list[str]:
@@ -49,9 +52,18 @@ def forest_ranking(model: PipelineModel, features: Sequence[str]) -> list[str]:
 
 def top_k_sweep(df: DataFrame, features: Sequence[str], ks: Sequence[int], ranker: models.Factory,
                 factory: models.Factory) -> DataFrame:
-    chosen = models.usable(df, features)
-    order = forest_ranking(models.fit(df, chosen, ranker), chosen)
-    return ablate(df, {f"top:{n}": order[:n] for n in ks}, factory)
+    """AUC of the ``ks`` best features by the ranker, which is fitted on all labelled rows.
+
+    Features and folds are computed and stored once. The ranker's rows are dealt evenly
+    over the cores: a forest passes over them many times, and the parts of a scan are as
+    few as the source has files or row groups.
+    """
+    table = models.fold_table(df, ["id", "fold", "y", *sorted(features)])
+    chosen = models.usable(table, features)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    even = materialise(table.where("y IS NOT NULL").select("y", *chosen).repartition(cores), "ranked_rows")
+    order = forest_ranking(models.fit(even, chosen, ranker), chosen)
+    return _ablate_stored(table, {f"top:{n}": order[:n] for n in ks}, factory)
 
 
 # --- leakage audit -----------------------------------------------------------------
