@@ -372,6 +372,17 @@ def test_copies_of_a_page_without_article_keep_their_text(spark):
         assert r.text == want
 
 
+def test_pages_with_an_article_are_compared_as_well(spark):
+    page = "<div>Home</div><div>Topics</div><article><h1>{0}</h1><p>As ever, all rights are kept.</p><p>The story of {0}</p></article><p>{0} remarks</p><div>Imprint</div>"
+    rows = [(i, f"http://h/{i}", page.format(f"page {i}")) for i in range(5)] + [(4, "http://h/4", page.format("page 4")), (9, "http://alone/", page.format("page 9"))]
+    found = html_text.extract_text(frame(spark, rows, "page_id long, url string, html string")).collect()
+    assert len(found) == 7
+    for r in found:
+        # What the comparison takes out of the article is put back.
+        assert r.text == f"page {r.page_id} As ever, all rights are kept. The story of page {r.page_id}"
+        assert r.n_shared == (0 if r.page_id == 9 else 4)
+
+
 def test_one_url_is_cut_into_runs(spark):
     rows = [(i, "http://h/p" if i % 2 else None, f"<p>menu</p><p>text {i}</p><p>foot</p>") for i in range(200)]
     pages = html_text.page_blocks(frame(spark, rows, "page_id long, url string, html string"), "page_id", "url", "html")

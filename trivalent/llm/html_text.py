@@ -1,8 +1,10 @@
-"""Main text of web pages: the article element's blocks; without one, by place and by comparison with the page of the nearest URL."""
+"""Main text of web pages, by place and by comparison with the page of the nearest URL; an article element's own blocks are put back."""
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 from bisect import bisect_left
 from collections import defaultdict
 from html import unescape
@@ -268,9 +270,9 @@ def shared_lines(mine: list[int], other: list[int]) -> set[int]:
 def page_blocks(df: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     """Of each page its id, url, host, sort key (host, path, id, digest of the html) and blocks.
 
-    lines holds a hash of every block, outline a hash of lines, texts the blocks that
+    lines holds a hash of every block, outline a hash of lines, texts (packed) the blocks that
     place does not rule out, body the hash of the longest of them and spots their positions in lines. sure says that the texts
-    are an article or main element's; the blocks outside it are then ruled out.
+    are an article or main element's; the blocks outside it are then ruled out by place.
     """
     bounded_batches(df.sparkSession)
     rows = df.select(
@@ -293,10 +295,10 @@ def page_blocks(df: DataFrame, id_col: str, url_col: str, html_col: str) -> Data
                 made["lines"].append(lines)
                 made["outline"].append(xxhash.xxh64_intdigest(repr(lines).encode()) - (1 << 63))
                 made["body"].append(max(((len(found[i][0]), lines[i]) for i in spots), default=(0, 0))[1])
-                made["texts"].append([found[i][0] for i in spots])
+                made["texts"].append(zlib.compress(json.dumps([found[i][0] for i in spots], ensure_ascii=False).encode()))
                 made["spots"].append(spots)
                 made["sure"].append(sure)
-            kinds = (pa.string(), pa.string(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.bool_())
+            kinds = (pa.string(), pa.string(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), *(pa.array(v, t) for v, t in zip(made.values(), kinds))],
                 names=["page_id", "url", *made],
@@ -304,7 +306,7 @@ def page_blocks(df: DataFrame, id_col: str, url_col: str, html_col: str) -> Data
 
     return rows.mapInArrow(
         run,
-        "page_id long, url string, host string, key string, lines array<long>, outline long, body long, texts array<string>, spots array<int>, sure boolean",
+        "page_id long, url string, host string, key string, lines array<long>, outline long, body long, texts binary, spots array<int>, sure boolean",
     )
 
 
@@ -355,58 +357,56 @@ def neighbours(outlines: DataFrame) -> DataFrame:
     return both.select("host", "outline", "body", F.concat("others", "more").alias("others"))
 
 
-def left_over(lines: list[int], texts: list[str], spots: list[int], others: list[list[int]]) -> list[str]:
+def left_over(lines: list[int], texts: list[str], spots: list[int], others: list[list[int]]) -> tuple[list[str], int]:
     """The texts less those of a longest common subsequence with the first of ``others`` that is not nearly the same page.
 
     That is the first that leaves half as many characters, or more, as the one that leaves
     most. All texts stay if every one leaves nothing: equal pages do not tell what is theirs.
+    Also the length of that subsequence, 0 if all texts stay for that.
     """
     left = []
     for other in others:
         gone = shared_lines(lines, other)
-        left.append([t for t, i in zip(texts, spots) if i not in gone])
-    sizes = [sum(map(len, x)) for x in left]
+        left.append(([t for t, i in zip(texts, spots) if i not in gone], len(gone)))
+    sizes = [sum(map(len, x)) for x, _ in left]
     most = max(sizes, default=0)
-    return next(x for x, n in zip(left, sizes) if 2 * n >= most) if most else texts
+    return next(x for x, n in zip(left, sizes) if 2 * n >= most) if most else (texts, 0)
 
 
 def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text and n_chars of each row of ``df``.
-
-    A page with an article or main element (see :func:`blocks`) gives the blocks in it;
-    its lines are not aligned. On other pages blocks of menus, adverts, forms and the like
-    are left out, and of the rest those shared with a neighbour: pages are sorted by host,
-    path and id, pages of a host with equal blocks (or else with the same longest block)
-    count once, and the neighbour is the one before or after that is not nearly the same
-    page, or one drawn from the host (see :func:`left_over`). A page without such a neighbour keeps its blocks. A null html is
-    the empty page, which has the empty text. Repeated rows give repeated rows; an
-    empty table gives an empty result.
+    """page_id, url, text, n_chars and n_shared of each row of ``df``.
+
+    Blocks of menus, adverts, forms and the like, or outside a page's article or main
+    element (see :func:`blocks`), are left out. What is left of every page is compared
+    with a neighbour, and lines of a longest common subsequence with it go: pages are
+    sorted by host, path and id, pages of a host with equal blocks (or else with the same
+    longest block) count once, and the neighbour is the one before or after that is not
+    nearly the same page, or one drawn from the host (see :func:`left_over`). n_shared
+    counts the page's blocks in that subsequence. A check follows: what it took out of an
+    article or main element is put back, since two articles may share a line. A page without
+    such a neighbour keeps its blocks. A null html is the empty page, which has the empty
+    text. Repeated rows give repeated rows; an empty table gives an empty result.
     """
     pages = page_blocks(df, id_col, url_col, html_col)
-
-    def texts_of(rows: DataFrame, compared: bool) -> DataFrame:
-        def run(batches):
-            for batch in batches:
-                columns = [batch.column(c).to_pylist() for c in ("lines", "texts", "spots", "others")[: 4 if compared else 0]]
-                kept = [left_over(*x) for x in zip(*columns)] if compared else batch.column("texts").to_pylist()
-                made = [" ".join(x) for x in kept]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("page_id"), batch.column("url"), pa.array(made, pa.string()), pa.array([len(t) for t in made], pa.int64())],
-                    names=["page_id", "url", "text", "n_chars"],
-                )
-
-        return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
-
-    sure = texts_of(pages.where("sure").select("page_id", "url", "texts"), False)
-    # Pages are parsed again for each use: that is cheaper than keeping all texts on disk.
-    outlines = materialise(pages.select("host", "key", "lines", "outline", "body", "sure"), "pages")
+    # Pages are parsed again for their texts: that is cheaper than keeping all texts on disk.
+    outlines = materialise(pages.select("host", "key", "lines", "outline", "body"), "pages")
+    near = neighbours(outlines)
     # The same blocks in other places of the page may give another longest one, so both names are joined.
     names = ["host", "outline", "body"]
-    unsure = outlines.where("not sure").select(*names).distinct()
-    if unsure.isEmpty():
-        return sure
-    hosts = unsure.select("host").distinct().hint("merge")
-    near = neighbours(outlines.join(hosts, "host", "left_semi")).join(unsure.hint("merge"), names, "left_semi")
-    near = materialise(near, "neighbours")
-    ready = pages.where("not sure").select("page_id", "url", *names, "lines", "texts", "spots").join(near.hint("merge"), names)
-    return sure.unionByName(texts_of(ready.select("page_id", "url", "lines", "texts", "spots", "others"), True))
+    ready = pages.select("page_id", "url", *names, "lines", "texts", "spots", "sure").join(near.hint("merge"), names)
+
+    def run(batches):
+        for batch in batches:
+            made, shared = [], []
+            for lines, texts, spots, others, sure in zip(*(batch.column(c).to_pylist() for c in ("lines", "texts", "spots", "others", "sure"))):
+                texts = json.loads(zlib.decompress(texts))
+                kept, n = left_over(lines, texts, spots, others)
+                made.append(" ".join(texts if sure else kept))
+                shared.append(n)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("page_id"), batch.column("url"), pa.array(made, pa.string()), pa.array([len(t) for t in made], pa.int64()), pa.array(shared, pa.int64())],
+                names=["page_id", "url", "text", "n_chars", "n_shared"],
+            )
+
+    return ready.select("page_id", "url", "lines", "texts", "spots", "others", "sure").mapInArrow(
+        run, "page_id long, url string, text string, n_chars long, n_shared long")
