@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from trivalent.operators import aggregates, metrics, splits
 from trivalent.plans import experiments, features, models, scoring
+from trivalent.queries import learning
 from trivalent.queries.bindings import CATALOGUE, RECORDS, VARIANTS
 from trivalent.sources import tables
 
@@ -31,6 +32,20 @@ def test_out_of_fold_uses_the_folds_there_are(spark, table):
         models.out_of_fold(table.where("fold = 1"), ["a"], FAST, "l2")
 
 
+def test_audit_fits_every_training_row(spark, monkeypatch):
+    """The audit's forest was fitted on about 5,000 rows, however many there were."""
+    class Counting:
+        def __init__(self, stages):
+            pass
+
+        def fit(self, df):
+            return df.count()
+
+    rows = spark.range(12_000).select((F.col("id") % 3).cast("double").alias("a"), F.when(F.col("id") % 6 != 0, F.col("id") % 2).alias("y"))
+    monkeypatch.setattr(models, "Pipeline", Counting)
+    assert models.fit(rows, ["a"], learning.AUDIT_FOREST) == 10_000
+
+
 def test_repeats_average_a_rows_scores(spark, table):
     oof, summary = models.cross_validate(table, ["a"], {"l2": FAST}, repeats=2)
     rows = oof.collect()
