@@ -70,6 +70,18 @@ def test_span_join_of_nodes_too_many_to_replicate(spark, monkeypatch, how):
     assert sorted(found, key=key) == sorted(want, key=key)
 
 
+def test_span_join_rows_carry_no_lists_of_nodes(spark, monkeypatch):
+    """Rows were dealt out with the list of all nodes over them, many times their own size."""
+    stored, keep = [], spans.materialise
+    monkeypatch.setattr(spans, "materialise", lambda df, *more: stored.extend(df.dtypes) or keep(df, *more))
+    rows = spark.range(50).select("id", (F.col("id") % 20).cast("double").alias("pos"), F.lit(0).alias("rank"))
+    held = spark.createDataFrame([(i, float(i), float(i + 7)) for i in range(15)], "span int, lo double, hi double")
+    got = spans.span_join(rows, "pos", held)
+    assert ("_rank", "bigint") in stored and not [t for _, t in stored if t.startswith("array")]
+    want = sorted((r["id"], r["rank"], i) for r in rows.collect() for i in range(15) if i <= r["pos"] <= i + 7)
+    assert sorted((r["id"], r["rank"], r["span"]) for r in got.where("span IS NOT NULL").collect()) == want
+
+
 def test_span_join_without_spans(spark):
     df = spark.createDataFrame([(1, 2.0)], "id long, pos double")
     none = spark.createDataFrame([], "span int, lo double, hi double")
