@@ -82,3 +82,23 @@ def test_nested_search_computes_its_folds_once(spark, monkeypatch):
         [(i % 2, i // 2 % 2, int(i % 7 < 3), float(i % 7) + i % 5 / 10) for i in range(200)], "fold int, inner_fold int, y int, x double")
     found = models.nested_search(rows, ["x"], candidates=1, inner=2, parallelism=1).collect()
     assert [r["fold"] for r in found] == [0, 1] and stored == [["fold", "inner_fold", "y", "x"]]
+
+
+def test_large_training_tables_are_held_in_even_parts(spark, monkeypatch):
+    """A learner's passes ran on the parts of the scan, here a single one."""
+    from trivalent.plans import models
+
+    class Parts:
+        def __init__(self, stages):
+            pass
+
+        def fit(self, df):
+            return df.rdd.glom().map(len).collect()
+
+    monkeypatch.setattr(models, "Pipeline", Parts)
+    rows = spark.range(0, 30_000, 1, 1).select((F.col("id") % 3).cast("double").alias("a"), (F.col("id") % 2).alias("y"))
+    parts = models.fit(rows, ["a"], models.logistic())
+    assert len(parts) == spark.sparkContext.defaultParallelism and max(parts) - min(parts) <= 4
+    monkeypatch.setattr(models, "PART_CELLS", 1_000)
+    assert len(models.fit(rows, ["a"], models.logistic())) == 30
+    assert models.fit(rows.limit(100), ["a"], models.logistic()) == [100]  # small ones are left as they lie
