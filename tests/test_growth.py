@@ -84,6 +84,18 @@ def test_nested_search_computes_its_folds_once(spark, monkeypatch):
     assert [r["fold"] for r in found] == [0, 1] and stored == [["fold", "inner_fold", "y", "x"]]
 
 
+def test_nested_search_prepares_the_rows_of_a_fold_once(spark, monkeypatch):
+    """Every setting fitted medians and scales of the same rows anew."""
+    from trivalent.plans import models
+
+    fits, fit = [], models.StandardScaler._fit
+    monkeypatch.setattr(models.StandardScaler, "_fit", lambda self, df: fits.append(1) or fit(self, df))
+    rows = spark.createDataFrame(
+        [(i % 2, i // 2 % 2, int(i % 7 < 3), float(i % 7) + i % 5 / 10) for i in range(200)], "fold int, inner_fold int, y int, x double")
+    models.nested_search(rows, ["x"], candidates=3, inner=2)
+    assert len(fits) == 2 * (2 + 1)
+
+
 def test_large_training_tables_are_held_in_even_parts(spark, monkeypatch):
     """A learner's passes ran on the parts of the scan, here a single one."""
     from trivalent.plans import models
