@@ -2,6 +2,7 @@
 
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from trivalent.functions import intervals
@@ -94,6 +95,9 @@ def test_nested_search_prepares_the_rows_of_a_fold_once(spark, monkeypatch):
         [(i % 2, i // 2 % 2, int(i % 7 < 3), float(i % 7) + i % 5 / 10) for i in range(200)], "fold int, inner_fold int, y int, x double")
     models.nested_search(rows, ["x"], candidates=3, inner=2)
     assert len(fits) == 2 * (2 + 1)
+    for wrong in (F.lit(0), F.col("inner_fold") + 1, F.when(F.col("y") == 1, F.col("inner_fold"))):
+        with pytest.raises(ValueError):
+            models.nested_search(rows.withColumn("inner_fold", wrong), ["x"], candidates=1, inner=2)
 
 
 def test_large_training_tables_are_held_in_even_parts(spark, monkeypatch):
