@@ -118,3 +118,19 @@ def test_large_training_tables_are_held_in_even_parts(spark, monkeypatch):
     monkeypatch.setattr(models, "PART_CELLS", 1_000)
     assert len(models.fit(rows, ["a"], models.logistic())) == 30
     assert models.fit(rows.limit(100), ["a"], models.logistic()) == [100]  # small ones are left as they lie
+
+
+def test_fits_side_by_side_have_their_own_properties(spark):
+    """One task's local properties were seen, and cleared, by the others."""
+    import threading
+
+    from trivalent.plans import models
+
+    sc, both = spark.sparkContext, threading.Barrier(2, timeout=60)
+
+    def set_and_read(value):
+        sc.setLocalProperty("test.own", value)
+        both.wait()
+        return sc.getLocalProperty("test.own")
+
+    assert models.at_once([lambda v=v: set_and_read(v) for v in ("a", "b")], 2) == ["a", "b"]
