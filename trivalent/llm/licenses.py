@@ -102,13 +102,14 @@ class Index:
     keys: list[list[list[bytes]]]
     postings: dict[bytes, list[tuple[int, int]]]
     needed: list[int]
+    phrases: set[tuple[bytes, ...]]
 
 
 def build_index(frequency: dict[bytes, int], rows: int, templates=TEMPLATES) -> Index:
     def idf(word: bytes) -> float:
         return math.log((rows + 1) / (frequency.get(word, 0) + 1)) + 1e-3
 
-    index = Index([], [], [], [], defaultdict(list), [])
+    index = Index([], [], [], [], defaultdict(list), [], {tuple(k.encode().split()) for _, _, keys in templates for k in keys})
     for i, (label, notice, keys) in enumerate(templates):
         words = notice.encode().split()
         rarest = sorted(set(words), key=lambda w: (-idf(w), w))[:RARE_WORDS]
@@ -124,15 +125,15 @@ def build_index(frequency: dict[bytes, int], rows: int, templates=TEMPLATES) ->
     return index
 
 
-def stands(words: list[bytes], phrase: list[bytes], low: int, high: int) -> bool:
-    """Whether the phrase stands in words low to high - 1, with one other word inside at most."""
+def stands(words: list[bytes], phrase: list[bytes], low: int, high: int, others: set[tuple[bytes, ...]] = frozenset()) -> bool:
+    """Whether the phrase stands in words low to high - 1, with one other word inside at most: one that makes none of ``others`` of it."""
     n = len(phrase)
     for p in range(max(low, 0), min(high, len(words)) - n + 1):
         if words[p] == phrase[0]:
             same = 1
             while same < n and words[p + same] == phrase[same]:
                 same += 1
-            if same == n or words[p + same + 1 : p + n + 1] == phrase[same:]:
+            if same == n or words[p + same + 1 : p + n + 1] == phrase[same:] and tuple(words[p : p + n + 1]) not in others:
                 return True
     return False
 
@@ -175,7 +176,7 @@ def match(words: list[bytes], index: Index) -> list[tuple[str, int, float]]:
                 stop += 1
             low, high = max(start - BAND // 2, 0), start + len(notice) + 2 * BAND
             if (len({w for _, w in cast[at:stop]}) >= index.needed[template]
-                    and all(stands(words, k, low, high) for k in index.keys[template])):
+                    and all(stands(words, k, low, high, index.phrases) for k in index.keys[template])):
                 score = min(1.0, in_order(words[low:high], notice, weights) / sum(weights))  # sums in two orders
                 if score >= ACCEPT:
                     out.append((index.labels[template], max(start, 0), score))
